@@ -98,6 +98,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+#: All ASCII characters but letters and digits.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +127,13 @@ class Rolling:
             return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and n + 1 offsets of rows in words.
-    Words end at the end of their row."""
+    Words end at the end of their row. gaps: other bytes that part words. stems: for each of these sizes in bytes, each
+    word is followed by the hash of its beginning of that size (of a shorter word, its own hash again)."""
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    gap = SPACE[data]
+    gap = gaps[data]
     head = ~gap
     head[1:] &= gap[:-1]
     tail = ~gap
@@ -139,14 +142,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     head[edge] |= ~gap[edge]
     tail[edge - 1] |= ~gap[edge - 1]
     start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    return Rolling(LOWER[data]).of(start, end), np.searchsorted(start, offsets).astype(np.int64)
+    rolling, rows = Rolling(LOWER[data]), np.searchsorted(start, offsets).astype(np.int64)
+    h = rolling.of(start, end)
+    if stems:
+        cut = [np.where(end - start > k, rolling.of(start, np.minimum(start + k, end)) + U64(k), h) for k in stems]
+        h, rows = np.stack([h, *cut], 1).ravel(), rows * (1 + len(stems))
+    return h, rows
 
 
-def words_of_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words_of_rows(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """word_hashes() in pieces of bounded size."""
     hashes, counts = [], []
     for first, last in pieces(offsets):
-        h, o = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        h, o = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], gaps, stems)
         hashes.append(h)
         counts.append(np.diff(o))
     if not hashes:
