@@ -182,11 +182,10 @@ def bits_for(entries: float, least: int = 4) -> int:
     return min(20, max(least, int(np.ceil(np.log2(max(1.0, entries / BUCKET_ENTRIES))))))
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, n_bytes: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(blk, id, text) for every row; about block_bytes of text share a blk."""
-    n = max(8, -(-n_bytes // block_bytes))
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int").alias("blk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def block_of(id_col: str, n_bytes: int, block_bytes: int = BLOCK_BYTES) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(8, -(-n_bytes // block_bytes)))).cast("int")
 
 
-def table_of(schema: pa.Schema, **columns) -> pa.Table:
-    return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def blocks(docs: DataFrame, id_col: str, text_col: str, n_bytes: int) -> DataFrame:
+    """(blk, id, text) for every row; about BLOCK_BYTES of text share a blk."""
+    return docs.select(block_of(id_col, n_bytes).alias("blk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
