@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, quality, sentencepiece_bpe, suffix_dedup, token_count, toxicity
+from . import decontaminate, exact_dedup, language_id, language_model, ngram_join, quality, sentencepiece_bpe, suffix_dedup, token_count, toxicity
 from .common import read_table
 
 
@@ -44,6 +44,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -63,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ngram_join, op7_toxicity, op8_language_id, op9_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_quality, op4_suffix_dedup, op5_ngram_join, op6_language_model, op7_toxicity, op8_language_id, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
