@@ -1,12 +1,63 @@
-"""The corpus pipeline."""
+"""A corpus pipeline of five stages, each of which calls one operator of sparkloom.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents; only the rows that a stage rejects go.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sparkloom.llm import decontaminate, exact_dedup, language_id, ngram_join, sentencepiece_bpe
+from sparkloom.llm.common import read_table
+from sparkloom.llm.queries import tokenizer_file
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be recognised (no letter, or no text) go."""
+    return language_id.with_language(docs, language_id.train(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id stays."""
+    return exact_dedup.keep_first(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links tie together (4-word shingles, Jaccard 0.85), the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, re-filled or not, go."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded text."""
+    return sentencepiece_bpe.encode_documents(docs, tokenizer_file(spark, "piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("ngram_join", near),
+    ("decontamination", benchmark),
+    ("sentencepiece", encode),
+]
+#: Two stages (a trained network, byte-pair encoding) can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages; between them, Parquet in the shared folder that spark.checkpoint.dir names."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp('-pipeline')}/pipeline-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

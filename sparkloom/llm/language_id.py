@@ -182,23 +182,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return ByteCnn(labels).fit(windows, target)
 
 
-def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row; with carry, all columns of docs and then lang_pred and score."""
+def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held: int = 2) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row."""
 
     def run(batches):
         for batch in batches:
-            i = batch.schema.get_field_index(text_col) if carry else 1
-            pred, score = predict(model, batch.column(i))
-            new = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            if carry:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "lang_pred", "score"])
-            else:
-                ids = batch.column(0)
-                out = pa.array(crc_mod(ids.to_pylist(), modulus) == held, pa.bool_())
-                yield pa.RecordBatch.from_arrays([ids, out, *new], ["doc_id", "held_out", "lang_pred", "score"])
-
-    if carry:
-        schema = type(docs.schema)([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
-        return docs.mapInArrow(run, schema)
+            pred, score = predict(model, batch.column(1))
+            ids = batch.column(0)
+            out = pa.array(crc_mod(ids.to_pylist(), modulus) == held, pa.bool_())
+            yield pa.RecordBatch.from_arrays([ids, out, pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language, as they are: those that get `und` go."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            pred, _ = predict(model, batch.column(at).cast(pa.string()))
+            yield batch.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
