@@ -60,14 +60,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that exact_dedup() keeps, with all their columns."""
     found = checkpointed(exact_dedup(docs, id_col, text_col, **options))
     again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum(F.col("kept").cast("int")).alias("stay")).where("times > 1")
-    kept = found.where("kept").join(again, found["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").select(F.col("doc_id").alias("_kept_id"))
-    whole = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = found.where("kept").join(again, found["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").select(F.col("doc_id").alias("__kept_id"))
+    whole = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
     # Ids that occur more than once are told apart by their text; only their rows are shuffled by it.
-    several = again.where("stay > 0").select(F.col("doc_id").alias("_kept_id"))
-    repeated = docs.join(several, docs[id_col].eqNullSafe(several["_kept_id"]), "left_semi").withColumn("_digest", F.lower(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)))
-    stay = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_digest2"))
-    repeated = repeated.join(stay, repeated[id_col].eqNullSafe(stay["_kept_id"]) & (F.col("_digest") == F.col("_digest2")), "left_semi").dropDuplicates([id_col, "_digest"])
-    return whole.unionByName(repeated.drop("_digest"))
+    several = again.where("stay > 0").select(F.col("doc_id").alias("__kept_id"))
+    repeated = docs.join(several, docs[id_col].eqNullSafe(several["__kept_id"]), "left_semi").withColumn("__text_digest", F.lower(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)))
+    stay = found.where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest"))
+    repeated = repeated.join(stay, repeated[id_col].eqNullSafe(stay["__kept_id"]) & (F.col("__text_digest") == F.col("__kept_digest")), "left_semi").dropDuplicates([id_col, "__text_digest"])
+    return whole.unionByName(repeated.drop("__text_digest"))
 
 
 ORACLE = """

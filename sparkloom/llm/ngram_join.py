@@ -238,5 +238,5 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that a chain of links ties to a smaller id. Rows with a null id stay."""
     found = ngram_join(docs, n, percent, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(checkpointed(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(checkpointed(gone), docs[id_col] == F.col("__gone_id"), "left_anti")
