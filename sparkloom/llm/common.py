@@ -48,13 +48,13 @@ def crc_mod(ids, modulus: int) -> np.ndarray:
 
 
 def keep_memory() -> None:
-    """Lets this process keep up to 192 MB of freed memory for its next arrays, instead of giving it back and faulting it in again."""
+    """Lets this process keep up to 96 MB of freed memory for its next arrays, instead of giving it back and faulting it in again."""
     if not _powers.get("kept"):
         _powers["kept"] = True
         try:
             libc = ctypes.CDLL(None)
             libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-            libc.mallopt(-1, 192 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-1, 96 << 20)  # M_TRIM_THRESHOLD
         except (OSError, AttributeError):
             pass  # another C library: only slower
 

@@ -161,12 +161,12 @@ def crop(data: bytes, doc_key: int, crops: int, length: int = WINDOW) -> list[by
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, per_language: int = PER_LANGUAGE, crops: int = CROPS) -> ByteCnn | None:
     """A network from the labelled rows whose crc32(id) mod modulus is not held."""
-    labelled = docs.where((holdout(id_col, modulus) != held) & F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col)) > 0))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    labelled = rows.where((holdout("id", modulus) != held) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
-    chosen = chosen.select(F.col("id").alias("_id")).distinct()
+    chosen = labelled.select("lang", "id", F.xxhash64("id").alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("id").distinct()
     cut = F.udf(lambda t, h: [bytes(x) for x in crop(t.encode(), h, crops)], "array<binary>")
-    rows = labelled.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi").select(F.col(lang_col).alias("lang"), cut(F.col(text_col), F.xxhash64(F.col(id_col))).alias("crops"), F.xxhash64(F.col(id_col)).alias("h"))
+    rows = labelled.join(F.broadcast(chosen), "id", "left_semi").select("lang", cut("text", F.xxhash64("id")).alias("crops"), F.xxhash64("id").alias("h"))
     found = sorted((r["h"], r["lang"], [bytes(c) for c in r["crops"]]) for r in rows.toLocalIterator())
     if not found:
         return None

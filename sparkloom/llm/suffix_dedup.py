@@ -31,7 +31,7 @@ from . import packed
 from .common import Rolling, bits_for, block_of, blocks, keep_memory, text_bytes, text_size
 from .exact_dedup import exact_dedup
 
-DEPTH, COVER_ORDER, PIECE, WIDE = 400, 2, 2_000_000, 56
+DEPTH, COVER_ORDER, PIECE, WIDE = 400, 2, 1_000_000, 56
 
 
 def difference_cover(r: int) -> tuple[int, np.ndarray]:
