@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SAME) | {k: v[1] for k, v in PAIRS.items()} | {k: sql for k, (_, sql) in BUILDERS.items()}
+    return dict(SAME) | {k: v[1] for k, v in PAIRS.items()} | {k: sql for k, (_, sql) in BUILDERS.items() if sql}

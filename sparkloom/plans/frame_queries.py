@@ -122,6 +122,11 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
+def sample(spark: SparkSession, d: str) -> DataFrame:
+    """Bernoulli sampling by a seed: Spark's own rows, so there is no SQL for it."""
+    return table(spark, d, "lineitem").sample(False, 0.1, 42).select("l_orderkey", "l_linenumber")
+
+
 BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "rollup_chain": (rollup_chain, """
         select nullif(o_orderstatus, 'P') as status, o_orderpriority, cast(grouping_id(nullif(o_orderstatus, 'P'), o_orderpriority) as bigint) as grouping_id, count(o_orderkey) as n,
@@ -148,5 +153,6 @@ BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         from t left join s using (c_custkey) where not coalesce(s.k < 105, false) and not (s.k is null and t.k = 3)
         union all select * from s where k > 102 and c_custkey not in (select c_custkey from t)"""),
     "deletes_on_read": (deletes, "select o_orderkey from orders where o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0 and o_orderpriority <> '5-LOW'"),
+    "sample_rows": (sample, ""),
     "event_windows": (event_windows, "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n from events group by 1, 2"),
 }

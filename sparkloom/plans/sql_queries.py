@@ -164,7 +164,58 @@ SAME: dict[str, str] = {
         select p_brand, p_partkey from (select *, rank() over (partition by p_brand order by p_size desc) as rk from part) t where rk <= 3""",
 }
 
+SAME |= {
+    "limit_counts": "select count(*) as n from (select o_orderkey from orders limit 37) t",
+    "limit_offset_all": "select count(*) as n from (select o_orderkey from orders order by o_orderkey limit 1000000 offset 100) t",
+    "agg_ungrouped": "select count(*) as n, count(nullif(o_orderstatus, 'F')) as k, min(o_totalprice) as lo, max(o_totalprice) as hi, min(o_orderdate) as d from orders",
+    "agg_expression_keys": "select o_custkey % 10 as k, o_totalprice > 100000 as big, count(*) as n from orders group by o_custkey % 10, o_totalprice > 100000",
+    "agg_null_keys": "select nullif(o_orderstatus, 'O') as k, count(*) as n from orders group by nullif(o_orderstatus, 'O')",
+    "agg_decimal_keys": "select cast(l_discount as decimal(4,2)) as k, count(*) as n from lineitem group by cast(l_discount as decimal(4,2))",
+    "agg_date_keys": "select cast(o_orderdate as date) as k, count(*) as n from orders group by cast(o_orderdate as date)",
+    "join_on_expressions": "select count(*) as n, max(o_orderkey) as m from orders join part on o_custkey % 97 = p_size and o_orderkey % 13 = p_partkey % 13",
+    "join_two_keys": "select a.l_orderkey, a.l_linenumber from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber + 1 and a.l_extendedprice > b.l_extendedprice",
+    "join_null_keys": "select count(*) as n from (select nullif(o_orderstatus, 'F') as k from orders where o_orderkey < 200) a join (select distinct nullif(l_linestatus, 'F') as k from lineitem) b on a.k = b.k",
+    "join_null_safe_keys": "select a.k, count(*) as n from (select nullif(o_orderstatus, 'F') as k from orders where o_orderkey < 200) a join (select distinct nullif(l_linestatus, 'F') as k from lineitem) b on a.k is not distinct from b.k group by a.k",
+    "join_string_keys": "select count(*) as n from supplier join nation on concat('NATION_', cast(s_nationkey as varchar(10))) = n_name",
+    "join_left_theta": "select r_name, n_name from region left join nation on n_nationkey < r_regionkey * 3 and n_regionkey <> r_regionkey",
+    "join_semi_residual": "select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_extendedprice > 0.6 * o_totalprice)",
+    "join_anti_residual": "select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 10)",
+    "cte_reused": "with t as (select o_custkey, count(*) as n from orders group by o_custkey) select a.n, count(*) as k from t a join t b on a.o_custkey = b.o_custkey group by a.n",
+    "correlated_scalar": "select c_custkey, (select max(o_orderkey) from orders where o_custkey = c_custkey) as m from customer",
+    "window_running_avg": "select o_orderkey, sum(cast(o_totalprice as decimal(12,2))) over w as s from orders window w as (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row)",
+    "window_null_partition": "select p_partkey, count(*) over (partition by nullif(p_type, 'PROMO') order by p_partkey) as n from part",
+}
+
 PAIRS: dict[str, tuple[str, str]] = {
+    "window_ignore_nulls": (
+        "select o_orderkey, last_value(nullif(o_orderstatus, 'O')) ignore nulls over (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row) as s from orders",
+        "select o_orderkey, last_value(nullif(o_orderstatus, 'O') ignore nulls) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row) as s from orders",
+    ),
+    "monotonic_ids": (
+        "select count(*) as n, count(distinct i) as d from (select monotonically_increasing_id() as i from orders) t",
+        "select count(*) as n, count(*) as d from orders",
+    ),
+    "sort_by": ("select o_orderkey, o_totalprice from orders where o_orderkey < 3000 sort by o_totalprice desc", "select o_orderkey, o_totalprice from orders where o_orderkey < 3000"),
+    "nan_order": (
+        "select k, x > 1.0D as gt, x = double('NaN') as eq, x in (double('NaN'), 2.0D) as isin from (select o_orderkey as k, case when o_orderkey % 3 = 0 then double('NaN') when o_orderkey % 3 = 1 then -0.0D else 2.0D end as x from orders) t",
+        "select k, x > 1.0 as gt, x = 'NaN'::double as eq, x in ('NaN'::double, 2.0) as isin from (select o_orderkey as k, case when o_orderkey % 3 = 0 then 'NaN'::double when o_orderkey % 3 = 1 then 0.0::double else 2.0::double end as x from orders) t",
+    ),
+    "decimal_arithmetic": (
+        "select l_orderkey, l_linenumber, cast(a + b as decimal(14,4)) as s, cast(a - b as decimal(14,4)) as d, cast(a * b as decimal(18,6)) as m, abs(b - a) > 100 as far, -b as neg from (select l_orderkey, l_linenumber, cast(l_extendedprice as decimal(12,2)) as a, cast(l_tax as decimal(5,4)) as b from lineitem) t",
+        "select l_orderkey, l_linenumber, cast(a + b as decimal(14,4)) as s, cast(a - b as decimal(14,4)) as d, cast(a * b as decimal(18,6)) as m, abs(b - a) > 100 as far, -b as neg from (select l_orderkey, l_linenumber, cast(l_extendedprice as decimal(12,2)) as a, cast(l_tax as decimal(5,4)) as b from lineitem) t",
+    ),
+    "fn_math_more": (
+        "select p_partkey, round(expm1(p_size / 50.0D), 9) as a, round(log1p(p_size), 9) as b, round(hypot(p_size, 3), 9) as c, round(acos(1.0D / (1 + p_size)), 9) as d, round(cosh(p_size / 30.0D), 9) as e, round(asinh(p_size), 9) as f, round(acosh(1 + p_size), 9) as g, round(atanh(1.0D / (1 + p_size)), 9) as h, round(sec(p_size / 40.0D), 9) as i, round(csc(p_size), 6) as j, signum(p_size - 20.0D) as k, positive(p_size) as l, negative(p_size) as m, round(log(2, p_size), 9) as n from part",
+        "select p_partkey, round(exp(p_size / 50.0::double) - 1, 9) as a, round(ln(1 + p_size), 9) as b, round(sqrt(p_size * p_size + 9), 9) as c, round(acos(1.0::double / (1 + p_size)), 9) as d, round(cosh(p_size / 30.0::double), 9) as e, round(asinh(p_size), 9) as f, round(acosh(1 + p_size), 9) as g, round(atanh(1.0::double / (1 + p_size)), 9) as h, round(1 / cos(p_size / 40.0::double), 9) as i, round(1 / sin(p_size), 6) as j, cast(sign(p_size - 20.0) as double) as k, p_size as l, -p_size as m, round(log(2, p_size), 9) as n from part",
+    ),
+    "fn_cast_strings": (
+        "select event_id, cast(cast(ts as date) as string) as d, cast(value > 50 as string) as b, cast('  42 ' as int) as i, try_cast('x1' as double) as x, cast('true' as boolean) as t, cast(cast(event_id as decimal(12,2)) as string) as s, cast(cast(value as decimal(10,2)) as bigint) as l from events",
+        "select event_id, cast(cast(ts as date) as varchar) as d, cast(value > 50 as varchar) as b, 42 as i, try_cast('x1' as double) as x, cast('true' as boolean) as t, cast(cast(event_id as decimal(12,2)) as varchar) as s, cast(trunc(cast(value as decimal(10,2))) as bigint) as l from events",
+    ),
+    "fn_time_units": (
+        "select event_id, cast(timestamp_millis(event_id * 1000) as timestamp_ntz) as a, cast(timestamp_micros(event_id) as timestamp_ntz) as b, unix_millis(cast(date_trunc('SECOND', ts) as timestamp)) as c, unix_seconds(cast(ts as timestamp)) as d, from_unixtime(event_id, 'yyyy-MM-dd HH:mm:ss') as e, cast(cast(cast(ts as date) as timestamp) as timestamp_ntz) as f from events",
+        "select event_id, cast(make_timestamp(event_id * 1000000) as timestamp) as a, cast(make_timestamp(event_id) as timestamp) as b, cast(epoch_ms(date_trunc('second', ts)) as bigint) as c, cast(floor(epoch(ts)) as bigint) as d, strftime(make_timestamp(event_id * 1000000), '%Y-%m-%d %H:%M:%S') as e, cast(cast(ts as date) as timestamp) as f from events",
+    ),
     "agg_statistics": (
         """select p_brand, count(*) as n, round(stddev_samp(p_size), 6) as sd, round(var_pop(p_size), 6) as vp, round(skewness(p_size), 6) as sk, round(kurtosis(p_size), 6) as ku from part group by p_brand""",
         """select p_brand, count(*) as n, round(stddev_samp(p_size), 6) as sd, round(var_pop(p_size), 6) as vp,
