@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text in a block, and entries of a bucket, that are aimed at.
-BLOCK_BYTES, BUCKET_ENTRIES = 12_000_000, 4_000_000
+BLOCK_BYTES, BUCKET_ENTRIES = 8_000_000, 1_500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict = {}
 
@@ -48,13 +48,13 @@ def crc_mod(ids, modulus: int) -> np.ndarray:
 
 
 def keep_memory() -> None:
-    """Lets this process keep up to 96 MB of freed memory for its next arrays, instead of giving it back and faulting it in again."""
+    """Lets this process keep up to 64 MB of freed memory for its next arrays, instead of giving it back and faulting it in again."""
     if not _powers.get("kept"):
         _powers["kept"] = True
         try:
             libc = ctypes.CDLL(None)
             libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-            libc.mallopt(-1, 96 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
         except (OSError, AttributeError):
             pass  # another C library: only slower
 
@@ -75,7 +75,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 4_000_000):
+def pieces(offsets: np.ndarray, most: int = 1_000_000):
     """Ranges (first, last) of rows whose bytes are at most `most`, or one row if that is longer."""
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -182,8 +182,17 @@ def bits_for(entries: float, least: int = 4) -> int:
     return min(20, max(least, int(np.ceil(np.log2(max(1.0, entries / BUCKET_ENTRIES))))))
 
 
-def block_of(id_col: str, n_bytes: int, block_bytes: int = BLOCK_BYTES) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(8, -(-n_bytes // block_bytes)))).cast("int")
+def width_for(bits: int) -> int:
+    """Bits that are sent of a key besides `bits`, so that at least 60 of its 64 decide."""
+    return 56 if bits <= 8 else 48 if bits <= 16 else 40
+
+
+def block_count(n_bytes: int) -> int:
+    return max(8, -(-n_bytes // BLOCK_BYTES))
+
+
+def block_of(id_col: str, n_bytes: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(block_count(n_bytes))).cast("int")
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, n_bytes: int) -> DataFrame:

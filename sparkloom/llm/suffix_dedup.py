@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import Rolling, bits_for, block_of, blocks, keep_memory, text_bytes, text_size
+from .common import Rolling, bits_for, block_of, blocks, keep_memory, text_bytes, text_size, width_for
 from .exact_dedup import exact_dedup
 
-DEPTH, COVER_ORDER, PIECE, WIDE = 400, 2, 1_000_000, 56
+DEPTH, COVER_ORDER, PIECE = 400, 2, 1_000_000
 
 
 def difference_cover(r: int) -> tuple[int, np.ndarray]:
@@ -104,7 +104,8 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, ke
     id_sql, id_arrow = id_type.simpleString(), to_arrow_type(id_type)
     v, cover = cover_for(depth, order)
     _, n_bytes = text_size(docs, text_col)
-    bits, wide_bits = bits_for(n_bytes * len(cover) / v), min(8, bits_for(n_bytes / 5))
+    bits, wide_bits = bits_for(n_bytes * len(cover) / v), min(16, bits_for(n_bytes / 5))
+    wide = width_for(wide_bits)
     dealt = blocks(docs, id_col, text_col, n_bytes)
     copies = exact_dedup(docs, id_col, text_col).where("group_size > 1")
     info = copies.select(block_of("doc_id", n_bytes).alias("blk"), F.lit(0).alias("stage"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("code"), F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stands"))
@@ -166,14 +167,14 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, ke
     def gathered(text: Text, more: pa.Table):
         got = list(open_suffixes(text, more))
         number, offset, key = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(3))
-        return number, offset, packed.short(key.astype(np.uint64), wide_bits, WIDE)
+        return number, offset, packed.short(key.astype(np.uint64), wide_bits, wide)
 
     def send_suffixes(table: pa.Table, more: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return packed.messages(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), WIDE)
+            return packed.messages(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), wide)
         _, _, key = gathered(local(table, more)[3], more)
         keys, times = np.unique(key, return_counts=True)
-        return packed.messages(table.column("blk")[0].as_py(), keys, times, WIDE)
+        return packed.messages(table.column("blk")[0].as_py(), keys, times, wide)
 
     fields = [("doc_id", id_arrow), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     out_schema = pa.schema(fields + [("kept", pa.binary())] * keep)
@@ -210,6 +211,6 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, ke
     grouped = dealt.groupBy("blk")
     first = packed.count(grouped.cogroup(info.groupBy("blk")).applyInArrow(send_sample, packed.MESSAGE))
     more = info.unionByName(as_side(first, 1))
-    second = packed.count(grouped.cogroup(more.groupBy("blk")).applyInArrow(send_suffixes, packed.MESSAGE), WIDE)
+    second = packed.count(grouped.cogroup(more.groupBy("blk")).applyInArrow(send_suffixes, packed.MESSAGE), wide)
     more = more.unionByName(as_side(second, 2))
     return grouped.cogroup(more.groupBy("blk")).applyInArrow(finish, f"doc_id {id_sql}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep)

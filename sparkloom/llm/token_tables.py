@@ -13,7 +13,7 @@ from collections.abc import Callable
 import ahocorasick
 
 #: Most entries of a memo; it is emptied when full, so a worker's memory is bounded.
-MEMO = 800_000
+MEMO = 300_000
 
 
 class PrefixTable:
