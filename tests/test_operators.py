@@ -220,3 +220,18 @@ def test_runtime_bloom_filter(spark):
     finally:
         spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hash_functions(spark):
+    import hashlib
+    import zlib
+
+    import xxhash
+
+    words = ["", "a", "Spark", "ünï", "x" * 100]
+    df = spark.createDataFrame([(w,) for w in words], "s string").select("s", F.xxhash64("s").alias("x"), F.crc32(F.col("s").cast("binary")).alias("c"), F.md5("s").alias("m"), F.sha2("s", 0).alias("h"))
+    for r in df.collect():
+        b = r["s"].encode()
+        signed = xxhash.xxh64_intdigest(b, 42)
+        assert r["x"] == (signed - (1 << 64) if signed >> 63 else signed)
+        assert r["c"] == zlib.crc32(b) and r["m"] == hashlib.md5(b).hexdigest() and r["h"] == hashlib.sha256(b).hexdigest()
