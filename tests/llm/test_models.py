@@ -166,6 +166,15 @@ def test_tables_lie_between_one_and_customers():
     assert abs(flat.mean() - sum(2 / (2 + k) if k else 1 for k in range(10))) < 0.1
 
 
+def test_seats_round_trip():
+    rng = np.random.default_rng(5)
+    customers = rng.choice([0, 1, 1, 1, 2, 7, 254, 255, 70000], 500).astype(np.uint32)
+    seats = np.where(customers > 1, rng.integers(4, 9000, 500), np.minimum(customers, 1) * language_model.DRAWS).astype(np.uint32)
+    owner = ((customers > 1) & (rng.random(500) < 0.5)).astype(np.uint8)
+    got = language_model.unpack_seats(language_model.pack_seats(customers, seats, owner), 500)
+    assert all((a == b).all() for a, b in zip(got, (customers, seats, owner)))
+
+
 ITEM = "A train leaves Paris at 9 and travels 120 km to Lyon while another train leaves Lyon at 11 and travels 80 km toward Paris before they meet"
 
 
