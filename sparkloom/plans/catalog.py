@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import register
+from ..sources.tables import ALL, register
 from .frame_queries import BUILDERS
 from .sql_queries import PAIRS, SAME
 
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    named = [t for t in ALL if re.search(rf"\b{t}\b", text)]
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, named)
         return spark.sql(text)
 
     return run

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
     """Temporary views of the tables, by name."""
-    for name in names or ALL:
+    for name in ALL if names is None else names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
