@@ -14,13 +14,20 @@ def labels_of(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> Data
     return rows.where("_id is not null and label is not null").groupBy("_id").agg(F.max("label").alias("label"))
 
 
+def first_by_hash(rows: DataFrame, group: str, n: int, salts: int = 64) -> DataFrame:
+    """The n rows of each group with the least (h, _id). Salted parts are cut first, so a hot group is no task's burden."""
+    part = F.pmod(F.col("h"), F.lit(salts))
+    for keys in ([group, part], [group]):
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "_id"))).where(F.col("nth") <= n).drop("nth")
+    return rows
+
+
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, modulus: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, float]]:
     """(id, text, label) of at most per_class rows of each class, chosen by a hash of the id among rows whose crc32(id) mod
     modulus is not held; and what each sampled row of a class stands for."""
     ids = docs.select(F.col(id_col).alias("_id")).where(holdout("_id", modulus) != held).distinct()
     known = labels_of(labels, label_col, id_col).join(ids, "_id", "left_semi").select("_id", "label", F.xxhash64("_id").alias("h"))
-    order = Window.partitionBy("label").orderBy("h", "_id")
     counted = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
-    chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class).select("_id", "label")
+    chosen = first_by_hash(known, "label", per_class).select("_id", "label")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
     return rows.select(F.col("_id").alias("id"), "text", "label"), {k: n / min(n, per_class) for k, n in counted.items()}

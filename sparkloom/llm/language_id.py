@@ -18,10 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, holdout, keep_memory, text_bytes
+from .labelled import first_by_hash
 
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 16
 PER_LANGUAGE, CROPS, EPOCHS, SEED = 1500, 2, 6, 11
@@ -163,8 +164,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A network from the labelled rows whose crc32(id) mod modulus is not held."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = rows.where((holdout("id", modulus) != held) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = labelled.select("lang", "id", F.xxhash64("id").alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("id").distinct()
+    chosen = first_by_hash(labelled.select("lang", F.col("id").alias("_id"), F.xxhash64("id").alias("h")), "lang", per_language)
+    chosen = chosen.select(F.col("_id").alias("id")).distinct()
     cut = F.udf(lambda t, h: [bytes(x) for x in crop(t.encode(), h, crops)], "array<binary>")
     rows = labelled.join(F.broadcast(chosen), "id", "left_semi").select("lang", cut("text", F.xxhash64("id")).alias("crops"), F.xxhash64("id").alias("h"))
     found = sorted((r["h"], r["lang"], [bytes(c) for c in r["crops"]]) for r in rows.toLocalIterator())
