@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNS, crc_mod, in_rows, keep_memory, text_bytes, words_of_rows
+from .common import SIGNS, crc_mod, in_rows, keep_memory, pieces, text_bytes, word_hashes
 from .labelled import sample
 
 PER_CLASS, TERMS, FACTORS, LEAST_DF, EPOCHS, SEED = 3000, 4096, 8, 3, 12, 5
@@ -30,10 +30,12 @@ PER_CLASS, TERMS, FACTORS, LEAST_DF, EPOCHS, SEED = 3000, 4096, 8, 3, 12, 5
 STEMS = (3, 4, 5, 6)
 
 
-def terms(text: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms of each text, and their offsets."""
+def terms(text: pa.Array | pa.ChunkedArray):
+    """Some texts at a time, about 1 MB: the first and the last row, hashes of all their terms, and offsets."""
     keep_memory()
-    return words_of_rows(*text_bytes(text), SIGNS, STEMS)
+    data, offsets = text_bytes(text)
+    for first, last in pieces(offsets):
+        yield first, last, *word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], SIGNS, STEMS)
 
 
 def rows_of(offsets: np.ndarray) -> np.ndarray:
@@ -66,7 +68,9 @@ class FactorizationMachine:
         return z
 
     def score(self, text: pa.Array | pa.ChunkedArray) -> np.ndarray:
-        z = self.raw(*self.present(*terms(text)))
+        z = np.zeros(len(text))
+        for first, last, hashes, offsets in terms(text):
+            z[first:last] = self.raw(*self.present(hashes, offsets))
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
     @classmethod
@@ -129,8 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
 
     def run(batches):
         for batch in batches:
-            h, offsets = terms(batch.column(0))
-            out = [np.unique(h[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])]
+            out = [np.unique(h[a:b]).tobytes() for _, _, h, offsets in terms(batch.column(0)) for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), batch.column(2)], ["h", "terms", "label"])
 
     found = rows.select("text", F.xxhash64("id").alias("h"), "label").mapInArrow(run, "h long, terms binary, label int")
