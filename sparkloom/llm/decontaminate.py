@@ -147,9 +147,10 @@ class Bench:
         at = np.minimum(np.searchsorted(keys, x[maybe]), len(keys) - 1)
         return maybe[keys[at] == x[maybe]]
 
-    def matches(self, c: Canonical, row: int, places: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[int, float, int, bool] | None:
-        """For one text: the best item, its similarity, its longest run in words, and whether slots were re-filled."""
-        best = None
+    def matches(self, c: Canonical, row: int, places: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[int | None, float, int, bool, int | None] | None:
+        """For one text: the item of the greatest similarity, that similarity, the longest run in words over all items,
+        whether the former's slots were re-filled, and the item of that run. Of equals, the first item counts."""
+        near, far = (0.0, 0, False), (0, 0)  # (similarity, -item, re-filled), (run, -item)
         for kind in (1, 0):
             pairs = defaultdict(list)
             for p in places[kind].tolist():
@@ -159,22 +160,24 @@ class Bench:
                 refilled = False
                 if kind == 0:
                     found, refilled = self.consistent(c, found)
-                share = len({q for _, q in found}) / self.total[kind][item]
-                # A run: windows at p, p + 1, ... that match q, q + 1, ...
-                run = longest = 0
-                seen = set(found)
-                for p, q in seen:
-                    if (p - 1, q - 1) not in seen:
-                        run = 1
-                        while (p + run, q + run) in seen:
-                            run += 1
-                        longest = max(longest, run + WINDOW - 1)
-                longest = longest if kind == 1 else 0
-                if best is None or (share, longest) > best[1:3]:
-                    best = (item, share, longest, refilled)
-                elif longest > best[2]:
-                    best = (*best[:2], longest, best[3])
-        return best
+                near = max(near, (len({q for _, q in found}) / self.total[kind][item], -item, refilled), key=lambda x: x[:2])
+                if kind == 1:
+                    far = max(far, (self.longest(found), -item))
+        if not near[0] and not far[0]:
+            return None
+        return (-near[1] if near[0] else None, near[0], far[0], near[2], -far[1] if far[0] else None)
+
+    @staticmethod
+    def longest(found: list[tuple[int, int]]) -> int:
+        """Words of the longest run: windows at p, p + 1, ... that match q, q + 1, ..."""
+        seen, most = set(found), 0
+        for p, q in seen:
+            if (p - 1, q - 1) not in seen:
+                run = 1
+                while (p + run, q + run) in seen:
+                    run += 1
+                most = max(most, run)
+        return most + WINDOW - 1 if most else 0
 
     def consistent(self, c: Canonical, found: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bool]:
         """The windows whose slots agree with what most windows say, each value for one value; and whether any differs."""
@@ -191,7 +194,8 @@ class Bench:
 
 
 def examine(bench: Bench, text: pa.Array | pa.ChunkedArray, similarity: float = SIMILARITY, run: int = RUN) -> list[tuple | None]:
-    """For each text, (item number, similarity, run, re-filled, contaminated) of its best item, or None."""
+    """For each text, (item number, similarity, run, re-filled, contaminated, item number of the run), or None: the greatest
+    similarity and the longest run, each over all items."""
     keep_memory()
     data, offsets = text_bytes(text)
     out: list[tuple | None] = [None] * (len(offsets) - 1)
@@ -208,7 +212,7 @@ def examine(bench: Bench, text: pa.Array | pa.ChunkedArray, similarity: float =
             places = [h[(q == r) & (h < end)] for h, q in zip(hits, rows)]
             found = bench.matches(c, r, places, hashes)
             if found:
-                out[first + r] = (*found, found[1] >= similarity or found[2] >= run)
+                out[first + r] = (*found[:4], found[1] >= similarity or found[2] >= run, found[4])
     return out
 
 
@@ -228,9 +232,10 @@ def slices(benchmark: DataFrame, item_col: str, text_col: str, most: int = SLICE
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
-    """Per row of docs: doc_id, contaminated, item_id (the best match, or null), similarity, run_words, refilled."""
+    """Per row of docs: doc_id, contaminated, item_id (of the greatest similarity, or null), similarity, run_words (the longest
+    run of any item), refilled, run_item_id (the item of that run, or null)."""
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, contaminated boolean, item_id {item_type}, similarity double, run_words int, refilled boolean"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, contaminated boolean, item_id {item_type}, similarity double, run_words int, refilled boolean, run_item_id {item_type}"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = []
     for ids, texts in slices(benchmark, item_col, item_text_col):
@@ -240,8 +245,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for batch in batches:
                 found = examine(bench, batch.column(1), similarity, run)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([bool(f and f[4]) for f in found], pa.bool_()), pa.array([ids[f[0]] if f else None for f in found], out_type), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array([f[2] if f else 0 for f in found], pa.int32()), pa.array([bool(f and f[3]) for f in found], pa.bool_())],
-                    ["doc_id", "contaminated", "item_id", "similarity", "run_words", "refilled"],
+                    [batch.column(0), pa.array([bool(f and f[4]) for f in found], pa.bool_()), pa.array([ids[f[0]] if f and f[0] is not None else None for f in found], out_type), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array([f[2] if f else 0 for f in found], pa.int32()), pa.array([bool(f and f[3]) for f in found], pa.bool_()), pa.array([ids[f[5]] if f and f[5] is not None else None for f in found], out_type)],
+                    ["doc_id", "contaminated", "item_id", "similarity", "run_words", "refilled", "run_item_id"],
                 )
 
         from pyspark.sql.pandas.types import to_arrow_type
@@ -249,14 +254,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out_type = to_arrow_type(benchmark.schema[item_col].dataType)
         parts.append(rows.mapInArrow(look, schema))
     if not parts:
-        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast(item_type).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("run_words"), F.lit(False).alias("refilled"))
+        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast(item_type).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("run_words"), F.lit(False).alias("refilled"), F.lit(None).cast(item_type).alias("run_item_id"))
     if len(parts) == 1:
         return parts[0]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    best = F.max_by(F.struct("contaminated", "item_id", "similarity", "run_words", "refilled"), F.struct("contaminated", "similarity", "run_words")).alias("b")
-    return checkpointed(out).groupBy("doc_id").agg(best).select("doc_id", "b.*")
+    near = F.max_by(F.struct("item_id", "similarity", "refilled"), F.col("similarity")).alias("near")
+    far = F.max_by(F.struct("run_words", "run_item_id"), F.col("run_words")).alias("far")
+    best = checkpointed(out).groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), near, far)
+    return best.select("doc_id", "contaminated", "near.item_id", "near.similarity", "far.run_words", "near.refilled", "far.run_item_id")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:

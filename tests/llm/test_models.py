@@ -212,6 +212,24 @@ def test_decontamination_in_slices_and_edges(spark, monkeypatch):
     assert decontaminate.contamination(empty(spark), bench).count() == 0
 
 
+def examined(text, *items):
+    return decontaminate.examine(decontaminate.Bench(list(range(len(items))), list(items)), pa.array([text]))[0]
+
+
+def test_a_run_is_kept_beside_a_greater_share_of_another_item():
+    long, short = prose(11, 60), "we went home by bus today at noon sharp"
+    got = examined(" ".join([*long.split()[:16], "xx", "yy", *short.split()[:7]]), long, short)
+    assert got[4] and got[2] == 16 and got[0] == 1 and got[1] == 0.6
+    assert got[5] == 0
+
+
+def test_a_run_is_kept_beside_a_greater_template_share():
+    plain = "we saw ants carry small green boxes to that old barn near our"
+    item = f"{plain} {' '.join(map(str, range(20)))} house where two brown bears sleep through every long cold winter night until spring"
+    got = examined(f"{plain} yard", item)
+    assert got[4] and got[2] == 13 and got[1] < 0.8
+
+
 def test_window_hits_equal_brute_force():
     texts = [prose(k, 60) for k in range(20)]
     bench = decontaminate.Bench([1, 2], [texts[3], " ".join(texts[5].split()[:30])])
