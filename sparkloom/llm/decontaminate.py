@@ -3,7 +3,8 @@
 Words become canonical: numbers, units after a number, and names (capitalised words inside a sentence) turn into typed
 placeholders; other words are lower-cased (A-Z). Windows of WINDOW canonical words are looked up in a hash table of the
 benchmark's windows. Where a window has placeholders, the values that stand in its slots must fit together over the
-whole match: one item value, one document value, and the other way round. So a question with other numbers or names is
+match: one item value, one document value (two item values may become the same). Each passage of a text is tried as a
+re-filling of its own. So a question with other numbers or names is
 found, and a text that only has the same words around unrelated slots is not. Windows of plain words (no placeholders)
 are looked up too, for copies whose case was changed.
 
@@ -157,10 +158,8 @@ class Bench:
                 for q in self.of[kind, int(hashes[kind][p])]:
                     pairs[int(self.owner[q])].append((p, q))
             for item, found in pairs.items():
-                refilled = False
-                if kind == 0:
-                    found, refilled = self.consistent(c, found)
-                near = max(near, (len({q for _, q in found}) / self.total[kind][item], -item, refilled), key=lambda x: x[:2])
+                good, refilled = self.consistent(c, found) if kind == 0 else ({q for _, q in found}, False)
+                near = max(near, (len(good) / self.total[kind][item], -item, refilled), key=lambda x: x[:2])
                 if kind == 1:
                     far = max(far, (self.longest(found), -item))
         if not near[0] and not far[0]:
@@ -179,18 +178,62 @@ class Bench:
                 most = max(most, run)
         return most + WINDOW - 1 if most else 0
 
-    def consistent(self, c: Canonical, found: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bool]:
-        """The windows whose slots agree with what most windows say, each value for one value; and whether any differs."""
-        b, votes, slots = self.words, Counter(), {}
+    def consistent(self, c: Canonical, found: list[tuple[int, int]]) -> tuple[list[int], bool]:
+        """The item's windows under the best re-filling that the text holds, and whether it differs from the item.
+
+        A re-filling gives each item value one document value. Each passage (hits of one alignment p - q, alone and with
+        those up to WINDOW away, where words were put in or left out) votes for one; slots it does not know are settled by
+        the hits elsewhere that agree with it. The votes of the whole text are one more candidate."""
+        b, number, aligned = self.words, {}, defaultdict(set)
         for p, q in found:
-            slots[p, q] = [((int(b.kind[q + k]), b.value(q + k)), c.value(p + k)) for k in range(WINDOW) if b.kind[q + k] != WORD]
-            votes.update(slots[p, q])
-        there, back = {}, {}
-        for (left, right), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
-            if left not in there and (left[0], right) not in back:
-                there[left], back[left[0], right] = right, left
-        good = [w for w in found if all(there.get(left) == right for left, right in slots[w])]
-        return good, any(left[1] != right for w in good for left, right in slots[w])
+            slots = frozenset(((int(b.kind[q + k]), b.value(q + k)), c.value(p + k)) for k in range(WINDOW) if b.kind[q + k] != WORD)
+            aligned[p - q].add(number.setdefault((q, slots), len(number)))
+        pairs = sorted({x for _, slots in number for x in slots})
+        if not pairs:
+            return sorted({q for q, _ in number}), False
+        of_pair, of_slot = {x: k for k, x in enumerate(pairs)}, {x: k for k, x in enumerate(sorted({left for left, _ in pairs}))}
+        # The last slot and its one pair stand for no slot.
+        slot = np.array([of_slot[left] for left, _ in pairs] + [len(of_slot)])
+        held = np.full((len(number), WINDOW), len(pairs))
+        for k, (_, slots) in enumerate(number):
+            held[k, : len(slots)] = [of_pair[x] for x in slots]
+        window = np.array([q for q, _ in number])
+
+        def vote(hits, there: np.ndarray) -> None:
+            votes = np.bincount(held[hits].ravel(), minlength=len(slot))
+            order = np.lexsort((-votes, slot))
+            order = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])]
+            order = order[(votes[order] > 0) & (there[slot[order]] < 0)]
+            there[slot[order]] = order
+
+        edges, seeds = sorted(aligned), {()}
+        for k, d in enumerate(edges):
+            near = set()
+            for step, j in ((1, k), (-1, k - 1)):
+                while 0 <= j < len(edges) and abs(edges[j] - d) <= WINDOW:
+                    near |= aligned[edges[j]]
+                    j += step
+            seeds |= {tuple(sorted(aligned[d])), tuple(sorted(near))}
+        most, best, tried = len(set(window.tolist())), None, set()
+        for seed in sorted(seeds, key=lambda x: (-len(x), x)):
+            there = np.full(len(of_slot) + 1, -1)
+            there[-1] = len(pairs)
+            vote(list(seed), there)
+            if there.tobytes() in tried:
+                continue
+            tried.add(there.tobytes())
+            told = there[slot[held]]
+            fits = np.flatnonzero(((told < 0) | (told == held)).all(1))
+            if best is not None and len(np.unique(window[fits])) <= len(best[0]):
+                continue
+            vote(fits, there)
+            fits = fits[(there[slot[held[fits]]] == held[fits]).all(1)]
+            good = np.unique(window[fits])
+            if best is None or len(good) > len(best[0]):
+                best = (good, fits)
+            if len(good) == most:
+                break
+        return best[0].tolist(), any(pairs[x][0][1] != pairs[x][1] for x in np.unique(held[best[1]]).tolist() if x < len(pairs))
 
 
 def examine(bench: Bench, text: pa.Array | pa.ChunkedArray, similarity: float = SIMILARITY, run: int = RUN) -> list[tuple | None]:

@@ -230,6 +230,36 @@ def test_a_run_is_kept_beside_a_greater_template_share():
     assert got[4] and got[2] == 13 and got[1] < 0.8
 
 
+BOX = "If a box holds 3 red balls and 5 blue balls how many balls are there"
+
+
+def test_item_values_may_become_one_value():
+    got = examined(BOX.replace("3", "4").replace("5", "4"), BOX)
+    assert got[1] == 1 and got[3] and got[4]
+
+
+def test_two_refillings_in_one_text_do_not_mix():
+    def refill(a, b):
+        return BOX.replace("3", "#").replace("5", str(b)).replace("#", str(a))
+
+    for text in (f"{refill(9, 7)} {refill(8, 6)}", f"{refill(6, 9)} or {refill(7, 8)}", f"{refill(7, 6)} {prose(1, 30)} {refill(6, 9)} {refill(9, 6)}"):
+        got = examined(text, BOX)
+        assert got[1] == 1 and got[4], text
+
+
+def test_common_windows_elsewhere_do_not_outvote_a_passage():
+    passage = BOX.replace("3", "12").replace("5", "40")
+    noise = " . ".join("then a box holds 77 red balls and 88 blue balls how nice" for _ in range(50))
+    got = examined(f"{noise} . {passage} . {noise}", BOX)
+    assert got[1] == 1 and got[4]
+    assert not examined(noise, BOX)[4]
+
+
+def test_slots_of_one_value_still_contradict():
+    item = "If Anna has 5 apples and Anna gives 5 apples to Ben then what does Anna now hold of those 5 apples"
+    assert not examined("If Eva has 5 apples and Tom gives 7 apples to Ben then what does Kim now hold of those 9 apples", item)[4]
+
+
 def test_window_hits_equal_brute_force():
     texts = [prose(k, 60) for k in range(20)]
     bench = decontaminate.Bench([1, 2], [texts[3], " ".join(texts[5].split()[:30])])
