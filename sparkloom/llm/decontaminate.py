@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
-Words become canonical: numbers, units after a number, and names (capitalised words inside a sentence) turn into typed
-placeholders; other words are lower-cased (A-Z). Windows of WINDOW canonical words are looked up in a hash table of the
+Words become canonical: numbers (with their separators), units after a number, and names (capitalised words side by side
+inside a sentence) turn into typed placeholders; other words are lower-cased (A-Z). Capitalised words that open a
+sentence are read both as ordinary words and as names. Windows of WINDOW canonical words are looked up in a hash table of the
 benchmark's windows. Where a window has placeholders, the values that stand in its slots must fit together over the
 match: one item value, one document value (two item values may become the same). Each passage of a text is tried as a
 re-filling of its own. So a question with other numbers or names is
@@ -19,19 +20,24 @@ columns are carried or ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SIGNS, U64, Rolling, checkpointed, keep_memory, mix, pieces, text_bytes
+from .common import LOWER, SIGNS, SPACE, U64, Rolling, checkpointed, keep_memory, mix, pieces, text_bytes
 
 WINDOW, SIMILARITY, RUN, ORDINARY, SLICE_BYTES = 5, 0.8, 13, 3, 16_000_000
 #: Words that count as units after a number.
 UNITS = "% mm cm m km in inch inches ft feet foot mile miles yards mg g kg gram grams lb lbs pound pounds oz ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years hz w kw v usd eur dollar dollars euro euros cent cents percent degrees".split()
+#: Titles that a dot may follow before a name.
+TITLES = "mr mrs ms mx dr prof st rev sr sra srta hr fr mme mlle".split()
 WORD, NUMBER, UNIT, NAME = range(4)
+#: Readings of a text, see Canonical.
+TEMPLATES, PLAIN = (0, 1), 2
 PLACEHOLDER = mix(np.arange(4, dtype=np.uint64) + U64(77))
 _KEYS = mix(np.arange(WINDOW, dtype=np.uint64) + U64(990)) | U64(1)
 ENDS = np.zeros(256, bool)
@@ -47,11 +53,40 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return Rolling(data).of(starts, ends)
 
 
-_UNIT_HASHES = np.sort(_hash_of(UNITS))
+_UNIT_HASHES, _TITLE_HASHES = np.sort(_hash_of(UNITS)), np.sort(_hash_of(TITLES))
+
+
+class Reading(NamedTuple):
+    """One way to read the words of many texts: kinds and hashes of tokens, the first word of each, where each ends, and the texts' offsets in tokens."""
+
+    kind: np.ndarray
+    hash: np.ndarray
+    lead: np.ndarray
+    end: np.ndarray
+    rows: np.ndarray
+
+    def windows(self) -> np.ndarray:
+        """Hash of the window at each token."""
+        n = len(self.hash) - WINDOW + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            x = self.hash[:n] * _KEYS[0]
+            for k in range(1, WINDOW):
+                x += self.hash[k : k + n] * _KEYS[k]
+        return mix(x)
+
+    def valid(self) -> np.ndarray:
+        """Whether the window at each token lies in one text and has enough ordinary words."""
+        n = max(0, len(self.hash) - WINDOW + 1)
+        row = np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
+        words = np.concatenate([[0], np.cumsum(self.kind == WORD)])
+        return (row[:n] == row[WINDOW - 1 :][:n]) & (words[WINDOW:][:n] - words[:n] >= ORDINARY)
 
 
 class Canonical:
-    """Words of many texts: where they stand, plain hashes, kinds, canonical hashes, and the texts' offsets in words."""
+    """Words of many texts: where they stand, plain hashes, the texts' offsets in words, and three readings: templates,
+    templates in which capitalised openers of sentences are names, and plain words (names and numbers are ordinary there)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         gap = SIGNS[data] & (data != 37)  # % is a unit
@@ -80,8 +115,30 @@ class Canonical:
         after[1:] = kind[:-1] == NUMBER
         at = np.minimum(np.searchsorted(_UNIT_HASHES, self.plain), len(_UNIT_HASHES) - 1)
         kind[after & ~first & (kind == WORD) & (_UNIT_HASHES[at] == self.plain)] = UNIT
-        self.kind = kind
-        self.hash = np.where(kind == WORD, self.plain, PLACEHOLDER[kind])
+        self.readings = (self.tokens(kind), self.tokens(np.where(capital & opens & (kind == WORD), NAME, kind).astype(np.int8)), Reading(np.zeros(len(s), np.int8), self.plain, np.arange(len(s)), e, self.rows))
+
+    def tokens(self, kind: np.ndarray) -> Reading:
+        """Words as canonical tokens: a number with its separators is one, and so are names side by side."""
+        s, e, n = self.start, self.end, len(self.start)
+        joined = np.zeros(n, bool)
+        if n > 1:
+            gap, left, right = s[1:] - e[:-1], kind[:-1], kind[1:]
+            dots, blanks = self.counts(np.isin(self.data, (44, 46))), self.counts(SPACE[self.data])
+            number = (left == NUMBER) & (right == NUMBER) & (gap == 1) & (dots[s[1:]] > dots[e[:-1]]) & DIGIT[self.data[e[:-1] - 1]] & DIGIT[self.data[s[1:]]]
+            # Between names: blanks, or after a title a dot and blanks.
+            dot = (self.data[np.minimum(e[:-1], len(self.data) - 1)] == 46) & np.isin(self.plain[:-1], _TITLE_HASHES)
+            name = (left == NAME) & (right == NAME) & (blanks[s[1:]] - blanks[e[:-1]] == gap - dot)
+            joined[1:] = number | name
+            starts = self.rows[(self.rows > 0) & (self.rows < n)]
+            joined[starts] = False
+        lead = np.flatnonzero(~joined)
+        kind = kind[lead]
+        last = np.append(lead[1:], n)[: len(lead)] - 1
+        return Reading(kind, np.where(kind == WORD, self.plain[lead], PLACEHOLDER[kind]), lead, e[last], np.searchsorted(lead, self.rows))
+
+    def value(self, reading: int, k: int) -> bytes:
+        r = self.readings[reading]
+        return b" ".join(LOWER[self.data[self.start[r.lead[k]] : r.end[k]]].tobytes().split())
 
     @staticmethod
     def counts(flags: np.ndarray) -> np.ndarray:
@@ -89,30 +146,6 @@ class Canonical:
         np.cumsum(flags, out=out[1:], dtype=np.int32)
         return out
 
-    @staticmethod
-    def window_hashes(hashes: np.ndarray) -> np.ndarray:
-        n = len(hashes) - WINDOW + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            x = hashes[:n] * _KEYS[0]
-            for k in range(1, WINDOW):
-                x += hashes[k : k + n] * _KEYS[k]
-        return mix(x)
-
-    def windows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the window at each word, and whether it lies in one text and has enough ordinary words."""
-        x = self.window_hashes(hashes)
-        n = len(x)
-        if n == 0:
-            return x, np.zeros(0, bool)
-        row = np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
-        words = np.concatenate([[0], np.cumsum(self.kind == WORD)])
-        return x, (row[:n] == row[WINDOW - 1 :]) & (words[WINDOW:] - words[:n] >= ORDINARY)
-
-    def value(self, k: int) -> bytes:
-        return LOWER[self.data[self.start[k] : self.end[k]]].tobytes()
-
 
 class Bench:
     """The windows of one slice of the benchmark."""
@@ -120,24 +153,17 @@ class Bench:
     def __init__(self, ids: list, texts: list[str]):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
         self.ids, self.words = ids, Canonical(data, offsets)
-        c, self.of = self.words, defaultdict(list)
-        self.total = [Counter(), Counter()]
-        keys = []
-        owner = np.repeat(np.arange(len(ids)), np.diff(c.rows))
-        for kind, h in enumerate((c.hash, c.plain)):
-            x, ok = c.windows(h)
-            # A window of plain words may hold names and numbers: they are ordinary words there.
-            ok = ok if kind == 0 else owner[: len(x)] == owner[WINDOW - 1 :][: len(x)] if len(x) else ok
-            for p in np.flatnonzero(ok).tolist():
-                self.of[kind, int(x[p])].append(p)
-                self.total[kind][int(owner[p])] += 1
-            keys.append(np.unique(x[ok]))
-        self.owner, self.keys = owner, keys
-        self.sieve = []
-        for k in keys:
+        self.owner = np.repeat(np.arange(len(ids)), np.diff(self.words.rows))
+        self.keys, self.at, self.sieve, self.starts = [], [], [], []
+        for r in self.words.readings:
+            x, at = r.windows(), np.flatnonzero(r.valid())
+            at = at[np.argsort(x[at], kind="stable")]
+            self.keys.append(x[at])
+            self.at.append(at)
             bits = np.zeros(1 << 20, bool)
-            bits[k >> U64(44)] = True
+            bits[x[at] >> U64(44)] = True
             self.sieve.append(bits)
+            self.starts.append(np.sort(r.lead[at]))
 
     def hits(self, kind: int, x: np.ndarray) -> np.ndarray:
         """Places of the hashes that are windows of an item."""
@@ -148,20 +174,31 @@ class Bench:
         at = np.minimum(np.searchsorted(keys, x[maybe]), len(keys) - 1)
         return maybe[keys[at] == x[maybe]]
 
+    def found(self, kind: int, x: np.ndarray, places: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By item, the pairs (place, token of the benchmark) whose windows are equal."""
+        pairs, r = defaultdict(list), self.words.readings[kind]
+        first, last = (np.searchsorted(self.keys[kind], x[places], side) for side in ("left", "right"))
+        for p, i, j in zip(places.tolist(), first.tolist(), last.tolist()):
+            for q in self.at[kind][i:j].tolist():
+                pairs[int(self.owner[r.lead[q]])].append((p, q))
+        return pairs
+
+    def share(self, kind: int, item: int, words: np.ndarray) -> float:
+        """Share of the item's windows of one reading whose first words are among `words`."""
+        i, j = np.searchsorted(self.starts[kind], self.words.rows[item : item + 2])
+        return float(np.isin(self.starts[kind][i:j], words).mean()) if j > i else 0.0
+
     def matches(self, c: Canonical, row: int, places: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[int | None, float, int, bool, int | None] | None:
         """For one text: the item of the greatest similarity, that similarity, the longest run in words over all items,
         whether the former's slots were re-filled, and the item of that run. Of equals, the first item counts."""
         near, far = (0.0, 0, False), (0, 0)  # (similarity, -item, re-filled), (run, -item)
-        for kind in (1, 0):
-            pairs = defaultdict(list)
-            for p in places[kind].tolist():
-                for q in self.of[kind, int(hashes[kind][p])]:
-                    pairs[int(self.owner[q])].append((p, q))
-            for item, found in pairs.items():
-                good, refilled = self.consistent(c, found) if kind == 0 else ({q for _, q in found}, False)
-                near = max(near, (len(good) / self.total[kind][item], -item, refilled), key=lambda x: x[:2])
-                if kind == 1:
-                    far = max(far, (self.longest(found), -item))
+        for item, found in self.found(PLAIN, hashes[PLAIN], places[PLAIN]).items():
+            near = max(near, (self.share(PLAIN, item, np.unique([q for _, q in found])), -item, False), key=lambda x: x[:2])
+            far = max(far, (self.longest(found), -item))
+        both = [self.found(kind, hashes[kind], places[kind]) for kind in TEMPLATES]
+        for item in sorted(set().union(*both)):
+            good, refilled = self.consistent(c, [(kind, p, q) for kind, found in zip(TEMPLATES, both) for p, q in found.get(item, ())])
+            near = max(near, (max(self.share(kind, item, good) for kind in TEMPLATES), -item, refilled), key=lambda x: x[:2])
         if not near[0] and not far[0]:
             return None
         return (-near[1] if near[0] else None, near[0], far[0], near[2], -far[1] if far[0] else None)
@@ -178,19 +215,21 @@ class Bench:
                 most = max(most, run)
         return most + WINDOW - 1 if most else 0
 
-    def consistent(self, c: Canonical, found: list[tuple[int, int]]) -> tuple[list[int], bool]:
-        """The item's windows under the best re-filling that the text holds, and whether it differs from the item.
+    def consistent(self, c: Canonical, found: list[tuple[int, int, int]]) -> tuple[np.ndarray, bool]:
+        """The item's windows (their first words) under the best re-filling that the text holds, and whether it differs
+        from the item. found: (reading, token of the text, token of the benchmark).
 
         A re-filling gives each item value one document value. Each passage (hits of one alignment p - q, alone and with
         those up to WINDOW away, where words were put in or left out) votes for one; slots it does not know are settled by
         the hits elsewhere that agree with it. The votes of the whole text are one more candidate."""
         b, number, aligned = self.words, {}, defaultdict(set)
-        for p, q in found:
-            slots = frozenset(((int(b.kind[q + k]), b.value(q + k)), c.value(p + k)) for k in range(WINDOW) if b.kind[q + k] != WORD)
-            aligned[p - q].add(number.setdefault((q, slots), len(number)))
+        for reading, p, q in found:
+            mine, yours = b.readings[reading], c.readings[reading]
+            slots = frozenset(((int(mine.kind[q + k]), b.value(reading, q + k)), c.value(reading, p + k)) for k in range(WINDOW) if mine.kind[q + k] != WORD)
+            aligned[int(yours.lead[p] - mine.lead[q])].add(number.setdefault((int(mine.lead[q]), slots), len(number)))
         pairs = sorted({x for _, slots in number for x in slots})
         if not pairs:
-            return sorted({q for q, _ in number}), False
+            return np.unique([q for q, _ in number]), False
         of_pair, of_slot = {x: k for k, x in enumerate(pairs)}, {x: k for k, x in enumerate(sorted({left for left, _ in pairs}))}
         # The last slot and its one pair stand for no slot.
         slot = np.array([of_slot[left] for left, _ in pairs] + [len(of_slot)])
@@ -233,7 +272,7 @@ class Bench:
                 best = (good, fits)
             if len(good) == most:
                 break
-        return best[0].tolist(), any(pairs[x][0][1] != pairs[x][1] for x in np.unique(held[best[1]]).tolist() if x < len(pairs))
+        return best[0], any(pairs[x][0][1] != pairs[x][1] for x in np.unique(held[best[1]]).tolist() if x < len(pairs))
 
 
 def examine(bench: Bench, text: pa.Array | pa.ChunkedArray, similarity: float = SIMILARITY, run: int = RUN) -> list[tuple | None]:
@@ -245,14 +284,13 @@ def examine(bench: Bench, text: pa.Array | pa.ChunkedArray, similarity: float =
     for first, last in pieces(offsets, 500_000):
         c = Canonical(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         hashes, hits = [], []
-        for kind, h in enumerate((c.hash, c.plain)):
-            x = c.window_hashes(h)
+        for kind, reading in enumerate(c.readings):
+            x = reading.windows()
             hits.append(bench.hits(kind, x))
             hashes.append(x)
-        rows = [np.searchsorted(c.rows, h, "right") - 1 for h in hits]
+        rows = [np.searchsorted(reading.rows, h, "right") - 1 for reading, h in zip(c.readings, hits)]
         for r in np.unique(np.concatenate(rows)).tolist():
-            end = c.rows[r + 1] - WINDOW + 1
-            places = [h[(q == r) & (h < end)] for h, q in zip(hits, rows)]
+            places = [h[(q == r) & (h < reading.rows[r + 1] - WINDOW + 1)] for reading, h, q in zip(c.readings, hits, rows)]
             found = bench.matches(c, r, places, hashes)
             if found:
                 out[first + r] = (*found[:4], found[1] >= similarity or found[2] >= run, found[4])

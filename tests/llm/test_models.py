@@ -260,6 +260,29 @@ def test_slots_of_one_value_still_contradict():
     assert not examined("If Eva has 5 apples and Tom gives 7 apples to Ben then what does Kim now hold of those 9 apples", item)[4]
 
 
+GIVES = "Anna gives half of all the red apples to a friend. Anna keeps 1,200 apples now"
+
+
+@pytest.mark.parametrize("item, text", [
+    (GIVES, GIVES.replace("Anna", "Eva")),
+    (GIVES, GIVES.replace("1,200", "950")),
+    (GIVES, GIVES.replace("1,200", "3.50").replace("Anna", "Eva Maria")),
+    ("we heard that Mr. Smith bought three old houses near the river and sold two", "we heard that Dr. Jones bought three old houses near the river and sold two"),
+    ("we heard that Mr. Smith bought three old houses near the river and sold two", "we heard that Eva bought three old houses near the river and sold two"),
+    ("a shop sells bread for 3.50 euros and we pay for two of them today", "a shop sells bread for 4 euros and we pay for two of them today"),
+])
+def test_refilled_openers_names_and_numbers(item, text):
+    for t in (text, f"{prose(1, 30)}. {text}. {prose(2, 30)}"):
+        got = examined(t, item)
+        assert got[1] == 1 and got[3] and got[4]
+    assert examined(item, item)[1] == 1
+
+
+def test_numbers_and_names_end_with_their_text():
+    found = decontaminate.examine(decontaminate.Bench([0], [GIVES]), pa.array(["5", GIVES[:50] + " 1", ",200", "", GIVES, "Anna", "3.", "4"]))
+    assert [bool(f and f[4]) for f in found] == [False] * 4 + [True] + [False] * 3
+
+
 def test_window_hits_equal_brute_force():
     texts = [prose(k, 60) for k in range(20)]
     bench = decontaminate.Bench([1, 2], [texts[3], " ".join(texts[5].split()[:30])])
