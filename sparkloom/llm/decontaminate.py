@@ -11,7 +11,8 @@ are looked up too, for copies whose case was changed.
 
 A document is contaminated by an item if it holds at least SIMILARITY of the item's windows (either kind), or RUN plain
 words of it in a row. The benchmark is cut into slices of at most SLICE_BYTES; each slice travels with one pass over
-the documents, so what is sent has a fixed bound whatever the benchmark's size. Documents are read whole, not shuffled.
+the documents, so what is sent has a fixed bound whatever the benchmark's size. Documents are read whole, not shuffled; with several
+slices they are written once with a row number, and the slices' verdicts of each row are brought together by it.
 
 Defined results: null texts count as empty and are clean. Items with fewer words than a window
 are never found. Template windows with fewer than three ordinary words are left out. Null item ids are allowed; an empty table of either kind gives clean documents or none. Repeated rows get equal results; other
@@ -21,6 +22,7 @@ columns are carried or ignored, whatever their names.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -319,15 +321,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, contaminated boolean, item_id {item_type}, similarity double, run_words int, refilled boolean, run_item_id {item_type}"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = []
-    for ids, texts in slices(benchmark, item_col, item_text_col):
-
-        def look(batches, ids=ids, texts=texts):
+    several = slices(benchmark, item_col, item_text_col)
+    head = list(islice(several, 2))
+    if len(head) > 1:
+        # Each row keeps its own verdicts, whatever its id: its number is written once, with the text.
+        rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+        schema += ", row long, slice int"
+    for k, (ids, texts) in enumerate(chain(head, several)):
+
+        def look(batches, ids=ids, texts=texts, k=k):
             bench = Bench(ids, texts)
             for batch in batches:
                 found = examine(bench, batch.column(1), similarity, run)
+                row = [batch.column(2), pa.array([k] * len(found), pa.int32())] if batch.num_columns > 2 else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([bool(f and f[4]) for f in found], pa.bool_()), pa.array([ids[f[0]] if f and f[0] is not None else None for f in found], out_type), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array([f[2] if f else 0 for f in found], pa.int32()), pa.array([bool(f and f[3]) for f in found], pa.bool_()), pa.array([ids[f[5]] if f and f[5] is not None else None for f in found], out_type)],
-                    ["doc_id", "contaminated", "item_id", "similarity", "run_words", "refilled", "run_item_id"],
+                    [batch.column(0), pa.array([bool(f and f[4]) for f in found], pa.bool_()), pa.array([ids[f[0]] if f and f[0] is not None else None for f in found], out_type), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array([f[2] if f else 0 for f in found], pa.int32()), pa.array([bool(f and f[3]) for f in found], pa.bool_()), pa.array([ids[f[5]] if f and f[5] is not None else None for f in found], out_type), *row],
+                    ["doc_id", "contaminated", "item_id", "similarity", "run_words", "refilled", "run_item_id", "row", "slice"][: 7 + len(row)],
                 )
 
         from pyspark.sql.pandas.types import to_arrow_type
@@ -341,10 +350,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    near = F.max_by(F.struct("item_id", "similarity", "refilled"), F.col("similarity")).alias("near")
-    far = F.max_by(F.struct("run_words", "run_item_id"), F.col("run_words")).alias("far")
-    best = checkpointed(out).groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), near, far)
-    return best.select("doc_id", "contaminated", "near.item_id", "near.similarity", "far.run_words", "near.refilled", "far.run_item_id")
+    near = F.max_by(F.struct("doc_id", "item_id", "similarity", "refilled"), F.struct("similarity", -F.col("slice"))).alias("near")
+    far = F.max_by(F.struct("run_words", "run_item_id"), F.struct("run_words", -F.col("slice"))).alias("far")
+    best = checkpointed(out).groupBy("row").agg(F.max("contaminated").alias("contaminated"), near, far)
+    return best.select("near.doc_id", "contaminated", "near.item_id", "near.similarity", "far.run_words", "near.refilled", "far.run_item_id")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:

@@ -283,6 +283,20 @@ def test_numbers_and_names_end_with_their_text():
     assert [bool(f and f[4]) for f in found] == [False] * 4 + [True] + [False] * 3
 
 
+def test_slices_keep_rows_apart(spark, monkeypatch):
+    """One slice or one for each item: the same rows, also for null ids, repeated ids and repeated rows."""
+    bench = spark.createDataFrame(list(enumerate((ITEM, prose(5, 60), BOX, BOX))), "item_id long, text string")
+    texts = [(None, ITEM), (None, "nothing"), (None, None), (1, prose(5, 60)), (1, "nothing"), (1, "nothing"), (2, ITEM), (2, ITEM), (3, f"{ITEM} {BOX}")]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in texts], clash=True)
+    columns = ("doc_id", "contaminated", "item_id", "similarity", "run_words", "refilled", "run_item_id")
+    whole = decontaminate.contamination(docs, bench)
+    cut = decontaminate.slices
+    monkeypatch.setattr(decontaminate, "slices", lambda b, i, t: cut(b, i, t, 1))
+    parts = decontaminate.contamination(docs, bench)
+    assert parts.schema == whole.schema and len(rows(parts, *columns)) == len(texts)
+    assert rows(parts, *columns) == rows(whole, *columns)
+
+
 def test_window_hits_equal_brute_force():
     texts = [prose(k, 60) for k in range(20)]
     bench = decontaminate.Bench([1, 2], [texts[3], " ".join(texts[5].split()[:30])])
