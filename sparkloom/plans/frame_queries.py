@@ -99,8 +99,16 @@ def _changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return target, source
 
 
-def merge_rows(spark: SparkSession, d: str) -> DataFrame:
-    target, source = _changes(spark, d)
+def _whole_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Target and source by what the rows hold; some customers are in both."""
+    rows = table(spark, d, "customer")
+    target = rows.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("k"))
+    source = rows.where("c_acctbal > 0").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"), (F.col("c_nationkey") + 100).cast("long").alias("k"))
+    return target, source
+
+
+def merge_rows(spark: SparkSession, d: str, changes: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]] = _changes) -> DataFrame:
+    target, source = changes(spark, d)
     s = {c: F.col(f"s.{c}") for c in target.columns}
     return merge.merged(target, source, ["c_custkey"], [
         merge.Clause("matched", "discard", F.col("s.k") < 105), merge.Clause("matched", "keep", F.col("s.k") < 112, {"c_name": s["c_name"]}), merge.Clause("matched", "split", None, s),
@@ -108,6 +116,10 @@ def merge_rows(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
+def merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    return merge_rows(spark, d, _whole_changes)
+
+
 def deletes(spark: SparkSession, d: str) -> DataFrame:
     """Positional, vector and equality deletes in turn."""
     data = table(spark, d, "orders").select((F.col("o_orderkey") % 4).alias("file"), F.floor(F.col("o_orderkey") / 4).alias("pos"), "o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"), F.lit(1).alias("seq"))
@@ -152,6 +164,12 @@ BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         select t.c_custkey, case when s.k < 112 then s.c_name when s.k is null then t.c_name else s.c_name end as c_name, case when s.k is null or s.k < 112 then t.k else s.k end as k
         from t left join s using (c_custkey) where not coalesce(s.k < 105, false) and not (s.k is null and t.k = 3)
         union all select * from s where k > 102 and c_custkey not in (select c_custkey from t)"""),
+    "merge_into_whole": (merge_whole, """
+        with t as (select c_custkey, c_name, cast(c_nationkey as bigint) as k from customer where c_mktsegment <> 'BUILDING'),
+             s as (select c_custkey, 'new ' || c_name as c_name, cast(c_nationkey + 100 as bigint) as k from customer where c_acctbal > 0)
+        select t.c_custkey, case when s.k < 112 then s.c_name when s.k is null then t.c_name else s.c_name end as c_name, case when s.k is null or s.k < 112 then t.k else s.k end as k
+        from t left join s using (c_custkey) where not coalesce(s.k < 105, false) and not (s.k is null and t.k = 3)
+        union all select * from s where k > 102 and c_custkey not in (select c_custkey from t)"""),
     "deletes_on_read": (deletes, "select o_orderkey from orders where o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0 and o_orderpriority <> '5-LOW'"),
     "sample_rows": (sample, ""),
     "event_windows": (event_windows, "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n from events group by 1, 2"),

@@ -347,3 +347,28 @@ PAIRS: dict[str, tuple[str, str]] = {
         "select o_orderkey, cast(null as bigint) as m, o_orderkey - 1 as s, case when o_orderkey % 3 = 0 then null else o_orderkey % (o_orderkey % 3) end as r from orders where o_orderkey > 1",
     ),
 }
+
+#: The whole-table forms of queries above that read a part of their table.
+SAME |= {
+    "except_all_whole": "select l_linenumber as k from lineitem except all select l_linenumber from lineitem where l_returnflag = 'R'",
+    "sort_nulls_whole": "select k, n from (select nullif(o_orderpriority, '3-MEDIUM') as k, count(*) as n from orders group by 1) t order by k desc nulls last, n",
+    "join_null_keys_whole": "select count(*) as n from (select nullif(o_orderstatus, 'F') as k from orders) a join (select distinct nullif(l_linestatus, 'F') as k from lineitem) b on a.k = b.k",
+    "join_null_safe_keys_whole": "select a.k, count(*) as n from (select nullif(o_orderstatus, 'F') as k from orders) a join (select distinct nullif(l_linestatus, 'F') as k from lineitem) b on a.k is not distinct from b.k group by a.k",
+}
+PAIRS |= {
+    # All rows of a customer lie in one partition, in order: the aggregate needs no exchange of its own.
+    "agg_first_last_whole": (
+        "select o_custkey, first(o_orderkey, true) as f, last(o_orderkey) as l from (select * from orders distribute by o_custkey sort by o_custkey, o_orderkey) t group by o_custkey",
+        "select o_custkey, min(o_orderkey) as f, max(o_orderkey) as l from orders group by o_custkey",
+    ),
+    "sort_by_whole": ("select o_orderkey, o_totalprice from orders sort by o_totalprice desc", "select o_orderkey, o_totalprice from orders"),
+    # The last days of both months are whole months apart.
+    "fn_months_whole": (
+        "select o_orderkey, round(months_between(o_orderdate, timestamp '1996-01-31 00:00:00'), 6) as mb, next_day(cast(o_orderdate as date), 'MO') as nd from orders",
+        "select o_orderkey, round((year(o_orderdate) - 1996) * 12 + month(o_orderdate) - 1 + case when cast(o_orderdate as date) = last_day(o_orderdate) then 0 else (day(o_orderdate) - 31) / 31.0 + epoch(o_orderdate - date_trunc('day', o_orderdate)) / 86400.0 / 31.0 end, 6) as mb, cast(cast(o_orderdate as date) + cast(8 - isodow(o_orderdate) as int) as date) as nd from orders",
+    ),
+    "generate_explode_whole": (
+        "select vec_id, label, pos, cast(x as double) as x from embeddings lateral view posexplode(embedding) t as pos, x",
+        "select vec_id, label, cast(i - 1 as int) as pos, cast(embedding[i] as double) as x from (select vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings) t",
+    ),
+}
