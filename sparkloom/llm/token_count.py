@@ -80,14 +80,21 @@ class ByteBpe:
 
 
 class PrefixCounts:
-    """Token counts of the prefixes of one text that holds no string of an added token."""
+    """Token counts of the prefixes of one text. The string of an added token is one part and one token."""
 
     def __init__(self, model: ByteBpe, text: str):
         self.model, self.text = model, text
-        self.starts, self.sums = [0], [0]
-        for m in model.part.finditer(text):
-            self.starts.append(m.end())
-            self.sums.append(self.sums[-1] + model.part_count(m[0]))
+        self.starts, self.sums, self.added, at = [0], [0], set(), 0
+        for found in [*(model.special.finditer(text) if model.special is not None else ()), None]:
+            # Parts are cut between added tokens, as count() does.
+            for part in model.part.findall(text[at : found.start()] if found else text[at:]):
+                self.starts.append(self.starts[-1] + len(part))
+                self.sums.append(self.sums[-1] + model.part_count(part))
+            if found:
+                at = found.end()
+                self.added.add(len(self.starts) - 1)
+                self.starts.append(at)
+                self.sums.append(self.sums[-1] + 1)
 
     def at(self, end: int) -> int:
         """Tokens of text[:end], encoded by itself."""
@@ -97,11 +104,12 @@ class PrefixCounts:
         return self.sums[whole] + self.model.count(self.text[self.starts[whole] : end])
 
     def cut(self, limit: int) -> int:
-        """The longest prefix that ends with a part or inside the part that goes over the limit, and keeps to it."""
+        """The longest prefix that ends with a part or inside the part that goes over the limit, and keeps to it. An added
+        token's string is kept whole or not at all."""
         from bisect import bisect_right
 
         k = bisect_right(self.sums, limit) - 1
-        ends = range(self.starts[k], self.starts[k + 1]) if k + 1 < len(self.starts) else [self.starts[k]]
+        ends = range(self.starts[k], self.starts[k + 1]) if k + 1 < len(self.starts) and k not in self.added else [self.starts[k]]
         return max((e for e in ends if self.at(e) <= limit), default=self.starts[k])
 
 
@@ -128,7 +136,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
 
 def truncate(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the text cut by PrefixCounts.cut(); texts with strings of added tokens are cut before the first."""
+    """doc_id and the text cut by PrefixCounts.cut()."""
 
     def run(batches):
         model = loaded(path)
@@ -136,8 +144,6 @@ def truncate(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", tex
             out = []
             for t in batch.column(1):
                 text = t.as_py() or ""
-                found = model.special.search(text) if model.special is not None else None
-                text = text[: found.start()] if found else text
                 out.append(text[: model.prefix_counts(text).cut(limit)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 

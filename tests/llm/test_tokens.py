@@ -104,3 +104,26 @@ def test_every_operator_is_registered():
     assert all(sum(q.startswith(f"op{n}_") for q in found) == 1 for n in range(1, 11)) and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
     assert set(queries.queries()) == {q for q in found if q.startswith("op")}
+
+
+def test_prefixes_of_texts_with_added_tokens():
+    """Counts at every prefix as the library has them; cuts at the limit only."""
+    ours, theirs = token_count.loaded(BYTES), Tokenizer.from_file(BYTES)
+    n = lambda t: len(theirs.encode(t, add_special_tokens=False).ids)
+    end = "<|endoftext|>"
+    for t in (end, f"{end} two words", f"ab  {end}{end}  cd's {end}", f"one two{end}three <|endof {end[:-1]} four", f"x\n\n {end}\n y"):
+        counts = ours.prefix_counts(t)
+        assert [counts.at(e) for e in range(len(t) + 1)] == [n(t[:e]) for e in range(len(t) + 1)]
+        for limit in range(12):
+            kept = t[: counts.cut(limit)]
+            assert n(kept) <= limit and (kept == t or limit < n(t))
+    text = end + " word" * 50
+    assert text[: ours.prefix_counts(text).cut(1024)] == text
+
+
+def test_truncation_keeps_texts_with_added_tokens(spark):
+    text = "<|endoftext|>" + " word" * 50
+    docs = spark.createDataFrame([(1, text), (2, "a<|endoftext|>b"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in token_count.truncate(docs, BYTES, 1024).collect()}
+    assert got == {1: text, 2: "a<|endoftext|>b", 3: ""}
+    assert {r["doc_id"]: r["text"] for r in token_count.truncate(docs, BYTES, 3).collect()} == {1: "<|endoftext|> word word", 2: "a<|endoftext|>b", 3: ""}
