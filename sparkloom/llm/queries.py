@@ -37,7 +37,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), 400)
+    return suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), 400, report=300)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,65 @@ def test_suffixes(spark, depth, clash):
     assert sorted(((*r[:5], bytes(r[5])) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def covered(texts: list[bytes], depth: int) -> list[np.ndarray]:
+    """By brute force, which bytes strings of depth cover that start more than once."""
+    seen = Counter(t[k : k + depth] for t in texts for k in range(len(t) - depth + 1))
+    out = [np.zeros(len(t), bool) for t in texts]
+    for t, gone in zip(texts, out):
+        for k in range(len(t) - depth + 1):
+            if seen[t[k : k + depth]] > 1:
+                gone[k : k + depth] = True
+    return out
+
+
+def passages(seed: int = 5) -> list[str]:
+    """Texts that share passages of many sizes, one line that half of them hold, copies, and texts that repeat in themselves."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    prose_ = lambda n: " ".join(word() for _ in range(n))
+    shared, line = [prose_(rng.randrange(20, 200)) for _ in range(12)], prose_(70)
+    out = [prose_(rng.randrange(0, 60)) + " " + rng.choice([*shared, line, line, line]) + " " + prose_(rng.randrange(0, 300)) for _ in range(60)]
+    out += [out[3], out[3], out[4] + "!", out[5][:500], "ab" * 800, prose_(10) + out[6][100:], shared[0] + shared[1] + shared[0], out[7][37:] + out[8]]
+    return out
+
+
+@pytest.mark.parametrize("depth, report", [(400, 300), (200, 61), (400, None)])
+@pytest.mark.parametrize("small", [False, True])
+def test_suffixes_and_reports_equal_brute_force(spark, monkeypatch, depth, report, small):
+    """small: many blocks and buckets, and least strings that count as hot."""
+    from sparkloom.llm import common
+
+    if small:
+        for module, name, value in ((common, "BLOCK_BYTES", 3000), (common, "BUCKET_ENTRIES", 100), (suffix_dedup, "BUCKET_BYTES", 2000), (suffix_dedup, "HOT_BYTES", 3000)):
+            monkeypatch.setattr(module, name, value)
+    texts = passages()
+    data = [t.encode() for t in texts]
+    deep, near = covered(data, depth), covered(data, report or depth)
+    want = [(k, int(d.sum()), int(n.sum()), sha(np.frombuffer(t, np.uint8)[~d].tobytes())) for k, (t, d, n) in enumerate(zip(data, deep, near))]
+    got = suffix_dedup.dedup_substrings(frame(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), depth, report=report)
+    assert rows(got, "doc_id", "n_removed", "n_repeated" if report else "n_removed", "kept_sha256") == sorted(want, key=str)
+
+
+def test_bucket_is_sorted_by_bytes_and_ranks():
+    texts = [t.encode() for t in passages(6)]
+    counts = np.array([max(0, len(t) - 399) for t in texts])
+    bucket = suffix_dedup.SuffixBucket(texts, counts)
+    for length in (13, 30, 5):
+        ranks = bucket.prefix_ranks(length)
+        strings = [t[k : k + length] for t in texts for k in range(len(t))]
+        inside = np.flatnonzero([len(x) == length for x in strings])
+        order = {x: k for k, x in enumerate(sorted({strings[k] for k in inside}))}
+        pairs = sorted({(order[strings[k]], int(ranks[k])) for k in inside})
+        assert len(pairs) == len(order) == len({r for _, r in pairs}) and [r for _, r in pairs] == sorted(r for _, r in pairs)
+    ranks, v = bucket.sample_ranks(377), 13
+    flat = b"".join(texts)
+    at = [k for k in np.flatnonzero(bucket.end - np.arange(len(flat)) >= 377).tolist() if k % v in (0, 1, 4, 6)]
+    by_rank = sorted(at, key=lambda k: (ranks[k], k))
+    assert by_rank == sorted(at, key=lambda k: (flat[k : k + 377], k))
+
+
 def test_suffixes_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     text = suffix_dedup.Text([bytes(np.random.default_rng(1).integers(0, 256, 5000, np.uint8))], 400)
@@ -94,6 +153,18 @@ def test_suffixes_of_long_texts(spark, monkeypatch):
     assert places == set(range(4601))
 
 
+def test_stretches_of_parts_hold_each_open_suffix_once(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    texts = [bytes(np.random.default_rng(k).integers(97, 101, n, np.uint8)) for k, n in ((1, 5000), (2, 350), (3, 299), (4, 1400))]
+    text = suffix_dedup.Text(texts, 300, 400)
+    found = list(text.sample(73, suffix_dedup.difference_cover(1)[1]))
+    seen = Counter()
+    for number, offset, suffixes, _, raw in text.stretches(73, found, np.ones(sum(len(h) for _, h in found), bool)):
+        assert raw == texts[number][offset : offset + suffixes - 1 + 400]
+        seen.update((number, offset + k) for k in range(suffixes))
+    assert seen == Counter((k, p) for k, t in enumerate(texts) for p in range(len(t) - 299))
+
+
 def brute_join(docs, n=4, percent=85):
     lower = {k: k + 32 for k in range(65, 91)}
     table = bytes(lower.get(k, k) for k in range(256))
