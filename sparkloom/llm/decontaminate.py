@@ -10,29 +10,37 @@ found, and a text that only has the same words around unrelated slots is not. Wi
 are looked up too, for copies whose case was changed.
 
 A document is contaminated by an item if it holds at least SIMILARITY of the item's windows (either kind), or RUN plain
-words of it in a row. The benchmark is cut into slices of at most SLICE_BYTES; each slice travels with one pass over
-the documents, so what is sent has a fixed bound whatever the benchmark's size. Documents are read whole, not shuffled; with several
-slices they are written once with a row number, and the slices' verdicts of each row are brought together by it.
-
-Defined results: null texts count as empty and are clean. Items with fewer words than a window
-are never found. Template windows with fewer than three ordinary words are left out. Null item ids are allowed; an empty table of either kind gives clean documents or none. Repeated rows get equal results; other
-columns are carried or ignored, whatever their names.
+words of it in a row. A text of fewer plain words than a window is one window, all its words: a short item is found where
+it is the whole document.
+
+Data flow. The benchmark's windows are a table of (reading, hash, item, place, slots). A bit map of their hashes, of at most
+2^MAP_BITS bits whatever the benchmark's size, travels with the one pass over the documents and lets through the windows that
+may be there. These are joined with the table by hash: by broadcast while it has at most ``small`` rows, counted first,
+else shuffled, where adaptive execution splits very common windows. Hits are grouped by (text, item), where slots are
+checked, and by text. A verdict depends on the text alone, so texts are told apart by a 128-bit digest, copies are
+judged once, and every row keeps its own verdict at any benchmark size. Texts themselves are never shuffled.
+
+Defined results: null texts count as empty and are clean, and null items are left out. Template windows with fewer than three
+ordinary words are left out; the plain windows have them. Of equal items the first in order of id and text counts. Null ids are
+allowed; an empty table of either kind gives clean documents or none. Repeated rows get equal results; other columns are
+carried or ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
-from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import LOWER, SIGNS, SPACE, U64, Rolling, checkpointed, keep_memory, mix, pieces, text_bytes
 
-WINDOW, SIMILARITY, RUN, ORDINARY, SLICE_BYTES = 5, 0.8, 13, 3, 16_000_000
+WINDOW, SIMILARITY, RUN, ORDINARY, SMALL, MAP_BITS = 5, 0.8, 13, 3, 500_000, 30
 #: Words that count as units after a number.
 UNITS = "% mm cm m km in inch inches ft feet foot mile miles yards mg g kg gram grams lb lbs pound pounds oz ml l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years hz w kw v usd eur dollar dollars euro euros cent cents percent degrees".split()
 #: Titles that a dot may follow before a name.
@@ -149,224 +157,311 @@ class Canonical:
         return out
 
 
+Hits = list[tuple[int, int, int, bytes, bytes]]  # reading, place in the text, place in the item, values in the slots of either
+
+
+def candidates(c: Canonical, kind: int, ordinary: bool = False):
+    """Windows of one reading: their first tokens, rows and hashes. A text of fewer plain words than a window is one window."""
+    r = c.readings[kind]
+    x = r.windows()
+    row = np.repeat(np.arange(len(r.rows) - 1), np.diff(r.rows))
+    at = np.flatnonzero(r.valid() if ordinary else row[: len(x)] == row[WINDOW - 1 :][: len(x)])
+    hashes, rows = x[at], row[at]
+    if kind == PLAIN:
+        few = np.flatnonzero((np.diff(r.rows) > 0) & (np.diff(r.rows) < WINDOW))
+        if len(few):
+            whole = np.zeros(len(few), np.uint64)
+            for k in range(WINDOW - 1):
+                has = np.flatnonzero(np.diff(r.rows)[few] > k)
+                whole[has] = mix(whole[has] + r.hash[r.rows[few[has]] + k] + U64(k + 1))
+            at, rows, hashes = np.concatenate([at, r.rows[few]]), np.concatenate([rows, few]), np.concatenate([hashes, whole])
+    return at, rows, hashes
+
+
+def slots(c: Canonical, kind: int, k: int, kinds: bool) -> bytes:
+    """What stands in the window's slots, one field a token; kinds: each after its type."""
+    r = c.readings[kind]
+    if kind == PLAIN or not r.kind[k : k + WINDOW].any():
+        return b""
+    return b"\0".join(b"" if r.kind[j] == WORD else (bytes([r.kind[j]]) if kinds else b"") + c.value(kind, j) for j in range(k, k + WINDOW))
+
+
+def filled(item: bytes, text: bytes) -> frozenset[tuple[bytes, bytes]]:
+    """Pairs of an item's slot value, with its type, and the text's."""
+    return frozenset((x, y) for x, y in zip(item.split(b"\0"), text.split(b"\0")) if x) if item else frozenset()
+
+
+def longest(found: set[tuple[int, int]], n_words: int) -> int:
+    """Words of the longest run: windows at p, p + 1, ... that match q, q + 1, ..."""
+    most = 0
+    for p, q in found:
+        if (p - 1, q - 1) not in found:
+            run = 1
+            while (p + run, q + run) in found:
+                run += 1
+            most = max(most, run)
+    return min(most + WINDOW - 1, n_words) if most else 0
+
+
+def judge(found: Hits, starts: list[np.ndarray], n_words: int) -> tuple[float, bool, int]:
+    """For one text and one item, whose windows of each reading start at `starts`: similarity, whether slots were re-filled, longest run."""
+    share = lambda kind, words: float(np.isin(starts[kind], words).mean()) if len(starts[kind]) else 0.0
+    plain = {(p, q) for kind, p, q, _, _ in found if kind == PLAIN}
+    near = (share(PLAIN, np.unique([q for _, q in plain])) if plain else 0.0, False)
+    run = longest(plain, n_words)
+    filled_ = [(p, q, filled(mine, yours)) for kind, p, q, mine, yours in found if kind != PLAIN]
+    if filled_:
+        good, refilled = consistent(filled_)
+        most = max(share(kind, good) for kind in TEMPLATES)
+        if most > near[0]:
+            near = (most, refilled)
+    return (*near, run)
+
+
+def consistent(found: list[tuple[int, int, frozenset]]) -> tuple[np.ndarray, bool]:
+    """The item's windows (their first words) under the best re-filling that the text holds, and whether it differs
+    from the item. found: (first word in the text, first word in the item, pairs of slot values).
+
+    A re-filling gives each item value one document value. Each passage (hits of one alignment p - q, alone and with
+    those up to WINDOW away, where words were put in or left out) votes for one; slots it does not know are settled by
+    the hits elsewhere that agree with it. The votes of the whole text are one more candidate."""
+    number, aligned = {}, defaultdict(set)
+    for p, q, pairs in found:
+        aligned[p - q].add(number.setdefault((q, pairs), len(number)))
+    pairs = sorted({x for _, slots_ in number for x in slots_})
+    if not pairs:
+        return np.unique([q for q, _ in number]), False
+    of_pair, of_slot = {x: k for k, x in enumerate(pairs)}, {x: k for k, x in enumerate(sorted({left for left, _ in pairs}))}
+    # The last slot and its one pair stand for no slot.
+    slot = np.array([of_slot[left] for left, _ in pairs] + [len(of_slot)])
+    held = np.full((len(number), WINDOW), len(pairs))
+    for k, (_, slots_) in enumerate(number):
+        held[k, : len(slots_)] = [of_pair[x] for x in slots_]
+    window = np.array([q for q, _ in number])
+
+    def vote(hits, there: np.ndarray) -> None:
+        votes = np.bincount(held[hits].ravel(), minlength=len(slot))
+        order = np.lexsort((-votes, slot))
+        order = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])]
+        order = order[(votes[order] > 0) & (there[slot[order]] < 0)]
+        there[slot[order]] = order
+
+    edges, seeds = sorted(aligned), {()}
+    for k, d in enumerate(edges):
+        near = set()
+        for step, j in ((1, k), (-1, k - 1)):
+            while 0 <= j < len(edges) and abs(edges[j] - d) <= WINDOW:
+                near |= aligned[edges[j]]
+                j += step
+        seeds |= {tuple(sorted(aligned[d])), tuple(sorted(near))}
+    most, best, tried = len(set(window.tolist())), None, set()
+    for seed in sorted(seeds, key=lambda x: (-len(x), x)):
+        there = np.full(len(of_slot) + 1, -1)
+        there[-1] = len(pairs)
+        vote(list(seed), there)
+        if there.tobytes() in tried:
+            continue
+        tried.add(there.tobytes())
+        told = there[slot[held]]
+        fits = np.flatnonzero(((told < 0) | (told == held)).all(1))
+        if best is not None and len(np.unique(window[fits])) <= len(best[0]):
+            continue
+        vote(fits, there)
+        fits = fits[(there[slot[held[fits]]] == held[fits]).all(1)]
+        good = np.unique(window[fits])
+        if best is None or len(good) > len(best[0]):
+            best = (good, fits)
+        if len(good) == most:
+            break
+    return best[0], any(pairs[x][0][1:] != pairs[x][1] for x in np.unique(held[best[1]]).tolist() if x < len(pairs))
+
+
 class Bench:
-    """The windows of one slice of the benchmark."""
+    """A few items in memory, for single texts: what contamination() says of tables."""
 
     def __init__(self, ids: list, texts: list[str]):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
-        self.ids, self.words = ids, Canonical(data, offsets)
-        self.owner = np.repeat(np.arange(len(ids)), np.diff(self.words.rows))
-        self.keys, self.at, self.sieve, self.starts = [], [], [], []
-        for r in self.words.readings:
-            x, at = r.windows(), np.flatnonzero(r.valid())
-            at = at[np.argsort(x[at], kind="stable")]
-            self.keys.append(x[at])
-            self.at.append(at)
-            bits = np.zeros(1 << 20, bool)
-            bits[x[at] >> U64(44)] = True
-            self.sieve.append(bits)
-            self.starts.append(np.sort(r.lead[at]))
-
-    def hits(self, kind: int, x: np.ndarray) -> np.ndarray:
-        """Places of the hashes that are windows of an item."""
-        keys = self.keys[kind]
-        if not len(keys) or not len(x):
-            return np.zeros(0, np.int64)
-        maybe = np.flatnonzero(self.sieve[kind][x >> U64(44)])
-        at = np.minimum(np.searchsorted(keys, x[maybe]), len(keys) - 1)
-        return maybe[keys[at] == x[maybe]]
-
-    def found(self, kind: int, x: np.ndarray, places: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By item, the pairs (place, token of the benchmark) whose windows are equal."""
-        pairs, r = defaultdict(list), self.words.readings[kind]
-        first, last = (np.searchsorted(self.keys[kind], x[places], side) for side in ("left", "right"))
-        for p, i, j in zip(places.tolist(), first.tolist(), last.tolist()):
-            for q in self.at[kind][i:j].tolist():
-                pairs[int(self.owner[r.lead[q]])].append((p, q))
-        return pairs
-
-    def share(self, kind: int, item: int, words: np.ndarray) -> float:
-        """Share of the item's windows of one reading whose first words are among `words`."""
-        i, j = np.searchsorted(self.starts[kind], self.words.rows[item : item + 2])
-        return float(np.isin(self.starts[kind][i:j], words).mean()) if j > i else 0.0
-
-    def matches(self, c: Canonical, row: int, places: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[int | None, float, int, bool, int | None] | None:
-        """For one text: the item of the greatest similarity, that similarity, the longest run in words over all items,
-        whether the former's slots were re-filled, and the item of that run. Of equals, the first item counts."""
-        near, far = (0.0, 0, False), (0, 0)  # (similarity, -item, re-filled), (run, -item)
-        for item, found in self.found(PLAIN, hashes[PLAIN], places[PLAIN]).items():
-            near = max(near, (self.share(PLAIN, item, np.unique([q for _, q in found])), -item, False), key=lambda x: x[:2])
-            far = max(far, (self.longest(found), -item))
-        both = [self.found(kind, hashes[kind], places[kind]) for kind in TEMPLATES]
-        for item in sorted(set().union(*both)):
-            good, refilled = self.consistent(c, [(kind, p, q) for kind, found in zip(TEMPLATES, both) for p, q in found.get(item, ())])
-            near = max(near, (max(self.share(kind, item, good) for kind in TEMPLATES), -item, refilled), key=lambda x: x[:2])
-        if not near[0] and not far[0]:
-            return None
-        return (-near[1] if near[0] else None, near[0], far[0], near[2], -far[1] if far[0] else None)
-
-    @staticmethod
-    def longest(found: list[tuple[int, int]]) -> int:
-        """Words of the longest run: windows at p, p + 1, ... that match q, q + 1, ..."""
-        seen, most = set(found), 0
-        for p, q in seen:
-            if (p - 1, q - 1) not in seen:
-                run = 1
-                while (p + run, q + run) in seen:
-                    run += 1
-                most = max(most, run)
-        return most + WINDOW - 1 if most else 0
-
-    def consistent(self, c: Canonical, found: list[tuple[int, int, int]]) -> tuple[np.ndarray, bool]:
-        """The item's windows (their first words) under the best re-filling that the text holds, and whether it differs
-        from the item. found: (reading, token of the text, token of the benchmark).
-
-        A re-filling gives each item value one document value. Each passage (hits of one alignment p - q, alone and with
-        those up to WINDOW away, where words were put in or left out) votes for one; slots it does not know are settled by
-        the hits elsewhere that agree with it. The votes of the whole text are one more candidate."""
-        b, number, aligned = self.words, {}, defaultdict(set)
-        for reading, p, q in found:
-            mine, yours = b.readings[reading], c.readings[reading]
-            slots = frozenset(((int(mine.kind[q + k]), b.value(reading, q + k)), c.value(reading, p + k)) for k in range(WINDOW) if mine.kind[q + k] != WORD)
-            aligned[int(yours.lead[p] - mine.lead[q])].add(number.setdefault((int(mine.lead[q]), slots), len(number)))
-        pairs = sorted({x for _, slots in number for x in slots})
-        if not pairs:
-            return np.unique([q for q, _ in number]), False
-        of_pair, of_slot = {x: k for k, x in enumerate(pairs)}, {x: k for k, x in enumerate(sorted({left for left, _ in pairs}))}
-        # The last slot and its one pair stand for no slot.
-        slot = np.array([of_slot[left] for left, _ in pairs] + [len(of_slot)])
-        held = np.full((len(number), WINDOW), len(pairs))
-        for k, (_, slots) in enumerate(number):
-            held[k, : len(slots)] = [of_pair[x] for x in slots]
-        window = np.array([q for q, _ in number])
-
-        def vote(hits, there: np.ndarray) -> None:
-            votes = np.bincount(held[hits].ravel(), minlength=len(slot))
-            order = np.lexsort((-votes, slot))
-            order = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])]
-            order = order[(votes[order] > 0) & (there[slot[order]] < 0)]
-            there[slot[order]] = order
-
-        edges, seeds = sorted(aligned), {()}
-        for k, d in enumerate(edges):
-            near = set()
-            for step, j in ((1, k), (-1, k - 1)):
-                while 0 <= j < len(edges) and abs(edges[j] - d) <= WINDOW:
-                    near |= aligned[edges[j]]
-                    j += step
-            seeds |= {tuple(sorted(aligned[d])), tuple(sorted(near))}
-        most, best, tried = len(set(window.tolist())), None, set()
-        for seed in sorted(seeds, key=lambda x: (-len(x), x)):
-            there = np.full(len(of_slot) + 1, -1)
-            there[-1] = len(pairs)
-            vote(list(seed), there)
-            if there.tobytes() in tried:
-                continue
-            tried.add(there.tobytes())
-            told = there[slot[held]]
-            fits = np.flatnonzero(((told < 0) | (told == held)).all(1))
-            if best is not None and len(np.unique(window[fits])) <= len(best[0]):
-                continue
-            vote(fits, there)
-            fits = fits[(there[slot[held[fits]]] == held[fits]).all(1)]
-            good = np.unique(window[fits])
-            if best is None or len(good) > len(best[0]):
-                best = (good, fits)
-            if len(good) == most:
-                break
-        return best[0], any(pairs[x][0][1] != pairs[x][1] for x in np.unique(held[best[1]]).tolist() if x < len(pairs))
+        self.ids, c = ids, Canonical(data, offsets)
+        self.table, self.starts, self.n_words = defaultdict(list), [[np.zeros(0, np.int64)] * 3 for _ in ids], np.diff(c.rows)
+        for kind in range(3):
+            at, row, x = candidates(c, kind, True)
+            lead = c.readings[kind].lead
+            for k, r, h in zip(at.tolist(), row.tolist(), x.tolist()):
+                self.table[kind, h].append((r, int(lead[k]), slots(c, kind, k, True)))
+            for r in np.unique(row).tolist():
+                self.starts[r][kind] = np.sort(lead[at[row == r]])
 
 
 def examine(bench: Bench, text: pa.Array | pa.ChunkedArray, similarity: float = SIMILARITY, run: int = RUN) -> list[tuple | None]:
     """For each text, (item number, similarity, run, re-filled, contaminated, item number of the run), or None: the greatest
-    similarity and the longest run, each over all items."""
+    similarity and the longest run, each over all items; of equals, the first item."""
+    out: list[tuple | None] = []
+    for one in pa.array(text).to_pylist():
+        data, offsets = text_bytes(pa.array([one], pa.string()))
+        c, pairs = Canonical(data, offsets), defaultdict(list)
+        for kind in range(3):
+            at, _, x = candidates(c, kind)
+            for k, h in zip(at.tolist(), x.tolist()):
+                for item, q, mine in bench.table.get((kind, h), ()):
+                    pairs[item].append((kind, int(c.readings[kind].lead[k]), q, mine, slots(c, kind, k, False)))
+        near, far = (0.0, 0, False), (0, 0)
+        for item in sorted(pairs):
+            share, refilled, words = judge(pairs[item], bench.starts[item], int(bench.n_words[item]))
+            near, far = max(near, (share, -item, refilled), key=lambda x: x[:2]), max(far, (words, -item))
+        out.append((-near[1] if near[0] else None, near[0], far[0], near[2], near[0] >= similarity or far[0] >= run, -far[1] if far[0] else None) if near[0] or far[0] else None)
+    return out
+
+
+def benchmark_tables(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The items (item, item_id, n_words, starts of windows) and their windows (kind, hash, item, q, mine), both written once.
+    item numbers the items in order of id and text."""
+    texts = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    texts = checkpointed(texts.orderBy("item_id", "text").withColumn("item", F.monotonically_increasing_id()))
+    window = pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("q", pa.int32()), ("mine", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for first, last in pieces(text_bytes(batch.column(1))[1], 500_000):
+                part = batch.slice(first, last - first)
+                c = Canonical(*text_bytes(part.column(1)))
+                found, starts = [[] for _ in range(len(part))], [[b""] * 3 for _ in range(len(part))]
+                for kind in range(3):
+                    at, row, x = candidates(c, kind, True)
+                    base, lead = c.rows[row], c.readings[kind].lead
+                    for k, r, h, b in zip(at.tolist(), row.tolist(), x.view(np.int64).tolist(), base.tolist()):
+                        found[r].append({"kind": kind, "hash": h, "q": int(lead[k]) - b, "mine": slots(c, kind, k, True)})
+                    for r in np.unique(row).tolist():
+                        starts[r][kind] = np.sort(lead[at[row == r]] - c.rows[r]).astype(np.int32).tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(c.rows), pa.int32()), pa.array(starts, pa.list_(pa.binary())), pa.array(found, pa.list_(window))], ["item", "n_words", "starts", "windows"])
+
+    made = checkpointed(texts.select("item", "text").mapInArrow(run, "item long, n_words int, starts array<binary>, windows array<struct<kind: int, hash: bigint, q: int, mine: binary>>"))
+    items = texts.select("item", "item_id").join(made.select("item", "n_words", "starts"), "item")
+    return items, checkpointed(made.select("item", F.explode("windows").alias("w")).select("w.kind", "w.hash", "item", "w.q", "w.mine"))
+
+
+def bit_map(windows: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Which leading bits the hashes have: 4,096 bits a window, 2^20 at least and 2^MAP_BITS at most."""
+    bits = min(MAP_BITS, max(20, int(4096 * n - 1).bit_length()))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    part = windows.select(F.floor(place / 32768).alias("k"), (place % 32768).alias("bit")).distinct().groupBy("k").agg(F.bitmap_construct_agg("bit").alias("map"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in part.toLocalIterator():
+        out[r["k"] * 4096 : r["k"] * 4096 + 4096] = np.frombuffer(r["map"], np.uint8)
+    return bits, out
+
+
+def suspects(text: pa.Array | pa.ChunkedArray, bits: int, there: np.ndarray):
+    """Some texts at a time: (first, last, canonical texts, [(reading, tokens, rows, hashes)] of the windows that may be an item's)."""
     keep_memory()
     data, offsets = text_bytes(text)
-    out: list[tuple | None] = [None] * (len(offsets) - 1)
     for first, last in pieces(offsets, 500_000):
         c = Canonical(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        hashes, hits = [], []
-        for kind, reading in enumerate(c.readings):
-            x = reading.windows()
-            hits.append(bench.hits(kind, x))
-            hashes.append(x)
-        rows = [np.searchsorted(reading.rows, h, "right") - 1 for reading, h in zip(c.readings, hits)]
-        for r in np.unique(np.concatenate(rows)).tolist():
-            places = [h[(q == r) & (h < reading.rows[r + 1] - WINDOW + 1)] for reading, h, q in zip(c.readings, hits, rows)]
-            found = bench.matches(c, r, places, hashes)
-            if found:
-                out[first + r] = (*found[:4], found[1] >= similarity or found[2] >= run, found[4])
-    return out
-
-
-def slices(benchmark: DataFrame, item_col: str, text_col: str, most: int = SLICE_BYTES):
-    """The items, some at a time: lists of ids and texts of at most `most` bytes. One slice is held at once."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).orderBy("i", "t")
-    ids, texts, size = [], [], 0
-    for r in rows.toLocalIterator():
-        ids.append(r["i"])
-        texts.append(r["t"])
-        size += len(r["t"].encode())
-        if size >= most:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
+        found = []
+        for kind in range(3):
+            at, row, x = candidates(c, kind)
+            place = x >> U64(64 - bits)
+            hit = np.flatnonzero(there[place >> U64(3)] >> (place & U64(7)).astype(np.uint8) & 1)
+            found.append((kind, at[hit], row[hit], x[hit].view(np.int64)))
+        yield first, last, c, found
+
+
+def digest_of(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def verdicts(found: DataFrame, items: DataFrame, windows: DataFrame, n: int, similarity: float, run: int, small: int) -> DataFrame:
+    """(digest, contaminated, item_id, similarity, run_words, refilled, run_item_id) of the texts that hold a window of an item.
+    found: (digest, hits) of suspects."""
+    sized = (lambda d: F.broadcast(d)) if n <= small else (lambda d: d)
+    hits = found.dropDuplicates(["digest"]).select("digest", F.explode("hits").alias("h")).select("digest", "h.kind", "h.hash", "h.p", "h.yours")
+    hits = hits.join(sized(windows), ["kind", "hash"]).select("digest", "item", "kind", "p", "q", "mine", "yours")
+    hits = checkpointed(hits)
+    bins = max(8, hits.count() // 50_000)
+
+    def settle(table: pa.Table) -> pa.Table:
+        pairs, about = defaultdict(list), {}
+        for r in table.to_pylist():
+            pairs[r["digest"], r["item"]].append((r["kind"], r["p"], r["q"], r["mine"], r["yours"]))
+            about[r["item"]] = (r["starts"], r["n_words"])
+        out = []
+        for (digest, item), hit in pairs.items():
+            starts, n_words = about[item]
+            out.append((digest, item, *judge(hit, [np.frombuffer(x, np.int32) for x in starts], n_words)))
+        return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_JUDGED)], schema=_JUDGED)
+
+    about = items.select("item", "n_words", "starts")
+    hits = hits.join(sized(about), "item").withColumn("bin", F.pmod(F.xxhash64("digest", "item"), F.lit(bins)))
+    judged = hits.groupBy("bin").applyInArrow(settle, "digest binary, item long, similarity double, refilled boolean, run_words int")
+    near = F.max_by(F.struct("similarity", "refilled", F.col("item").alias("near_item")), F.struct("similarity", -F.col("item"))).alias("near")
+    far = F.max_by(F.struct("run_words", F.col("item").alias("far_item")), F.struct("run_words", -F.col("item"))).alias("far")
+    best = judged.groupBy("digest").agg(near, far).select("digest", "near.*", "far.*")
+    ids = items.select(F.col("item").alias("_item"), "item_id")
+    for item, name in (("near_item", "item_id"), ("far_item", "run_item_id")):
+        best = best.join(sized(ids.select("_item", F.col("item_id").alias(name))), F.col(item) == F.col("_item")).drop("_item")
+    sure, ran = F.col("similarity") > 0, F.col("run_words") > 0
+    return best.select("digest", ((F.col("similarity") >= similarity) | (F.col("run_words") >= run)).alias("contaminated"), F.when(sure, F.col("item_id")).alias("item_id"), "similarity", "run_words", "refilled", F.when(ran, F.col("run_item_id")).alias("run_item_id"))
+
+
+_HIT = pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("p", pa.int32()), ("yours", pa.binary())])
+_JUDGED = pa.schema([("digest", pa.binary()), ("item", pa.int64()), ("similarity", pa.float64()), ("refilled", pa.bool_()), ("run_words", pa.int32())])
+
+
+def looked_up(docs: DataFrame, benchmark: DataFrame, id_: F.Column, text_col: str, item_col: str, item_text_col: str, similarity: float, run: int, small: int):
+    """(doc_id, digest) of each row, the digest null where no window may be an item's; the verdicts; the bit map."""
+    items, windows = benchmark_tables(benchmark, item_col, item_text_col)
+    n = windows.count()
+    bits, there = bit_map(windows, n)
+    sent = docs.sparkSession.sparkContext.broadcast((bits, there))
+
+    def look(batches):
+        for batch in batches:
+            digests, hits = [None] * len(batch), [None] * len(batch)
+            for first, _, c, found in suspects(batch.column(1), *sent.value):
+                for kind, at, row, x in found:
+                    lead = c.readings[kind].lead
+                    for k, r, h in zip(at.tolist(), row.tolist(), x.tolist()):
+                        if digests[first + r] is None:
+                            digests[first + r], hits[first + r] = digest_of(batch.column(1)[first + r].as_py()), []
+                        hits[first + r].append({"kind": kind, "hash": h, "p": int(lead[k] - c.rows[r]), "yours": slots(c, kind, k, False)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(hits, pa.list_(_HIT))], ["doc_id", "digest", "hits"])
+
+    rows = docs.select(id_.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = checkpointed(rows.mapInArrow(look, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, hits array<struct<kind: int, hash: bigint, p: int, yours: binary>>"))
+    found = verdicts(rows.where("digest is not null").select("digest", "hits"), items, windows, n, similarity, run, small)
+    return rows.select("doc_id", "digest"), checkpointed(found), sent
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN, small: int = SMALL) -> DataFrame:
     """Per row of docs: doc_id, contaminated, item_id (of the greatest similarity, or null), similarity, run_words (the longest
     run of any item), refilled, run_item_id (the item of that run, or null)."""
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, contaminated boolean, item_id {item_type}, similarity double, run_words int, refilled boolean, run_item_id {item_type}"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = []
-    several = slices(benchmark, item_col, item_text_col)
-    head = list(islice(several, 2))
-    if len(head) > 1:
-        # Each row keeps its own verdicts, whatever its id: its number is written once, with the text.
-        rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-        schema += ", row long, slice int"
-    for k, (ids, texts) in enumerate(chain(head, several)):
-
-        def look(batches, ids=ids, texts=texts, k=k):
-            bench = Bench(ids, texts)
-            for batch in batches:
-                found = examine(bench, batch.column(1), similarity, run)
-                row = [batch.column(2), pa.array([k] * len(found), pa.int32())] if batch.num_columns > 2 else []
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([bool(f and f[4]) for f in found], pa.bool_()), pa.array([ids[f[0]] if f and f[0] is not None else None for f in found], out_type), pa.array([f[1] if f else 0.0 for f in found], pa.float64()), pa.array([f[2] if f else 0 for f in found], pa.int32()), pa.array([bool(f and f[3]) for f in found], pa.bool_()), pa.array([ids[f[5]] if f and f[5] is not None else None for f in found], out_type), *row],
-                    ["doc_id", "contaminated", "item_id", "similarity", "run_words", "refilled", "run_item_id", "row", "slice"][: 7 + len(row)],
-                )
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        out_type = to_arrow_type(benchmark.schema[item_col].dataType)
-        parts.append(rows.mapInArrow(look, schema))
-    if not parts:
-        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.lit(None).cast(item_type).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("run_words"), F.lit(False).alias("refilled"), F.lit(None).cast(item_type).alias("run_item_id"))
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    near = F.max_by(F.struct("doc_id", "item_id", "similarity", "refilled"), F.struct("similarity", -F.col("slice"))).alias("near")
-    far = F.max_by(F.struct("run_words", "run_item_id"), F.struct("run_words", -F.col("slice"))).alias("far")
-    best = checkpointed(out).groupBy("row").agg(F.max("contaminated").alias("contaminated"), near, far)
-    return best.select("near.doc_id", "contaminated", "near.item_id", "near.similarity", "far.run_words", "near.refilled", "far.run_item_id")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns."""
-    out = docs
+    rows, found, _ = looked_up(docs, benchmark, F.col(id_col), text_col, item_col, item_text_col, similarity, run, small)
+    found = found.withColumnRenamed("digest", "_digest")
+    judged = rows.where("digest is not null").join(found, F.col("digest") == F.col("_digest"), "left")
+    nothing = {"contaminated": False, "similarity": 0.0, "run_words": 0, "refilled": False}
+    columns = ["doc_id", "contaminated", "item_id", "similarity", "run_words", "refilled", "run_item_id"]
+    judged = judged.select(*(F.coalesce(c, F.lit(nothing[c])).alias(c) if c in nothing else F.col(c) for c in columns))
+    item_type = benchmark.schema[item_col].dataType
+    calm = rows.where("digest is null").select(*(F.col(c) if c == "doc_id" else F.lit(nothing.get(c)).cast(item_type if c not in nothing else judged.schema[c].dataType).alias(c) for c in columns))
+    return calm.unionByName(judged)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN, small: int = SMALL) -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns. Rows without a suspect window are never shuffled."""
+    _, found, sent = looked_up(docs, benchmark, F.lit(0), text_col, item_col, item_text_col, similarity, run, small)
+    bad = found.where("contaminated").select(F.col("digest").alias("__bad_digest"))
     at = docs.columns.index(text_col)
-    for ids, texts in slices(benchmark, item_col, item_text_col):
-
-        def keep(batches, ids=ids, texts=texts):
-            bench = Bench(ids, texts)
-            for batch in batches:
-                found = examine(bench, batch.column(at).cast(pa.string()), similarity, run)
-                yield batch.filter(pa.array([not (f and f[4]) for f in found], pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
-    return out
+    def mark(batches):
+        for batch in batches:
+            digests = [None] * len(batch)
+            for first, _, _, hits in suspects(batch.column(at).cast(pa.string()), *sent.value):
+                for r in np.unique(np.concatenate([row for _, _, row, _ in hits])).tolist():
+                    digests[first + r] = digest_of(batch.column(at)[first + r].as_py())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, "__digest"])
+
+    schema = StructType([*docs.schema.fields, StructField("__digest", BinaryType())])
+    marked = docs.mapInArrow(mark, schema)
+    if bad.count() <= small:
+        return marked.join(F.broadcast(bad), F.col("__digest") == F.col("__bad_digest"), "left_anti").drop("__digest")
+    suspect = marked.where("__digest is not null").join(bad, F.col("__digest") == F.col("__bad_digest"), "left_anti")
+    return marked.where("__digest is null").unionByName(suspect).drop("__digest")

@@ -120,6 +120,70 @@ def test_quality(spark):
     assert {r["doc_id"]: round(r["score"], 9) for r in same.collect()} == {k: round(r["score"], 9) for k, r in got.items()}
 
 
+def brute_quality(docs, labels: dict) -> dict:
+    """doc number -> (host mean, path mean, score), with the operator's own evidence and prior strengths by their formula."""
+    out = [labels.get(d["doc_id"], d["evidence"]) if not d["held_out"] else d["evidence"] for d in docs]
+
+    def sums(key):
+        got: dict = {}
+        for d, o in zip(docs, out):
+            n, s = got.get(key(d), (0, 0.0))
+            got[key(d)] = (n + 1, s + o)
+        return got
+
+    def kappa(groups):
+        n, m = sum(g[0] for g in groups), sum(g[1] for g in groups) / sum(g[0] for g in groups)
+        spread = sum(k * (s / k - m) ** 2 for k, s in groups) - sum(s / k * (1 - s / k) for k, s in groups)
+        within = max(m * (1 - m), 1e-9)
+        return min(max(within / max(spread / n, within / 1e4) - 1, 1.0), 1e4)
+
+    host, path = sums(lambda d: d["host"]), sums(lambda d: (d["host"], d["path"]))
+    kh, kp, n, total = kappa(host.values()), kappa(path.values()), len(docs), sum(out)
+    logit, found = lambda p: math.log(p) - math.log1p(-p), []
+    inside = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+    for d, o in zip(docs, out):
+        prior = inside((total - o) / (n - 1))
+        hn, hs = host[d["host"]]
+        pn, ps = path[d["host"], d["path"]]
+        hm = inside((hs - o + prior * kh) / (hn - 1 + kh))
+        pm = inside((ps - o + hm * kp) / (pn - 1 + kp))
+        found.append((d["doc_id"], hm, pm, 1 / (1 + math.exp(-(logit(d["evidence"]) + logit(pm) - logit(prior))))))
+    return found
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_quality_equals_brute_force(spark, clash):
+    """Repeated rows, null ids, null hosts and paths, a very long text, labels and none."""
+    texts = [(k % 70, prose(k, 20 + k % 9).upper() if k % 4 else prose(k, 30), ("en", "de", None)[k % 3], None if k % 11 == 0 else f"s{k % 5}") for k in range(90)]
+    data = [*texts, (None, "a", "en", "s1"), (None, None, None, None), (500, prose(4, 20000), "en", "only")]
+    docs = frame(spark, data, clash)
+    labels = {k: k % 2 for k in range(0, 60, 3)}
+    model = quality.train(docs, spark.createDataFrame([(k, int(k % 4 == 0), 0) for k in range(70)], "doc_id long, quality int, toxic int"))
+    seen = quality.evidence(docs, model, F.col("source"), F.col("lang")).collect()
+    want = sorted(((i, *(round(x, 7) for x in v)) for i, *v in brute_quality([r.asDict() for r in seen], labels)), key=str)
+    for small in (100_000, 3, 0):
+        got = quality.quality(docs, model, F.col("source"), F.col("lang"), small=small, labels=spark.createDataFrame([(k, v, 0) for k, v in labels.items()], "doc_id long, quality int, toxic int"))
+        assert sorted(((r["doc_id"], *(round(r[c], 7) for c in ("host_mean", "path_mean", "score"))) for r in got.collect()), key=str) == want
+
+
+def test_quality_site_decides(spark):
+    """One text at three sites, good, bad and unknown: the records of the others there make the difference."""
+    same = "a text like any other"
+    docs = frame(spark, [(k, same, "en", "good" if k < 40 else "bad" if k < 80 else f"lone{k}") for k in range(82)])
+    labels = spark.createDataFrame([(k, int(k < 38 or 40 <= k < 42), 0) for k in range(79)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality(docs, 0.5, F.col("source"), F.col("lang"), labels=labels).collect()}
+    assert got[39]["keep"] and got[39]["score"] > 0.7 and not got[79]["keep"] and got[79]["score"] < 0.3
+    assert abs(got[80]["score"] - 0.5) < 0.01 and got[80]["evidence"] == got[39]["evidence"]
+
+
+def test_quality_own_outcome_does_not_count(spark):
+    """A site of one document says nothing of it, whatever its label."""
+    docs = frame(spark, [(k, "words", "en", f"s{k}") for k in range(30)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    got = quality.quality(docs, 0.5, F.col("source"), F.col("lang"), labels=labels).collect()
+    assert len(got) == 30 and all(abs(r["score"] - 0.5) < 0.02 for r in got)
+
+
 def test_quality_shrinks_sparse_sites(spark):
     docs = frame(spark, [(k, "x", "en", "big") for k in range(300)] + [(900, "y", "en", "tiny")])
     model = 0.4
@@ -197,11 +261,10 @@ def test_decontamination(spark):
     assert got[0]["contaminated"] and not got[1]["contaminated"]
 
 
-def test_decontamination_in_slices_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "slices", lambda b, i, t, most=0: iter([([r[i]], [r[t]]) for r in b.collect() if r[t]]))
-    got = contaminated(spark, [ITEM, prose(5, 60), "nothing"], (ITEM, prose(5, 60), None, "", "a b"))
-    assert [got[k]["item_id"] for k in range(3)] == [0, 1, None] and [got[k]["contaminated"] for k in range(3)] == [True, True, False]
-    monkeypatch.undo()
+def test_decontamination_edges(spark):
+    for small in (500_000, 0):
+        got = contaminated(spark, [ITEM, prose(5, 60), "nothing", "A, B.", "a b c", "it is a b here"], (ITEM, prose(5, 60), None, "", "a b"), small=small)
+        assert [got[k]["item_id"] for k in range(6)] == [0, 1, None, 4, None, None] and [got[k]["contaminated"] for k in range(6)] == [True, True, False, True, False, False]
     none = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, clash=True)
     assert decontaminate.contamination(docs, none).where("contaminated").count() == 0
@@ -283,18 +346,54 @@ def test_numbers_and_names_end_with_their_text():
     assert [bool(f and f[4]) for f in found] == [False] * 4 + [True] + [False] * 3
 
 
-def test_slices_keep_rows_apart(spark, monkeypatch):
-    """One slice or one for each item: the same rows, also for null ids, repeated ids and repeated rows."""
-    bench = spark.createDataFrame(list(enumerate((ITEM, prose(5, 60), BOX, BOX))), "item_id long, text string")
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_rows_are_kept_apart_and_equal_the_form_in_memory(spark, small):
+    """Broadcast or shuffled: a row for each row, also for null ids, repeated ids and repeated rows, equal to examine()."""
+    items = (ITEM, prose(5, 60), BOX, BOX, GIVES, "Eva has two cats", prose(6, 25) + " 12 km " + prose(7, 9), f"{prose(8, 14)} Anna {prose(9, 14)}")
     texts = [(None, ITEM), (None, "nothing"), (None, None), (1, prose(5, 60)), (1, "nothing"), (1, "nothing"), (2, ITEM), (2, ITEM), (3, f"{ITEM} {BOX}")]
+    texts += [(10 + k, f"{prose(k, 9)}. {t}. {prose(k, 3000 if k == 2 else 12)}") for k, t in enumerate((BOX.replace("3", "4"), GIVES.replace("Anna", "Eva"), ITEM.replace("120", "90"), prose(6, 25) + " 7 km " + prose(7, 9), prose(8, 14) + " Tom", "Eva has two cats", BOX.replace("red", "green")))] + [(30, "eva HAS two, cats!")]
     docs = frame(spark, [(i, t, "en", "s") for i, t in texts], clash=True)
-    columns = ("doc_id", "contaminated", "item_id", "similarity", "run_words", "refilled", "run_item_id")
-    whole = decontaminate.contamination(docs, bench)
-    cut = decontaminate.slices
-    monkeypatch.setattr(decontaminate, "slices", lambda b, i, t: cut(b, i, t, 1))
-    parts = decontaminate.contamination(docs, bench)
-    assert parts.schema == whole.schema and len(rows(parts, *columns)) == len(texts)
-    assert rows(parts, *columns) == rows(whole, *columns)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.examine(decontaminate.Bench(list(range(len(items))), list(items)), pa.array([t for _, t in texts]))
+    want = [(i, bool(f and f[4]), f[0] if f else None, round(f[1], 9) if f else 0.0, f[2] if f else 0, bool(f and f[3]), f[5] if f else None) for (i, _), f in zip(texts, found)]
+    got = [(*r[:3], round(r[3], 9), *r[4:]) for r in decontaminate.contamination(docs, bench, small=small).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and 8 < sum(w[1] for w in want) < len(want)
+    kept = decontaminate.clean(docs, bench, small=small)
+    assert kept.schema == docs.schema and rows(kept, "doc_id", "text") == sorted([t for t, w in zip(texts, want) if not w[1]], key=str)
+
+
+def brute_refillings(text: str, item: str) -> float:
+    """Share of the item's template windows that one choice of document values explains, by trying every choice."""
+    import itertools
+
+    def read(t):
+        c = decontaminate.Canonical(*decontaminate.text_bytes(pa.array([t])))
+        at, _, x = decontaminate.candidates(c, 0, True)
+        return [(int(h), decontaminate.slots(c, 0, k, True)) for k, h in zip(at.tolist(), x.tolist())]
+
+    mine, yours = read(item), read(text)
+    hits = [(k, decontaminate.filled(s, b"\0".join(x[1:] if x else b"" for x in z.split(b"\0")))) for k, (h, s) in enumerate(mine) for g, z in yours if g == h]
+    left = sorted({x for _, f in hits for x, _ in f})
+    values = {x: sorted({y for _, f in hits for w, y in f if w == x}) for x in left}
+    best = 0
+    for choice in itertools.product(*(values[x] for x in left)):
+        told = dict(zip(left, choice))
+        best = max(best, len({k for k, f in hits if all(told[x] == y for x, y in f)}))
+    return best / len(mine)
+
+
+def test_slots_equal_brute_force():
+    """One copy of an item with any values in its slots, also contradictory ones: the share is that of the best re-filling."""
+    import random
+
+    rng, seen = random.Random(3), set()
+    item = "we gave 3 red balls to our friend then she gave 5 of them and 3 more to the boy who had 5 of his own and 7 others before those 7 days"
+    for _ in range(40):
+        text = " ".join(str(rng.choice((2, 4, 6))) if w.isdigit() else w for w in item.split())
+        got = examined(text, item)
+        seen.add(got[1])
+        assert abs(got[1] - brute_refillings(text, item)) < 1e-9, text
+    assert len(seen) > 2
 
 
 def test_window_hits_equal_brute_force():
