@@ -2,17 +2,20 @@
 
 1. Evidence: a logistic regression on style features of the whole text (shares of capitals, digits, signs and letters,
    word sizes, repeats), trained in numpy on at most ``per_class`` labelled rows of each class (documented bound).
-2. Records: evidence is summed by (host, path), then by host, then over all, by grouped aggregation with map-side partial
-   sums; a hot host is a few numbers a task. Prior strengths come from the data by moments: kappa = share within groups
-   over variance between them. A host's mean is shrunk toward the global one, a path's toward its host's.
-3. A document's log-odds are those of its evidence plus those of its section against the global prior.
+2. Records: outcomes (the label where a training row has one, the evidence elsewhere) are summed by (host, path), then by
+   host, then over all, by grouped aggregation with map-side partial sums; a hot host is a few numbers a task. Prior
+   strengths come from the data by moments: kappa = share within groups over variance between them.
+3. Posteriors: a document never counts in its own record. Of the other documents, the global mean is the prior of the
+   host's mean, and that one of the path's: with n others of sum s, (s + kappa * prior) / (n + kappa). A sparse site stays near
+   the global mean.
+4. A document's log-odds are those of its evidence plus those of its path's posterior against the global prior.
 
-The tables of records are joined by broadcast only while they hold at most ``small`` rows, counted first; beyond that by
-a shuffled join, whose large keys adaptive execution splits.
+Heavy groups (those with over 1 / ``small`` of all rows, so fewer than ``small``) are joined by broadcast, and their rows
+never shuffled; the others by a shuffled join.
 
 Defined results: null text counts as empty; null hosts and paths are groups of their own; without training rows of both
-classes the evidence is the share of the one class, or 0.5; repeated rows get equal results; an empty table gives no rows;
-other columns are ignored.
+classes the evidence is the share of the one class, or 0.5; a site of one document adds nothing; repeated rows are documents of
+their own and get equal results; a null id has no label; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SIGNS, SPACE, checkpointed, crc_mod, in_rows, keep_memory, pieces, text_bytes, word_hashes
-from .labelled import sample
+from .labelled import labels_of, sample
 
 PER_CLASS, SMALL, MODULUS, HELD = 6000, 100_000, 5, 0
 _UPPER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
@@ -113,11 +116,11 @@ def evidence(docs: DataFrame, model: Logistic | float, host: F.Column, path: F.C
     return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, host string, path string, evidence double")
 
 
-def strength(groups: DataFrame, mean: str, n: str) -> float:
+def strength(groups: DataFrame, total: str, n: str) -> float:
     """kappa of a level, by moments: what a group's own record must weigh against. One row reaches the driver."""
-    spread = f"({mean} - m)"
-    r = groups.crossJoin(F.broadcast(groups.agg((F.sum(F.expr(f"{mean} * {n}")) / F.sum(n)).alias("m")))).agg(
-        F.sum(F.expr(f"{n} * {spread} * {spread}")).alias("ss"), F.sum(F.expr(f"{mean} * (1 - {mean}) / greatest({n}, 1) * {n}")).alias("noise"), F.sum(n).alias("n"), F.max("m").alias("m")
+    mean = f"({total} / {n})"
+    r = groups.crossJoin(F.broadcast(groups.agg((F.sum(total) / F.sum(n)).alias("m")))).agg(
+        F.sum(F.expr(f"{n} * ({mean} - m) * ({mean} - m)")).alias("ss"), F.sum(F.expr(f"{mean} * (1 - {mean})")).alias("noise"), F.sum(n).alias("n"), F.max("m").alias("m")
     ).first()
     if not r["n"]:
         return 1.0
@@ -126,22 +129,42 @@ def strength(groups: DataFrame, mean: str, n: str) -> float:
     return min(max(within / between - 1, 1.0), 1e4)
 
 
-def quality(docs: DataFrame, model: Logistic | float, host: F.Column, path: F.Column, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, threshold: float = 0.5) -> DataFrame:
-    """Per row: doc_id, held_out, evidence, host_mean, path_mean, score, keep."""
-    rows = checkpointed(evidence(docs, model, host, path, id_col, text_col))
-    paths = checkpointed(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.avg("evidence").alias("own")))
-    hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("host_n"), (F.sum(F.expr("own * n")) / F.sum("n")).alias("host_own")))
-    total = hosts.agg(F.sum("host_n").alias("n"), F.sum(F.expr("host_own * host_n")).alias("s")).first()
-    prior = total["s"] / total["n"] if total["n"] else 0.5
-    k_host, k_path = strength(hosts, "host_own", "host_n"), strength(paths, "own", "n")
-    hosts = hosts.select("host", F.expr(f"(host_own * host_n + {prior!r}D * {k_host!r}D) / (host_n + {k_host!r}D)").alias("host_mean"))
-    n_paths = paths.count()
-    within = (lambda d: F.broadcast(d)) if n_paths <= small else (lambda d: d)
-    hosts = hosts.withColumnRenamed("host", "_host")
-    paths = paths.join(within(hosts), paths["host"].eqNullSafe(F.col("_host"))).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_mean", F.expr(f"(own * n + host_mean * {k_path!r}D) / (n + {k_path!r}D)").alias("path_mean"))
-    paths = checkpointed(paths)
+def with_records(rows: DataFrame, groups: DataFrame, keys: list[str], heavy: F.Column) -> DataFrame:
+    """rows with their group's columns, by null-safe keys. Heavy groups, whose number has a bound, are broadcast."""
+    named = [f"_{k}" for k in keys]
+
+    def on(left: DataFrame, right: DataFrame):
+        return [left[k].eqNullSafe(right[n]) for k, n in zip(keys, named)]
+
+    for k, n in zip(keys, named):
+        groups = groups.withColumnRenamed(k, n)
+    hot, rest = F.broadcast(groups.where(heavy)), groups.where(~heavy)
+    near = rows.join(hot, on(rows, hot)).drop(*named)
+    light = rows.join(hot, on(rows, hot), "left_anti")
+    return near.unionByName(light.join(rest, on(light, rest)).drop(*named))
+
+
+def quality(docs: DataFrame, model: Logistic | float, host: F.Column, path: F.Column, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, threshold: float = 0.5, labels: DataFrame | None = None, label_col: str = "quality", modulus: int = MODULUS, held: int = HELD) -> DataFrame:
+    """Per row: doc_id, held_out, evidence, host_mean, path_mean, score, keep; the means are posteriors without the row itself."""
+    rows = evidence(docs, model, host, path, id_col, text_col, modulus, held)
+    outcome = F.col("evidence")
+    if labels is not None:
+        known = labels_of(labels, label_col).select("_id", "label")
+        rows = rows.join(known, (F.col("doc_id") == F.col("_id")) & ~F.col("held_out"), "left")
+        outcome = F.coalesce(F.col("label").cast("double"), outcome)
+    rows = checkpointed(rows.select("doc_id", "held_out", "host", "path", "evidence", outcome.alias("outcome")))
+    paths = checkpointed(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("path_n"), F.sum("outcome").alias("path_sum")))
+    hosts = checkpointed(paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_sum").alias("host_sum"), F.count(F.lit(1)).alias("n_paths")))
+    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_sum").alias("s"), F.sum("n_paths").alias("paths")).first()
+    n, all_ = total["n"] or 0, float(total["s"] or 0)
+    k_host, k_path = strength(hosts, "host_sum", "host_n"), strength(paths, "path_sum", "path_n")
+    paths = checkpointed(with_records(paths, hosts, ["host"], F.col("n_paths") * small > (total["paths"] or 0)).drop("n_paths"))
+    joined = with_records(rows, paths, ["host", "path"], F.col("path_n") * small > n)
+    prior = F.expr(f"({all_!r}D - outcome) / {n - 1}") if n > 1 else F.lit(0.5)
+    host_mean = F.expr(f"(host_sum - outcome + prior * {k_host!r}D) / (host_n - 1 + {k_host!r}D)")
+    path_mean = F.expr(f"(path_sum - outcome + host_mean * {k_path!r}D) / (path_n - 1 + {k_path!r}D)")
+    inside = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
+    joined = joined.withColumn("prior", inside(prior)).withColumn("host_mean", inside(host_mean)).withColumn("path_mean", inside(path_mean))
     logit = lambda c: F.log(c) - F.log1p(-c)
-    z = logit(F.col("evidence")) + logit(F.col("path_mean")) - logit(F.lit(float(prior)))
-    joined = rows.join(within(paths), rows["host"].eqNullSafe(F.col("_host")) & rows["path"].eqNullSafe(F.col("_path")), "left")
-    score = 1 / (1 + F.exp(-z))
+    score = 1 / (1 + F.exp(-(logit(F.col("evidence")) + logit(F.col("path_mean")) - logit(F.col("prior")))))
     return joined.select("doc_id", "held_out", "evidence", "host_mean", "path_mean", score.alias("score"), (score >= threshold).alias("keep"))

@@ -32,8 +32,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source is the site, and its documents of one language are a section of it."""
     docs = read_table(spark, sf_dir, "documents")
-    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.quality(docs, model, F.col("source"), F.col("lang"))
+    labels = read_table(spark, sf_dir, "labels")
+    return quality.quality(docs, quality.train(docs, labels), F.col("source"), F.col("lang"), labels=labels)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
