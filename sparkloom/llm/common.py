@@ -9,6 +9,7 @@ no task holds more as the corpus grows.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 
 import numpy as np
@@ -23,14 +24,32 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder of this machine's, and only if driver and executors
+    are this one process: on a cluster nobody else could read it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp("-checkpoints")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back; a folder of its own is made only where none is set."""
+    """df written to the shared checkpoint folder and read back."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints of steps that nothing refers to any more are removed now, not when the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -178,13 +197,13 @@ def text_size(docs: DataFrame, text_col: str) -> tuple[int, int]:
 
 
 def bits_for(entries: float, least: int = 4) -> int:
-    """Bits of a hash to deal `entries` by, so that a bucket holds about BUCKET_ENTRIES."""
-    return min(20, max(least, int(np.ceil(np.log2(max(1.0, entries / BUCKET_ENTRIES))))))
+    """Bits of a hash to deal `entries` by, so that a bucket holds about BUCKET_ENTRIES, whatever their number."""
+    return min(30, max(least, int(np.ceil(np.log2(max(1.0, entries / BUCKET_ENTRIES))))))
 
 
 def width_for(bits: int) -> int:
     """Bits that are sent of a key besides `bits`, so that at least 60 of its 64 decide."""
-    return 56 if bits <= 8 else 48 if bits <= 16 else 40
+    return 56 if bits <= 8 else 48 if bits <= 16 else 40 if bits <= 24 else 32
 
 
 def block_count(n_bytes: int) -> int:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import Rolling, bits_for, block_of, blocks, checkpointed, keep_memory, text_bytes, text_size
+from .common import Rolling, bits_for, block_of, blocks, checkpointed, keep_memory, let_go, text_bytes, text_size
 from .exact_dedup import exact_dedup
 
 DEPTH, COVER_ORDER, PIECE, LEAST_BYTES = 400, 2, 1_000_000, 32
@@ -71,11 +71,15 @@ def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return dense(high.astype(np.int64) << 32 | low.astype(np.int64))
 
 
+#: The cover's period inside a bucket, its residues, and the number of each.
+PERIOD, RESIDUES = difference_cover(0)
+_NTH = np.full(PERIOD, -1)
+_NTH[RESIDUES] = np.arange(len(RESIDUES))
+
+
 class SuffixBucket:
     """The suffixes of one bucket: some texts, of each its first `count` suffixes."""
 
-    SMALL = 13  # the cover's period in a bucket: that of order 0
-
     def __init__(self, texts: list[bytes], counts: np.ndarray):
         size = np.array([len(t) for t in texts], np.int64)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
@@ -84,8 +88,7 @@ class SuffixBucket:
         self.nth = np.arange(len(self.text)) - np.repeat(np.cumsum(counts) - counts, counts)
         self.place = first[self.text] + self.nth
         self.left = size[self.text] - self.nth  # bytes of the suffix
-        self.end = np.repeat(first + size, size)
-        self.doubled: dict[int, np.ndarray] = {}
+        self.sampled: dict[int, np.ndarray] = {}
 
     def words(self) -> np.ndarray:
         """The 8 bytes from each place on as a number whose order is that of the bytes."""
@@ -106,46 +109,49 @@ class SuffixBucket:
             out = joined(out, eight[np.minimum(np.arange(n) + k, n - 1)])
         return out
 
+    def first_ranks(self) -> np.ndarray:
+        """Rank of the first PERIOD bytes from each place on."""
+        if not hasattr(self, "_first"):
+            self._first = self.prefix_ranks(PERIOD)
+        return self._first
+
     def sample_ranks(self, length: int) -> np.ndarray:
-        """Rank of the `length` bytes (a multiple of 13) from each place of the cover sample on, by doubling."""
-        v, cover = difference_cover(0)
-        if v not in self.doubled:
-            self.doubled[v] = self.prefix_ranks(v)
-        have = v
+        """Rank of the `length` bytes (a multiple of PERIOD) from each place of the cover sample on, by doubling. The sample's
+        places are numbered in order, so PERIOD bytes on is len(RESIDUES) numbers on."""
+        if not self.sampled:
+            at = np.arange(len(self.data))
+            self.sampled[PERIOD] = self.first_ranks()[at[_NTH[at % PERIOD] >= 0]]
+        have = PERIOD
         while have < length:
             step = min(have, length - have)
-            inside = np.zeros(v, bool)
-            inside[cover] = True
-            at = np.arange(len(self.data))
-            at = at[inside[at % v] & (self.end - at >= have + step)]
-            if have + step not in self.doubled:
-                ranks = np.zeros(len(self.data), np.int64)
-                ranks[at] = joined(self.doubled[have][at], self.doubled[have][at + step])
-                self.doubled[have + step] = ranks
+            if have + step not in self.sampled:
+                ranks, jump = self.sampled[have], step // PERIOD * len(RESIDUES)
+                out = np.zeros(len(ranks), np.int64)
+                out[: max(0, len(ranks) - jump)] = joined(ranks[: max(0, len(ranks) - jump)], ranks[jump:])
+                self.sampled[have + step] = out
             have += step
-        return self.doubled[length]
+        return self.sampled[length]
 
-    def ties(self, depth: int) -> np.ndarray:
-        """For each suffix, whether another one has the same `depth` bytes."""
+    def ties(self, depth: int, among: np.ndarray | None = None) -> np.ndarray:
+        """For each suffix (of those among, if given), whether another one has the same `depth` bytes."""
         tied = np.zeros(len(self.place), bool)
-        use = np.flatnonzero(self.left >= depth)
+        use = np.flatnonzero(self.left >= depth if among is None else among & (self.left >= depth))
         if not len(use):
             return tied
         place = self.place[use]
-        v, cover = difference_cover(0)
-        if depth < 3 * v:
+        if depth < 3 * PERIOD:
             tied[use] = self.again(self.prefix_ranks(depth)[place])
             return tied
-        # The first v bytes and the last 2 v; samples between them reach from below v to beyond depth - 2 v.
-        length = (depth - v + 1) // v * v
-        ranks, first = self.sample_ranks(length), self.doubled[v]
-        ends = joined(joined(first[place], first[place + depth - 2 * v]), first[place + depth - v])
+        # The first bytes and the last 2 * PERIOD; samples between them reach from below PERIOD to beyond depth - 2 * PERIOD.
+        first = self.first_ranks()
+        ends = joined(joined(first[place], first[place + depth - 2 * PERIOD]), first[place + depth - PERIOD])
         open_ = np.flatnonzero(self.again(ends))
         use, place, ends = use[open_], place[open_], ends[open_]
-        for shift in range(v):
-            at = np.flatnonzero(np.isin((place + shift) % v, cover))
-            key = ends[at] << 32 | ranks[place[at] + shift]
-            tied[use[at]] |= self.again(key)
+        ranks = self.sample_ranks((depth - PERIOD + 1) // PERIOD * PERIOD)
+        for shift in range(PERIOD):
+            whole, residue = np.divmod(place + shift, PERIOD)
+            at = np.flatnonzero(_NTH[residue] >= 0)
+            tied[use[at]] |= self.again(ends[at] << 32 | ranks[whole[at] * len(RESIDUES) + _NTH[residue[at]]])
         return tied
 
     @staticmethod
@@ -339,8 +345,9 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
         texts, suffixes = [x.as_buffer().to_pybytes() for x in table.column("text")], table.column("suffixes").to_numpy()
         bucket = SuffixBucket(texts, suffixes)
         cut = np.cumsum(suffixes)[:-1]
-        deep = np.split(bucket.ties(depth), cut)
-        close = np.split(bucket.ties(near), cut) if near < depth else deep
+        close = bucket.ties(near)
+        deep = np.split(bucket.ties(depth, close) if near < depth else close, cut)
+        close = np.split(close, cut)
         out = [(d, np.packbits(x).tobytes(), np.packbits(y).tobytes()) for d, n, x, y in zip(table.column("digest").to_pylist(), table.column("times").to_pylist(), deep, close) if n == 1 and y.any()]
         return pa.table([pa.array([r[k] for r in out], TIES.field(k).type) for k in range(3)], schema=TIES)
 
@@ -372,6 +379,8 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     replies = packed.count(grouped.cogroup(info.groupBy("blk")).applyInArrow(send_sample, packed.MESSAGE))
     more = info.unionByName(as_side(replies, 1, "blk", "bucket", "code"))
     sent = checkpointed(grouped.cogroup(more.groupBy("blk")).applyInArrow(send_stretches, "blk int, digest binary, least long, suffixes int, text binary, times int, places binary"))
+    del replies, more
+    let_go(docs.sparkSession)
     # Equal stretches are one row: a hot passage is a row a task before the shuffle.
     distinct = checkpointed(sent.groupBy("digest").agg(F.first("text").alias("text"), F.first("least").alias("least"), F.first("suffixes").alias("suffixes"), F.sum("times").cast("int").alias("times")))
     by_least = distinct.groupBy("least").agg(F.sum(F.octet_length("text")).alias("size"))
@@ -382,8 +391,11 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     calm = distinct.join(hot, "least", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("least"), F.lit(n_buckets)))
     ties = calm.groupBy("bucket").applyInArrow(sort_bucket, "digest binary, deep binary, near binary")
     ties = ties.unionByName(_ties_of_hot(distinct.join(hot, "least", "left_semi"), depth, near, hot_parts))
+    # Later steps need no text but the documents'.
     repeated = distinct.where("times > 1").select("digest", F.lit(None).cast("binary").alias("deep"), F.lit(None).cast("binary").alias("near"), F.lit(True).alias("all"))
     ties = checkpointed(ties.withColumn("all", F.lit(False)).unionByName(repeated))
+    del distinct, by_least, hot, calm, repeated
+    let_go(docs.sparkSession)
     found = sent.select("blk", "digest", "places", "suffixes", F.octet_length("text").alias("size")).join(ties, "digest").drop("digest")
     more = info.unionByName(as_side(found, 2, "blk", "places", "suffixes", "size", "deep", "near", "all"))
     extra = ", n_repeated long" * (report is not None) + ", kept binary" * keep
