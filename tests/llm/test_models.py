@@ -222,21 +222,125 @@ def test_language_model_predicts_and_sums_to_one(spark):
     assert min(seen) > -12 and all(s <= 0 for s in got.values())
 
 
+def test_probabilities_sum_to_one(spark):
+    """After a known, a rare and an unknown context word and at the beginning, over all words, the unknown one and the end."""
+    train = [k for k in range(400) if crc_mod([k], 10)[0] != 0][:60]
+    texts = {k: " ".join(prose(k, 12).split()) for k in train}
+    words = sorted({w for t in texts.values() for w in t.split()})
+    held = iter([k for k in range(1000, 9000) if crc_mod([k], 10)[0] == 0])
+    contexts = [None, "the", texts[train[0]].split()[3], "neverseen"]
+    probes = {next(held): (c, w) for c in contexts for w in [*words, "neverseen", None]}
+    docs = frame(spark, [(k, t, "en", "s") for k, t in texts.items()] + [(k, " ".join(x for x in p if x), "en", "s") for k, p in probes.items()])
+    got = {r["doc_id"]: r["log_p"] for r in language_model.score(docs, tokens=True).collect()}
+    for c in contexts:
+        total = sum(10 ** got[k][0 if c is None else 1] for k, p in probes.items() if p[0] == c)
+        assert abs(total - 1) < 1e-5, c
+
+
+def gibbs(texts: list[list[str]], sweeps: int, burn: int, probes: list[tuple]) -> list[float]:
+    """A Gibbs sampler of single customers, table by table, at both levels: the mean predictions of probes (context, word)."""
+    import random
+
+    rng = random.Random(1)
+    d, theta, d0, theta0 = language_model.DISCOUNT, language_model.THETA, language_model.ROOT_DISCOUNT, language_model.ROOT_THETA
+    tokens = [(u, w) for t in texts for u, w in zip([None, *t], [*t, "END"])]
+    v = len({w for _, w in tokens})
+    seats: dict = {}  # restaurant -> dish -> sizes of tables; the parent is "ROOT"
+
+    def total(u, of=sum):
+        return sum(of(x) for x in seats.get(u, {}).values())
+
+    def p_root(w):
+        x = seats.get("ROOT", {}).get(w, [])
+        return (sum(x) - d0 * len(x) + (theta0 + d0 * total("ROOT", len)) * 0.5 / v) / (theta0 + total("ROOT"))
+
+    def sit(u, w):
+        x = seats.setdefault(u, {}).setdefault(w, [])
+        a, b, new = (d0, theta0, 0.5 / v) if u == "ROOT" else (d, theta, p_root(w))
+        weights = [n - a for n in x] + [(b + a * total(u, len)) * new]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k < len(x):
+            x[k] += 1
+        else:
+            x.append(1)
+            if u != "ROOT":
+                sit("ROOT", w)
+
+    def leave(u, w):
+        x = seats[u][w]
+        k = rng.choices(range(len(x)), x)[0]
+        x[k] -= 1
+        if not x[k]:
+            x.pop(k)
+            if u != "ROOT":
+                leave("ROOT", w)
+
+    for u, w in tokens:
+        sit(("in", u), w)
+    sums = [0.0] * len(probes)
+    for sweep in range(sweeps):
+        for u, w in tokens:
+            leave(("in", u), w)
+            sit(("in", u), w)
+        if sweep >= burn:
+            for k, (u, w) in enumerate(probes):
+                x = seats.get(("in", u), {}).get(w, [])
+                c_u, t_u = total(("in", u)), total(("in", u), len)
+                sums[k] += (sum(x) - d * len(x) + (theta + d * t_u) * p_root(w)) / (theta + c_u)
+    return [s / (sweeps - burn) for s in sums]
+
+
+def test_predictions_equal_a_sampler_of_single_customers(spark):
+    train = [k for k in range(100) if crc_mod([k], 10)[0] != 0][:14]
+    texts = {k: prose(k, 14).replace("7", "").split() for k in train}
+    held = [k for k in range(1000, 9000) if crc_mod([k], 10)[0] == 0]
+    counts = Counter(zip([w for t in texts.values() for w in t[:-1]], [w for t in texts.values() for w in t[1:]]))
+    pairs = [p for p, _ in counts.most_common(6)] + [("the", "zzz"), ("stone", "seven"), ("hills", "the")]
+    pairs = [p for p in pairs if all(any(w in t for t in texts.values()) for w in p)]
+    want = gibbs(list(texts.values()), 400, 100, pairs)
+    docs = frame(spark, [(k, " ".join(t), "en", "s") for k, t in texts.items()] + [(k, f"{u} {w}", "en", "s") for k, (u, w) in zip(held, pairs)])
+    got = {r["doc_id"]: 10 ** r["log_p"][1] for r in language_model.score(docs, chains=32, sweeps=3, tokens=True).collect() if r["held_out"]}
+    ratio = np.array([got[k] for k, _ in zip(held, pairs)]) / np.array(want)
+    assert len(pairs) >= 6 and (np.abs(ratio - 1) < 0.15).all() and abs(ratio.mean() - 1) < 0.08, ratio
+
+
+def test_tables_follow_their_conditional():
+    """For small counts, frequencies of t against the weights, summed up; for large ones, the mean by the recursion itself."""
+    n = 20000
+    for c, x, p, d in ((2, 2.0, 0.3, 0.8), (5, 40.0, 0.01, 0.8), (9, 11.0, 0.5, 0.6)):
+        t = language_model.tables(np.full(n, c), np.full(n, x), np.full(n, p), d, np.arange(n, dtype=np.uint64))
+        ways = {1: {1: 1.0}}
+        for k in range(1, c):
+            ways[k + 1] = {m: ways[k].get(m - 1, 0) + max(0, k - d * m) * ways[k].get(m, 0) for m in range(1, k + 2)}
+        weight = np.array([ways[c][m] * np.prod([(x + d * i) * p for i in range(m)]) for m in range(1, c + 1)])
+        assert np.abs(np.bincount(t, minlength=c + 1)[1:] / n - weight / weight.sum()).max() < 0.015
+    for c, x, p in ((1000, 300.0, 0.02), (1500, 5000.0, 0.0004), (900, 4000.0, 0.2), (700, 5.0, 0.3), (1200, 2000.0, 0.1), (600, 2.0, 0.001)):
+        s = language_model.log_stirling(0.8, c)[c, 1:]
+        log_w = s + np.cumsum(np.log((x + 0.8 * np.arange(c)) * p))
+        w = np.exp(log_w - log_w.max())
+        mean = (w * np.arange(1, c + 1)).sum() / w.sum()
+        spread = np.sqrt((w * np.arange(1, c + 1) ** 2).sum() / w.sum() - mean**2)
+        t = language_model.tables(np.full(3000, c), np.full(3000, x), np.full(3000, p), 0.8, np.arange(3000, dtype=np.uint64))
+        assert abs(t.mean() / mean - 1) < 0.03 and abs(t.std() - spread) < max(0.15 * spread, 0.3), (c, x, t.mean(), mean, t.std(), spread)
+
+
 def test_tables_lie_between_one_and_customers():
     count = np.array([0, 1, 2, 5, 60, 1000, 100000])
-    t = language_model.tables(count, np.full(7, 1.5), 0.7, np.arange(7, dtype=np.uint64))
-    assert t[0] == 0 and t[1] == 1 and (t[2:] >= 1).all() and (t <= count).all() and (np.diff(t) >= 0).all()
-    flat = language_model.tables(np.full(4000, 10), np.full(4000, 2.0), 0.0, np.arange(4000, dtype=np.uint64), 1)
+    t = language_model.tables(count, np.full(7, 1.5), np.ones(7), 0.7, np.arange(7, dtype=np.uint64))
+    assert t[0] == 0 and t[1] == 1 and (t[2:] >= 1).all() and (t <= count).all()
+    flat = language_model.tables(np.full(4000, 10), np.full(4000, 2.0), np.ones(4000), 0.0, np.arange(4000, dtype=np.uint64))
     assert abs(flat.mean() - sum(2 / (2 + k) if k else 1 for k in range(10))) < 0.1
 
 
 def test_seats_round_trip():
     rng = np.random.default_rng(5)
     customers = rng.choice([0, 1, 1, 1, 2, 7, 254, 255, 70000], 500).astype(np.uint32)
-    seats = np.where(customers > 1, rng.integers(4, 9000, 500), np.minimum(customers, 1) * language_model.DRAWS).astype(np.uint32)
+    seats = [np.where(customers > 1, rng.integers(1, 9000, 500), np.minimum(customers, 1)).astype(np.uint32) for _ in range(3)]
     owner = ((customers > 1) & (rng.random(500) < 0.5)).astype(np.uint8)
-    got = language_model.unpack_seats(language_model.pack_seats(customers, seats, owner), 500)
-    assert all((a == b).all() for a, b in zip(got, (customers, seats, owner)))
+    got = language_model.unpack_seats(language_model.pack_seats(customers, owner, *seats), 500, 3)
+    assert all((a == b).all() for a, b in zip(got, (customers, owner, *seats), strict=True))
+    raw = bytes(rng.integers(0, 5, 3000, np.uint8))
+    assert bytes(language_model.expand(language_model.squeeze(raw))) == raw and language_model.squeeze(b"") == b""
 
 
 ITEM = "A train leaves Paris at 9 and travels 120 km to Lyon while another train leaves Lyon at 11 and travels 80 km toward Paris before they meet"
