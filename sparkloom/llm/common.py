@@ -217,3 +217,32 @@ def block_of(id_col: str, n_bytes: int) -> F.Column:
 def blocks(docs: DataFrame, id_col: str, text_col: str, n_bytes: int) -> DataFrame:
     """(blk, id, text) for every row; about BLOCK_BYTES of text share a blk."""
     return docs.select(block_of(id_col, n_bytes).alias("blk"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def squeeze(raw: bytes) -> bytes:
+    """raw, compressed; empty for nothing."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "lz4_raw", asbytes=True) if raw else b""
+
+
+def expand(raw) -> bytes:
+    raw = memoryview(raw)
+    return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "lz4_raw", asbytes=True) if len(raw) else b""
+
+
+def dealt_texts(docs: DataFrame, id_col: str, text_col: str, n_bytes: int) -> DataFrame:
+    """blocks(), in partitions of whole blocks and with texts squeezed: once this is written, steps that group by blk read it
+    where it lies, without another shuffle of the texts."""
+
+    def run(batches):
+        for batch in batches:
+            text = [squeeze(t.as_buffer().to_pybytes()) if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())], ["blk", "id", "text"])
+
+    rows = blocks(docs, id_col, text_col, n_bytes)
+    rows = rows.mapInArrow(run, f"blk int, id {docs.schema[id_col].dataType.simpleString()}, text binary")
+    return rows.repartition(max(8, -(-block_count(n_bytes) // 2)), "blk")
+
+
+def unpacked(text: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The texts of dealt_texts()."""
+    return pa.array([expand(t.as_buffer()) for t in text], pa.binary())

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import Rolling, bits_for, block_of, blocks, checkpointed, keep_memory, let_go, text_bytes, text_size
+from .common import Rolling, bits_for, block_of, checkpointed, dealt_texts, keep_memory, let_go, text_bytes, text_size, unpacked
 from .exact_dedup import exact_dedup
 
 DEPTH, COVER_ORDER, PIECE, LEAST_BYTES = 400, 2, 1_000_000, 32
@@ -55,20 +55,41 @@ def cover_for(depth: int, order: int = COVER_ORDER) -> tuple[int, np.ndarray]:
     return (v, d) if 2 * v <= depth else (1, np.zeros(1, np.int64))
 
 
-def dense(keys: np.ndarray) -> np.ndarray:
+def in_order(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys (from 0 to most) in sorted order, and whether each differs from the one before it. A place is sorted
+    along in the low bits of its key where both have room: faster than to sort places by key."""
+    n = len(keys)
+    low = max(1, int(n).bit_length())
+    if most.bit_length() + low <= 63:
+        packed = np.sort(keys.astype(np.int64) << low | np.arange(n))
+        order, keys = packed & ((1 << low) - 1), packed >> low
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    new = np.zeros(n, bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return order, new
+
+
+def dense(keys: np.ndarray, most: int = 1 << 64) -> np.ndarray:
     """Ranks of keys, from 0, equal for equal keys."""
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.zeros(len(keys), np.int64)
-    new[1:] = ordered[1:] != ordered[:-1]
+    order, new = in_order(keys, most)
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(new)
     return out
 
 
+def pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, int]:
+    """One number for each pair of ranks, in the pairs' order, and a bound of it."""
+    if not len(high):
+        return high, 0
+    bits = int(low.max()).bit_length()
+    return high << bits | low, (int(high.max()) + 1 << bits) - 1
+
+
 def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Ranks of pairs of ranks."""
-    return dense(high.astype(np.int64) << 32 | low.astype(np.int64))
+    return dense(*pairs(high, low))
 
 
 #: The cover's period inside a bucket, its residues, and the number of each.
@@ -140,28 +161,29 @@ class SuffixBucket:
             return tied
         place = self.place[use]
         if depth < 3 * PERIOD:
-            tied[use] = self.again(self.prefix_ranks(depth)[place])
+            tied[use] = self.again(self.prefix_ranks(depth)[place], len(self.data))
             return tied
         # The first bytes and the last 2 * PERIOD; samples between them reach from below PERIOD to beyond depth - 2 * PERIOD.
         first = self.first_ranks()
         ends = joined(joined(first[place], first[place + depth - 2 * PERIOD]), first[place + depth - PERIOD])
-        open_ = np.flatnonzero(self.again(ends))
+        open_ = np.flatnonzero(self.again(ends, len(ends)))
         use, place, ends = use[open_], place[open_], ends[open_]
         ranks = self.sample_ranks((depth - PERIOD + 1) // PERIOD * PERIOD)
         for shift in range(PERIOD):
             whole, residue = np.divmod(place + shift, PERIOD)
             at = np.flatnonzero(_NTH[residue] >= 0)
-            tied[use[at]] |= self.again(ends[at] << 32 | ranks[whole[at] * len(RESIDUES) + _NTH[residue[at]]])
+            tied[use[at]] |= self.again(*pairs(ends[at], ranks[whole[at] * len(RESIDUES) + _NTH[residue[at]]]))
         return tied
 
     @staticmethod
-    def again(keys: np.ndarray) -> np.ndarray:
+    def again(keys: np.ndarray, most: int) -> np.ndarray:
         """Whether a key has an equal neighbour in sorted order."""
-        order = np.argsort(keys)
-        same = keys[order][1:] == keys[order][:-1]
+        order, new = in_order(keys, most)
         out = np.zeros(len(keys), bool)
-        out[order[1:][same]] = True
-        out[order[:-1][same]] = True
+        if len(keys) > 1:
+            same = ~new[1:]
+            out[order[1:][same]] = True
+            out[order[:-1][same]] = True
         return out
 
 
@@ -276,7 +298,9 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     v, cover_set = cover_for(near, order)
     _, n_bytes = text_size(docs, text_col)
     bits = bits_for(n_bytes * len(cover_set) / v)
-    dealt = blocks(docs, id_col, text_col, n_bytes)
+    # Written in the partitions that all steps use: no step shuffles a text again.
+    dealt = checkpointed(dealt_texts(docs, id_col, text_col, n_bytes))
+    let_go(docs.sparkSession)
     copies = exact_dedup(docs, id_col, text_col).where("group_size > 1")
     side = "blk int, stage int, bucket int, code binary, id {}, digest string, stands boolean, places binary, suffixes int, size int, deep binary, near binary, all boolean".format(id_sql)
     none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in side.split(", ")}
@@ -289,7 +313,7 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     def local(table: pa.Table, more: pa.Table):
         """The block's texts in an order that every task finds again; of each, whether it has copies; and those that take part."""
         keep_memory()
-        data, offsets = text_bytes(table.column("text"))
+        data, offsets = text_bytes(unpacked(table.column("text")))
         raw = data.tobytes()
         ids = table.column("id").to_pylist()
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k], raw[offsets[k] : offsets[k + 1]]))
@@ -383,6 +407,9 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     let_go(docs.sparkSession)
     # Equal stretches are one row: a hot passage is a row a task before the shuffle.
     distinct = checkpointed(sent.groupBy("digest").agg(F.first("text").alias("text"), F.first("least").alias("least"), F.first("suffixes").alias("suffixes"), F.sum("times").cast("int").alias("times")))
+    # Later steps need no stretch's text but these.
+    sent = checkpointed(sent.select("blk", "digest", "places", "suffixes", F.octet_length("text").alias("size")))
+    let_go(docs.sparkSession)
     by_least = distinct.groupBy("least").agg(F.sum(F.octet_length("text")).alias("size"))
     hot = F.col("size") > HOT_BYTES
     total = by_least.agg(F.sum(F.when(~hot, F.col("size"))), F.sum(F.when(hot, F.col("size")))).first()
@@ -391,12 +418,11 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     calm = distinct.join(hot, "least", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("least"), F.lit(n_buckets)))
     ties = calm.groupBy("bucket").applyInArrow(sort_bucket, "digest binary, deep binary, near binary")
     ties = ties.unionByName(_ties_of_hot(distinct.join(hot, "least", "left_semi"), depth, near, hot_parts))
-    # Later steps need no text but the documents'.
     repeated = distinct.where("times > 1").select("digest", F.lit(None).cast("binary").alias("deep"), F.lit(None).cast("binary").alias("near"), F.lit(True).alias("all"))
     ties = checkpointed(ties.withColumn("all", F.lit(False)).unionByName(repeated))
     del distinct, by_least, hot, calm, repeated
     let_go(docs.sparkSession)
-    found = sent.select("blk", "digest", "places", "suffixes", F.octet_length("text").alias("size")).join(ties, "digest").drop("digest")
+    found = sent.join(ties, "digest").drop("digest")
     more = info.unionByName(as_side(found, 2, "blk", "places", "suffixes", "size", "deep", "near", "all"))
     extra = ", n_repeated long" * (report is not None) + ", kept binary" * keep
     return grouped.cogroup(more.groupBy("blk")).applyInArrow(finish, f"doc_id {id_sql}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
