@@ -230,17 +230,25 @@ def expand(raw) -> bytes:
 
 
 def dealt_texts(docs: DataFrame, id_col: str, text_col: str, n_bytes: int) -> DataFrame:
-    """blocks(), in partitions of whole blocks and with texts squeezed: once this is written, steps that group by blk read it
-    where it lies, without another shuffle of the texts."""
+    """blocks(), written once in partitions of whole blocks, with texts squeezed: steps that group by blk read them where they
+    lie, without another shuffle. Only a plan that isn't adaptive says how what it wrote is partitioned."""
 
     def run(batches):
         for batch in batches:
             text = [squeeze(t.as_buffer().to_pybytes()) if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())], ["blk", "id", "text"])
 
-    rows = blocks(docs, id_col, text_col, n_bytes)
-    rows = rows.mapInArrow(run, f"blk int, id {docs.schema[id_col].dataType.simpleString()}, text binary")
-    return rows.repartition(max(8, -(-block_count(n_bytes) // 2)), "blk")
+    conf = docs.sparkSession.conf
+    rows = blocks(docs, id_col, text_col, n_bytes).mapInArrow(run, f"blk int, id {docs.schema[id_col].dataType.simpleString()}, text binary")
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # Fewer partitions than a shuffle has would be dealt out again.
+        dealt = checkpointed(rows.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), -(-block_count(n_bytes) // 2)), "blk"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+    let_go(docs.sparkSession)
+    return dealt
 
 
 def unpacked(text: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -299,8 +299,7 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     _, n_bytes = text_size(docs, text_col)
     bits = bits_for(n_bytes * len(cover_set) / v)
     # Written in the partitions that all steps use: no step shuffles a text again.
-    dealt = checkpointed(dealt_texts(docs, id_col, text_col, n_bytes))
-    let_go(docs.sparkSession)
+    dealt = dealt_texts(docs, id_col, text_col, n_bytes)
     copies = exact_dedup(docs, id_col, text_col).where("group_size > 1")
     side = "blk int, stage int, bucket int, code binary, id {}, digest string, stands boolean, places binary, suffixes int, size int, deep binary, near binary, all boolean".format(id_sql)
     none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in side.split(", ")}
