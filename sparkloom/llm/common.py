@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def let_go(spark: SparkSession) -> None:
+def let_go(spark: SparkSession, most: float = 3.0) -> None:
     """Shuffle files and checkpoints of steps that nothing refers to any more are removed now, not when the driver happens to
-    collect its garbage."""
+    collect its garbage. Python tells the JVM of objects it has dropped in the background; this waits for it, not for ever."""
     gc.collect()
+    told, end = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None), time.time() + most
+    while told and time.time() < end:
+        time.sleep(0.05)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -229,26 +233,33 @@ def expand(raw) -> bytes:
     return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "lz4_raw", asbytes=True) if len(raw) else b""
 
 
+def written_by_block(rows: DataFrame, n_bytes: int, make=None, schema: str | None = None) -> DataFrame:
+    """rows (with a column blk) written once in partitions of whole blocks; make, if given, is applied to each block before. Steps
+    that group by blk read them where they lie, without another shuffle. Only a plan that isn't adaptive says how what it wrote
+    is partitioned."""
+    conf = rows.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # Fewer partitions than a shuffle has would be dealt out again.
+        rows = rows.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), -(-block_count(n_bytes) // 2)), "blk")
+        written = checkpointed(rows.groupBy("blk").applyInArrow(make, schema) if make else rows)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+    let_go(written.sparkSession)
+    return written
+
+
 def dealt_texts(docs: DataFrame, id_col: str, text_col: str, n_bytes: int) -> DataFrame:
-    """blocks(), written once in partitions of whole blocks, with texts squeezed: steps that group by blk read them where they
-    lie, without another shuffle. Only a plan that isn't adaptive says how what it wrote is partitioned."""
+    """blocks(), with texts squeezed, written by block."""
 
     def run(batches):
         for batch in batches:
             text = [squeeze(t.as_buffer().to_pybytes()) if t.is_valid else b"" for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.binary())], ["blk", "id", "text"])
 
-    conf = docs.sparkSession.conf
     rows = blocks(docs, id_col, text_col, n_bytes).mapInArrow(run, f"blk int, id {docs.schema[id_col].dataType.simpleString()}, text binary")
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        # Fewer partitions than a shuffle has would be dealt out again.
-        dealt = checkpointed(rows.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), -(-block_count(n_bytes) // 2)), "blk"))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
-    let_go(docs.sparkSession)
-    return dealt
+    return written_by_block(rows, n_bytes)
 
 
 def unpacked(text: pa.Array | pa.ChunkedArray) -> pa.Array:
