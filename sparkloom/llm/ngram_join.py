@@ -4,10 +4,10 @@
    nothing to a product. A row needs an overlap of at least THRESHOLD of its own size, so a row whose shared columns are
    fewer is dropped: it links with nothing. Rows with equal sets become one row.
 2. Blocks: of a row in order of rarity only the first n - ceil(t n) + 1 columns (the prefix) can be the first that a
-   linked pair shares. Rows that share a prefix column and have sizes within t of each other are chained; the components
-   of these chains are the diagonal blocks: no link leaves one. A block of more than BLOCK_ROWS rows is cut by size into
-   a grid; pairs of grid blocks whose sizes rule out a link are discarded.
-3. Product: each block pair accumulates overlap counts over slices of its columns, and pairs below
+   linked pair shares. Rows that share a prefix column and are of one class of sizes, or the next, are tied; the components
+   of these ties are the diagonal blocks: no link leaves one. A component of more than BLOCK_ROWS rows is cut by size and first
+   column into a grid; pairs of its blocks that share no prefix column, or whose sizes rule out a link, are discarded.
+3. Product: each pair of blocks accumulates overlap counts of sparse columns, and pairs below
    t / (1 + t) * (sizes) are discarded: exactly intersection / union < t. A task returns a row for each document with its
    root and its number of links, never the pairs.
 4. The roots' components are the result.
@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import U64, bits_for, blocks, checkpointed, keep_memory, mix, text_bytes, text_size, words_of_rows
+from .common import U64, bits_for, blocks, checkpointed, keep_memory, let_go, mix, text_bytes, text_size, words_of_rows
 from .components import connected
 
-WORDS, PERCENT, BLOCK_ROWS, SLICE = 4, 85, 1024, 4096
+WORDS, PERCENT, BLOCK_ROWS, SLICE, FEW = 4, 85, 1024, 2048, 12
+#: Most entries of a task's table of columns while rows are chained; it is emptied when full.
+HEADS = 200_000
 
 
 def shingles(text: pa.Array | pa.ChunkedArray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,29 +75,46 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def product(row: np.ndarray, col: np.ndarray, count: int, a: slice, b: slice) -> np.ndarray:
+    """Overlap counts of rows a with rows b: the sparse product of the incidence matrix given by its entries (row, col) with its
+    transpose. Columns that hold the same rows count as one with a weight; those of few rows add pair by pair, the others slice
+    by slice."""
+    order = np.lexsort((row, col))
+    row, col = row[order], col[order]
+    start = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]])) if len(col) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(col)))
+    with np.errstate(over="ignore"):
+        key = np.add.reduceat(mix(row.astype(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+        key = mix(key) + mix(np.add.reduceat(mix(row.astype(np.uint64) + U64(1 << 40)), start) if len(start) else key)
+    _, first, weight = np.unique(key, return_index=True, return_counts=True)
+    start, size = start[first], size[first]
+    height, width = len(range(count)[a]), len(range(count)[b])
+    overlap = np.zeros(height * width)
+    few = size <= FEW
+    for k in np.unique(size[few]).tolist():
+        at = np.flatnonzero(size == k)
+        for part in np.array_split(at, -(-len(at) * k * k // 1_000_000)):
+            members = row[start[part][:, None] + np.arange(k)]
+            i, j, w = np.repeat(members, k, 1).ravel(), np.tile(members, k).ravel(), np.repeat(weight[part], k * k)
+            inside = (i >= a.start) & (i < a.stop) & (j >= b.start) & (j < b.stop)
+            overlap += np.bincount((i[inside] - a.start) * width + j[inside] - b.start, w[inside], height * width)
+    overlap = overlap.reshape(height, width)
+    many = np.flatnonzero(~few)
+    for part in np.array_split(many, -(-len(many) // SLICE)) if len(many) else ():
+        x = np.zeros((count, len(part)), np.float32)
+        total = size[part].sum()
+        at = np.repeat(start[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(total)
+        x[row[at], np.repeat(np.arange(len(part)), size[part])] = 1
+        overlap += (x[a] * weight[part].astype(np.float32)) @ x[b].T
+    return np.rint(overlap).astype(np.int64)
+
+
 def links(ids: list, sizes: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, left: int, percent: int) -> tuple[list, list, np.ndarray]:
     """Of rows [0:left] with rows [left:], or of all with all if left is 0: (rows that link, their roots, links with copies)."""
     count = len(ids)
     flat, row = np.concatenate(sets), np.repeat(np.arange(count), [len(s) for s in sets])
-    _, col = np.unique(flat, return_inverse=True)
-    if left:
-        both = np.bincount(col[row < left], minlength=col.max() + 1) * np.bincount(col[row >= left], minlength=col.max() + 1)
-    else:
-        both = np.bincount(col) - 1
-    place = np.cumsum(both > 0) - 1
-    use = both[col] > 0
-    row, col = row[use], place[col[use]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    width = int(place[-1]) + 1 if len(place) else 0
     a, b = (slice(0, left), slice(left, count)) if left else (slice(0, count), slice(0, count))
-    overlap = np.zeros((len(range(count)[a]), len(range(count)[b])), np.float32)
-    for start in range(0, width, SLICE):
-        part = slice(*np.searchsorted(col, [start, start + SLICE]))
-        x = np.zeros((count, min(SLICE, width - start)), np.float32)
-        x[row[part], col[part] - start] = 1
-        overlap += x[a] @ x[b].T
-    overlap = overlap.astype(np.int64)
+    overlap = product(row, flat, count, a, b)
     linked = 100 * overlap >= percent * (sizes[a][:, None] + sizes[b][None, :] - overlap)
     if not left:
         np.fill_diagonal(linked, False)
@@ -159,6 +178,8 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     replies = packed.count(dealt.groupBy("blk").applyInArrow(send, packed.MESSAGE))
     rows = checkpointed(dealt.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(receive, f"id {id_sql}, n long, digest binary, shared binary"))
 
+    del replies
+    let_go(docs.sparkSession)
     alive = rows.where("digest is not null")
     classes = alive.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     member = checkpointed(alive.select("id", "digest").join(classes, "digest").select("id", "rep", "copies", "digest").distinct())
@@ -166,31 +187,78 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     reps = alive.join(own, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("id", "n", "shared", "copies", "digest").dropDuplicates(["id", "digest"])
     reps = checkpointed(reps)
 
-    def postings(batches):
+    ratio = np.log(100 / percent) * (1 + 1e-9)  # a class is a little wider than sizes that link can differ
+
+    def prefixes(batches):
         for batch in batches:
-            out, ids, ns = [], [], []
             for id_, size, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                g = np.frombuffer(s.as_buffer(), np.uint64)
-                g = g[: max(0, prefix(size, percent) - (size - len(g)))]
-                out.append(g)
-                ids += [id_] * len(g)
-                ns += [size] * len(g)
-            gram = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(ns, pa.int64()), pa.array(ids, id_arrow)], ["gram", "n", "id"])
-
-    posted = reps.select("id", "n", "shared").mapInArrow(postings, f"gram long, n long, id {id_sql}")
-    by_size = Window.partitionBy("gram").orderBy("n", "id")
-    chained = posted.select("id", "n", F.lag("id").over(by_size).alias("before"), F.lag("n").over(by_size).alias("m")).where(F.expr(f"before is not null and before <> id and 100 * m >= {percent} * n"))
-    found = connected(chained.select(F.col("before").alias("a"), F.col("id").alias("b")))
+                g = np.frombuffer(s.as_buffer(), np.int64)
+                yield id_, size, g[: max(0, prefix(size, percent) - (size - len(g)))]
+
+    def chained(batches):
+        """Edges between rows of this task that share a prefix column and a class of sizes, and one row for each such pair."""
+        heads: dict = {}
+
+        def out(edges):
+            keys = list(heads)
+            rows = [(None, None, a, b) for a, b in edges] + [(g, c, heads[g, c], None) for g, c in keys]
+            heads.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], id_arrow), pa.array([r[3] for r in rows], id_arrow)], ["gram", "cls", "a", "b"])
+
+        edges = set()
+        for id_, size, grams in prefixes(batches):
+            cls = int(np.log(size) / ratio) if percent < 100 else size
+            for g in grams.tolist():
+                first = heads.setdefault((g, cls), id_)
+                if first != id_:
+                    edges.add((first, id_))
+            if len(heads) + len(edges) > HEADS:
+                yield out(edges)
+                edges = set()
+        yield out(edges)
+
+    # Sizes of rows that link differ by no more than a class: rows of one class, and those of the next, are tied. A task sends a
+    # column once, however many of its rows have it, so a column that very many rows share is a row a task.
+    posted = checkpointed(reps.select("id", "n", "shared").mapInArrow(chained, f"gram long, cls int, a {id_sql}, b {id_sql}"))
+    heads = posted.where("gram is not null")
+    least = checkpointed(heads.groupBy("gram", "cls").agg(F.min("a").alias("m")))
+    to_least = heads.select("gram", "cls", "a").join(least, ["gram", "cls"]).select("a", F.col("m").alias("b"))
+    next_ = least.select("gram", (F.col("cls") + 1).alias("cls"), F.col("m").alias("a")).join(least, ["gram", "cls"]).select("a", F.col("m").alias("b"))
+    found = connected(posted.where("gram is null").select("a", "b").unionByName(to_least).unionByName(next_))
     found = found.select(F.col("node").alias("_id"), F.col("component").alias("comp"))
 
-    # Rows of a component in order of size; a grid of blocks where there are more than block_rows.
-    light = reps.select("id", "n", "digest").join(found, F.col("id") == F.col("_id")).select("id", "n", "digest", "comp")
-    nth = F.row_number().over(Window.partitionBy("comp").orderBy("n", "id", "digest")) - 1
-    placed = checkpointed(light.withColumn("b", F.floor(nth / block_rows).cast("int")))
+    # Rows of a component in order of size and first column; a grid of blocks where there are more than block_rows. The order
+    # comes from counts by (component, size, 3 hex digits of the column), so no task numbers the rows of a component.
+    light = reps.select("id", "n", "digest", F.substring(F.hex(F.substring("shared", 1, 2)), 1, 3).alias("g")).join(found, F.col("id") == F.col("_id")).select("id", "n", "g", "digest", "comp")
+    light = checkpointed(light)
+    counts = light.groupBy("comp", "n", "g").agg(F.count(F.lit(1)).alias("k"))
+    by_size = counts.groupBy("comp", "n").agg(F.sum("k").alias("k"))
+    sum_before = lambda *order: F.sum("k").over(Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1))
+    by_size = by_size.select("comp", "n", F.coalesce(sum_before("comp", "n"), F.lit(0)).alias("start"), F.sum("k").over(Window.partitionBy("comp")).alias("whole"))
+    large = by_size.where(F.col("whole") > block_rows).drop("whole")
+    inner = counts.join(large, ["comp", "n"]).select("comp", "n", "g", "k", (F.col("start") + F.coalesce(sum_before("comp", "n", "g"), F.lit(0))).alias("start"))
+    inner = checkpointed(inner.withColumnsRenamed({"comp": "_comp", "n": "_n", "g": "_g"}))
+    nth = F.col("start") + F.pmod(F.xxhash64("id", "digest"), F.col("k"))
+    placed = light.join(inner, (F.col("comp") == F.col("_comp")) & (F.col("n") == F.col("_n")) & (F.col("g") == F.col("_g")), "left")
+    placed = checkpointed(placed.select("id", "n", "digest", "comp", F.coalesce(F.floor(nth / block_rows), F.lit(0)).cast("int").alias("b"), F.col("k").isNotNull().alias("gridded")))
     spans = placed.groupBy("comp", "b").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"))
-    other = spans.select(F.col("comp").alias("comp2"), F.col("b").alias("b2"), F.col("low").alias("low2"), F.col("size").alias("size2"))
-    pairs = spans.join(other, (F.col("comp") == F.col("comp2")) & (F.col("b") <= F.col("b2"))).where(F.expr(f"100 * high >= {percent} * low2 and (b <> b2 or size > 1)"))
+    other = spans.select(F.col("comp").alias("_comp"), F.col("b").alias("_b"), F.col("low").alias("low2"))
+    # Cells of a grid: blocks that share a prefix column, and whose sizes allow a link.
+    columns = placed.where("gridded").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "comp", "b").join(reps.select("id", "digest", "n", "shared"), (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")))
+
+    def columns_of(batches):
+        for batch in batches:
+            seen = set()
+            for (_, _, grams), comp, block in zip(prefixes([batch]), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                seen.update((comp, block, g) for g in grams.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], id_arrow), pa.array([x[1] for x in seen], pa.int32()), pa.array([x[2] for x in seen], pa.int64())], ["comp", "b", "gram"])
+
+    held = columns.select("id", "n", "shared", "comp", "b").mapInArrow(columns_of, f"comp {id_sql}, b int, gram long").distinct()
+    held = checkpointed(held)
+    meet = held.join(held.withColumnRenamed("b", "b2"), ["comp", "gram"]).where("b < b2").select("comp", "b", "b2").distinct()
+    meet = meet.unionByName(spans.where("size > 1").select("comp", "b", F.col("b").alias("b2")))
+    pairs = meet.join(spans.select("comp", "b", "high"), ["comp", "b"]).join(other, (F.col("comp") == F.col("_comp")) & (F.col("b2") == F.col("_b"))).select("comp", "b", "b2", "high", "low2")
+    pairs = pairs.where(F.expr(f"b = b2 or 100 * high >= {percent} * low2"))
     sides = pairs.select("comp", "b", "b2", F.explode(F.array_distinct(F.array("b", "b2"))).alias("side"))
     sides = sides.select(F.col("comp").alias("_comp"), F.col("b").alias("i"), F.col("b2").alias("j"), "side")
     cells = placed.join(sides, (F.col("comp") == F.col("_comp")) & (F.col("b") == F.col("side"))).select("id", "digest", "comp", "i", "j", "side")
@@ -201,7 +269,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
 
     out_schema = pa.schema([("a", id_arrow), ("b", id_arrow), ("links", pa.int64())])
 
-    def product(table: pa.Table) -> pa.Table:
+    def multiply(table: pa.Table) -> pa.Table:
         keep_memory()
         cells: dict = {}
         for k, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("comp", "i", "j", "side")))):
@@ -218,7 +286,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
             deg += x[2].tolist()
         return pa.table([pa.array(a, id_arrow), pa.array(b, id_arrow), pa.array(deg, pa.int64())], schema=out_schema)
 
-    linked = checkpointed(filled.groupBy("bin").applyInArrow(product, f"a {id_sql}, b {id_sql}, links long"))
+    linked = checkpointed(filled.groupBy("bin").applyInArrow(multiply, f"a {id_sql}, b {id_sql}, links long"))
     comps = connected(linked.select("a", "b"))
     degree = linked.groupBy("a").agg(F.sum("links").alias("others"))
     # Rows that share an id join the classes of all their texts.
@@ -234,7 +302,6 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
 
 
 
-
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those that a chain of links ties to a smaller id. Rows with a null id stay."""
     found = ngram_join(docs, n, percent, id_col, text_col)
