@@ -225,12 +225,12 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, n_bytes: int) -> DataFra
 
 def squeeze(raw: bytes) -> bytes:
     """raw, compressed; empty for nothing."""
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, "lz4_raw", asbytes=True) if raw else b""
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if raw else b""
 
 
 def expand(raw) -> bytes:
     raw = memoryview(raw)
-    return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "lz4_raw", asbytes=True) if len(raw) else b""
+    return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True) if len(raw) else b""
 
 
 def written_by_block(rows: DataFrame, n_bytes: int, make=None, schema: str | None = None) -> DataFrame:
