@@ -242,8 +242,9 @@ def written_by_block(rows: DataFrame, n_bytes: int, make=None, schema: str | Non
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
         # Fewer partitions than a shuffle has would be dealt out again.
-        rows = rows.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), -(-block_count(n_bytes) // 2)), "blk")
-        written = checkpointed(rows.groupBy("blk").applyInArrow(make, schema) if make else rows)
+        # What a function makes of a block has no known partitioning either, so its rows are dealt out once more.
+        n = max(int(conf.get("spark.sql.shuffle.partitions")), -(-block_count(n_bytes) // 2))
+        written = checkpointed((rows.groupBy("blk").applyInArrow(make, schema) if make else rows).repartition(n, "blk"))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
     let_go(written.sparkSession)
