@@ -36,3 +36,9 @@ def rebalance(df: DataFrame, *keys: str) -> DataFrame:
 def salted(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """Adds `salt` in [0, n), from a hash of the whole row, to split hot keys before a two-step aggregate."""
     return df.withColumn("salt", F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int"))
+
+
+def hash_sample(df: DataFrame, fraction: float, *keys: str) -> DataFrame:
+    """Rows whose keys' MD5 falls into the fraction (in steps of 1/65536): the same rows on any engine and partitioning."""
+    name = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    return df.where(F.substring(F.md5(name), 1, 4) < F.lit(f"{min(65536, round(fraction * 65536)):04x}") if fraction < 1 else F.lit(True))

@@ -12,9 +12,24 @@ BUILD_SIDES = {"inner": ("right", "left"), "cross": ("right", "left"), "left": (
 HINTS = {"hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast", "nested": "shuffle_replicate_nl"}
 
 
+KINDS = {"leftouter": "left", "rightouter": "right", "outer": "full", "fullouter": "full", "left_semi": "semi", "left_anti": "anti", "leftsemi": "semi", "leftanti": "anti"}
+
+
+def kind_of(how: str) -> str:
+    plain = how.replace("_outer", "outer")
+    return KINDS.get(plain, plain)
+
+
 def join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner", strategy: str | None = None) -> DataFrame:
-    """A join with an optional strategy for the right side: hash, merge, broadcast or nested."""
-    return left.join(right.hint(HINTS[strategy]) if strategy else right, on, how)
+    """A join with an optional strategy (hash, merge, broadcast or nested) for the side that the join type lets be built."""
+    if strategy is None:
+        return left.join(right, on, how)
+    kind = kind_of(how)
+    if strategy == "broadcast" and kind == "full":
+        raise ValueError("no side of a full join can be broadcast")
+    if BUILD_SIDES[kind][0] == "left":
+        return left.hint(HINTS[strategy]).join(right, on, how)
+    return left.join(right.hint(HINTS[strategy]), on, how)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -33,20 +48,38 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) ->
     return kept.crossJoin(F.broadcast(flags)).where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(left_key).isNotNull())).drop("_n", "_nulls")
 
 
-def with_existence(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str = "exists") -> DataFrame:
-    """Every left row, and whether its key occurs on the right: never null."""
-    keys = right.select(F.col(right_key).alias("_k")).where("_k is not null").distinct()
-    return left.join(keys, left[left_key] == F.col("_k"), "left").withColumn(name, F.col("_k").isNotNull()).drop("_k")
+def with_existence(left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str = "exists", strategy: str | None = None, residual: Column | None = None) -> DataFrame:
+    """Every left row, and whether its key occurs on the right (in a row for which residual holds, if given): never null.
+    A residual names columns of both sides; left rows are told apart by all their columns."""
+    if residual is None:
+        keys = right.select(F.col(right_key).alias("_k")).where("_k is not null").distinct()
+        return join(left, keys, left[left_key] == F.col("_k"), "left", strategy).withColumn(name, F.col("_k").isNotNull()).drop("_k")
+    hits = join(left, right, (left[left_key] == right[right_key]) & residual, "semi", strategy).withColumn(name, F.lit(True))
+    misses = join(left, right, (left[left_key] == right[right_key]) & residual, "anti", strategy).withColumn(name, F.lit(False))
+    return hits.unionByName(misses)
+
+
+#: Buckets of a level that one interval covers at most; wider intervals go to a level of wider buckets.
+FAN_OUT, LEVELS = 64, 9
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, how: str = "inner") -> DataFrame:
-    """low <= point < high, by buckets of the given width: an equi-join on the bucket, then the exact condition."""
+    """low <= point < high, by buckets of the given width: an equi-join on the bucket, then the exact condition. An interval of
+    more than FAN_OUT buckets is dealt by buckets FAN_OUT times as wide, and so on, so none becomes more than FAN_OUT + 1 rows;
+    a point is looked up once on each level that occurs (at most LEVELS + 1; beyond that, by the widest buckets)."""
     if width <= 0:
         raise ValueError("width must be positive")
-    spans = right.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    points = left.withColumn("_at", F.floor(F.col(point) / width))
-    on = (F.col("_at") == F.col("_bucket")) & (F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))
-    return points.join(spans, on, how).drop("_bucket", "_at")
+    level = F.least(F.greatest(F.ceil(F.log(float(FAN_OUT), F.greatest((F.col(high) - F.col(low)) / width, F.lit(1.0)))) - 1, F.lit(0)), F.lit(LEVELS)).cast("int")
+    spans = right.withColumn("_level", F.coalesce(level, F.lit(0)))
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect()) or [0]  # at most LEVELS + 1 numbers
+    size = F.lit(float(width)) * F.pow(F.lit(float(FAN_OUT)), F.col("_level"))
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))))
+    if how != "inner" and len(levels) > 1:
+        raise ValueError("outer range joins need intervals of one level: choose a width near the widest interval's")
+    points = left.withColumn("_on", F.explode(F.array(*map(F.lit, levels)))) if len(levels) > 1 else left.withColumn("_on", F.lit(levels[0]))
+    points = points.withColumn("_at", F.floor(F.col(point) / (F.lit(float(width)) * F.pow(F.lit(float(FAN_OUT)), F.col("_on")))))
+    on = (F.col("_at") == F.col("_bucket")) & (F.col("_on") == F.col("_level")) & (F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))
+    return points.join(spans, on, how).drop("_bucket", "_at", "_on", "_level")
 
 
 def decide_join(order_visible: bool, order_required: bool, build_bytes: dict[str, int], tasks: int, how: str = "inner", mode: str = "auto", spill_bytes: int = 256 << 20, cap_factor: int = 32) -> tuple[str, str | None, str]:
@@ -78,7 +111,7 @@ def planned_join(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     """join() with the strategy of decide_join() on the optimizer's sizes."""
     spark = left.sparkSession
     size = lambda d: int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    kind = {"leftouter": "left", "rightouter": "right", "outer": "full", "left_semi": "semi", "left_anti": "anti"}.get(how, how)
+    kind = kind_of(how)
     choice, side, _ = decide_join(order_visible, False, {"left": size(left), "right": size(right)}, int(spark.conf.get("spark.sql.shuffle.partitions")), kind, config.get(spark, "join.mode"), config.get(spark, "join.spillBytes"), config.get(spark, "join.capFactor"))
     if choice == "merge":
         return left.join(right.hint("merge"), on, how)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from .joins import broadcast_if_small
 
 
 @dataclass
@@ -31,8 +32,9 @@ def merge(target: DataFrame, source: DataFrame, on: list[str], clauses: list[Cla
     t = target.select(F.struct(*columns).alias("t"), *(F.col(c).alias(f"_t_{c}") for c in on), F.lit(True).alias("_in_t"))
     s = source.select(F.struct(*source.columns).alias("s"), *(F.col(c).alias(f"_s_{c}") for c in on), F.lit(True).alias("_in_s"))
     if check:
-        twice = source.groupBy(*on).count().where("count > 1").select(*(F.col(c).alias(f"_s_{c}") for c in on), F.lit(True).alias("_twice"))
-        s = s.join(twice, [f"_s_{c}" for c in on], "left")
+        # By the keys of the join that follows: no exchange of its own. Two rows tell, so a hot key's rows needn't be counted.
+        keys = [f"_s_{c}" for c in on]
+        s = s.withColumn("_twice", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1)
         fault = F.raise_error(F.lit("MERGE_CARDINALITY_VIOLATION: a target row matches several source rows"))
         guard = F.when(F.col("_twice") & F.col("_in_t"), fault.cast("boolean")).otherwise(F.lit(True))
     else:
@@ -71,7 +73,7 @@ def merged(target: DataFrame, source: DataFrame, on: list[str], clauses: list[Cl
 
 def delete_positions(data: DataFrame, deletes: DataFrame, file_col: str = "file", pos_col: str = "pos") -> DataFrame:
     """Rows without those that a positional delete or a deletion vector names by (file, position)."""
-    d = deletes.select(F.col(file_col).alias("_f"), F.col(pos_col).alias("_p"))
+    d = broadcast_if_small(deletes.select(F.col(file_col).alias("_f"), F.col(pos_col).alias("_p")))
     return data.join(d, (data[file_col] == F.col("_f")) & (data[pos_col] == F.col("_p")), "left_anti")
 
 

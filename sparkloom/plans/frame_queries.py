@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, exchange, joins, merge
 from ..sources.tables import table
+from ..streaming import windows
 
 
 def rollup_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +30,33 @@ def strategy(how: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: A residual condition on top of the equality, in both engines.
+RESIDUAL = "c_acctbal * 20 < o_totalprice"
+JOINED = {"inner": "join", "left": "left join", "right": "right join", "full": "full join"}
+
+
+def typed(how: str, strategy_: str) -> Callable[[SparkSession, str], DataFrame]:
+    """orders with customers of a positive balance, by a join type under a strategy, with a residual condition."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_acctbal")
+        if how == "existence":
+            return joins.with_existence(o, c, "o_custkey", "c_custkey", "e", strategy_, F.expr(RESIDUAL)).select("o_orderkey", "e")
+        out = joins.join(o, c, (o["o_custkey"] == c["c_custkey"]) & F.expr(RESIDUAL), how, strategy_)
+        return out.select("o_orderkey") if how in ("semi", "anti") else out.select("o_orderkey", "c_custkey")
+
+    return run
+
+
+def typed_sql(how: str) -> str:
+    match = f"select 1 from customer where c_custkey = o_custkey and c_acctbal > 0 and {RESIDUAL}"
+    if how == "existence":
+        return f"select o_orderkey, exists ({match}) as e from orders"
+    if how in ("semi", "anti"):
+        return f"select o_orderkey from orders where {'not ' * (how == 'anti')}exists ({match})"
+    return f"select o_orderkey, c_custkey from orders {JOINED[how]} (select * from customer where c_acctbal > 0) c on o_custkey = c_custkey and {RESIDUAL}"
+
+
 def planned(spark: SparkSession, d: str) -> DataFrame:
     o, c = table(spark, d, "orders"), table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey")
     return joins.planned_join(o, c, "o_custkey").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
@@ -77,10 +105,50 @@ def expand_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, d: str) -> DataFrame:
+    """A cached relation that is read twice; the cache goes with the next clearCache() of the session."""
     df = table(spark, d, "supplier").select("s_nationkey", "s_suppkey").cache()
     return df.groupBy("s_nationkey").agg(F.max("s_suppkey").alias("m"))
 
 
+def computed_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Hash partitioning on a computed key: the rows of a key lie in one partition."""
+    key = F.col("o_custkey") % 97
+    dealt = exchange.hash_partition(table(spark, d, "orders").select("o_custkey"), 6, key).select(key.alias("k"), F.spark_partition_id().alias("p"))
+    return dealt.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p").alias("parts"))
+
+
+def hash_sampled(spark: SparkSession, d: str) -> DataFrame:
+    return exchange.hash_sample(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), 0.1, "l_orderkey", "l_linenumber")
+
+
+def window_whole(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice")
+    return aggregates.with_totals(part, ["p_brand"], hi=F.max("p_retailprice"), n=F.count(F.lit(1))).select("p_partkey", "hi", "n")
+
+
+def percentile(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    q = aggregates.percentiles(orders, ["o_orderstatus"], "o_totalprice", q1=0.25, m=0.5)
+    q = q.select("o_orderstatus", F.round("q1", 4).alias("q1"), F.round("m", 4).alias("m"))
+    return q.join(aggregates.modes(orders, ["o_orderstatus"], "o_orderpriority", "mo"), "o_orderstatus")
+
+
+def monotonic(spark: SparkSession, d: str) -> DataFrame:
+    """Ids rise within a partition and hold its number in the high bits."""
+    rows = table(spark, d, "orders").repartition(5, "o_custkey").select(F.monotonically_increasing_id().alias("i"), F.spark_partition_id().alias("p"))
+    spans = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.count_distinct("i").alias("d"))
+    return spans.agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.bool_and((F.shiftright("lo", 33) == F.col("p")) & (F.col("hi") - F.col("lo") == F.col("n") - 1)).alias("dense"))
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return windows.sessions(table(spark, d, "events"), "ts", "6 hours", ["user_id"], n=F.count(F.lit(1))).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def event_hops(spark: SparkSession, d: str) -> DataFrame:
+    out = windows.windowed(table(spark, d, "events"), "ts", "1 day", ["event_type"], slide="12 hours", n=F.count(F.lit(1)))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 def values(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("select * from values (1, 'a', 1.5D), (2, null, -0.5D), (null, 'c', 0D) as t(i, s, x)")
 
@@ -94,12 +162,6 @@ def coalesced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    target = table(spark, d, "customer").where("c_custkey <= 1000").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("k"))
-    source = table(spark, d, "customer").where("c_custkey > 800 and c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"), (F.col("c_nationkey") + 100).cast("long").alias("k"))
-    return target, source
-
-
-def _whole_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Target and source by what the rows hold; some customers are in both."""
     rows = table(spark, d, "customer")
     target = rows.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("k"))
@@ -107,8 +169,8 @@ def _whole_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return target, source
 
 
-def merge_rows(spark: SparkSession, d: str, changes: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]] = _changes) -> DataFrame:
-    target, source = changes(spark, d)
+def merge_rows(spark: SparkSession, d: str) -> DataFrame:
+    target, source = _changes(spark, d)
     s = {c: F.col(f"s.{c}") for c in target.columns}
     return merge.merged(target, source, ["c_custkey"], [
         merge.Clause("matched", "discard", F.col("s.k") < 105), merge.Clause("matched", "keep", F.col("s.k") < 112, {"c_name": s["c_name"]}), merge.Clause("matched", "split", None, s),
@@ -116,10 +178,6 @@ def merge_rows(spark: SparkSession, d: str, changes: Callable[[SparkSession, str
     ])
 
 
-def merge_whole(spark: SparkSession, d: str) -> DataFrame:
-    return merge_rows(spark, d, _whole_changes)
-
-
 def deletes(spark: SparkSession, d: str) -> DataFrame:
     """Positional, vector and equality deletes in turn."""
     data = table(spark, d, "orders").select((F.col("o_orderkey") % 4).alias("file"), F.floor(F.col("o_orderkey") / 4).alias("pos"), "o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("p"), F.lit(1).alias("seq"))
@@ -145,6 +203,18 @@ BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
                cast(sum(cast(o_totalprice as decimal(12,2))) as double) as total, max(o_orderkey) as hi, bit_xor(o_orderkey) as bits from orders group by rollup(nullif(o_orderstatus, 'P'), o_orderpriority)"""),
     "salted_sum": (salted_sum, "select l_returnflag, cast(sum(l_orderkey) as bigint) as sum, count(l_orderkey) as count from lineitem group by 1"),
     **{f"join_{k}": (strategy(k), "select c_mktsegment, count(*) as n from orders join customer on o_custkey = c_custkey group by 1") for k in ("broadcast", "hash", "merge")},
+    **{f"join_{how}_{k}": (typed(how, k), typed_sql(how)) for how in ("inner", "left", "right", "full", "semi", "anti", "existence") for k in ("broadcast", "hash", "merge") if (how, k) != ("full", "broadcast")},
+    "exchange_computed_keys": (computed_keys, "select o_custkey % 97 as k, count(*) as n, 1 as parts from orders group by 1"),
+    "sample_hash": (hash_sampled, "select l_orderkey, l_linenumber from lineitem where substr(md5(l_orderkey || '|' || l_linenumber), 1, 4) < '199a'"),
+    "window_whole": (window_whole, "select p_partkey, max(p_retailprice) over (partition by p_brand) as hi, count(*) over (partition by p_brand) as n from part"),
+    "agg_percentile": (percentile, "select o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(median(o_totalprice), 4) as m, (select p from (select o_orderpriority p, count(*) c from orders o2 where o2.o_orderstatus = orders.o_orderstatus group by 1) order by c desc, p desc limit 1) as mo from orders group by o_orderstatus"),
+    "monotonic_ids": (monotonic, "select count(*) as n, count(*) as d, true as dense from orders"),
+    "event_sessions": (event_sessions, """
+        select user_id, min(ts) as start, count(*) as n from (
+            select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from (
+                select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hours then 0 else 1 end as new from events) e) t
+        group by user_id, s"""),
+    "event_hops": (event_hops, "select event_type, to_timestamp(floor(epoch(ts) / 43200) * 43200 - i * 43200)::timestamp as start, count(*) as n from events, range(0, 2) r(i) group by 1, 2"),
     "join_planned": (planned, "select c_mktsegment, count(*) as n from orders join customer on o_custkey = c_custkey group by 1"),
     "join_null_aware_anti": (null_aware_anti, "select p_partkey from (select p_partkey, nullif(p_size, 10) as s from part) t where s not in (select cast(trunc(l_quantity % 50) as int) from lineitem where l_quantity > 45)"),
     "join_existence": (existence, "select c_custkey, exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 250000) as big_order from customer"),
@@ -159,12 +229,6 @@ BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "scan_range": (ranges, "select range as id, range * range as sq from range(3, 100, 7)"),
     "coalesce_partitions": (coalesced, "select c_mktsegment, count(*) as n from customer group by 1"),
     "merge_into": (merge_rows, """
-        with t as (select c_custkey, c_name, cast(c_nationkey as bigint) as k from customer where c_custkey <= 1000),
-             s as (select c_custkey, 'new ' || c_name as c_name, cast(c_nationkey + 100 as bigint) as k from customer where c_custkey > 800 and c_custkey % 3 = 0)
-        select t.c_custkey, case when s.k < 112 then s.c_name when s.k is null then t.c_name else s.c_name end as c_name, case when s.k is null or s.k < 112 then t.k else s.k end as k
-        from t left join s using (c_custkey) where not coalesce(s.k < 105, false) and not (s.k is null and t.k = 3)
-        union all select * from s where k > 102 and c_custkey not in (select c_custkey from t)"""),
-    "merge_into_whole": (merge_whole, """
         with t as (select c_custkey, c_name, cast(c_nationkey as bigint) as k from customer where c_mktsegment <> 'BUILDING'),
              s as (select c_custkey, 'new ' || c_name as c_name, cast(c_nationkey + 100 as bigint) as k from customer where c_acctbal > 0)
         select t.c_custkey, case when s.k < 112 then s.c_name when s.k is null then t.c_name else s.c_name end as c_name, case when s.k is null or s.k < 112 then t.k else s.k end as k

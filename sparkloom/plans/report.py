@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+import time
+from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ class Node:
     name: str
     text: str
     children: list[Node] = field(default_factory=list)
+    metrics: dict[str, int] = field(default_factory=dict)
 
     def walk(self):
         yield self
@@ -33,7 +36,15 @@ def _node(plan) -> Node:
         children = [plan.executedPlan()]
     elif name in ("ShuffleQueryStage", "BroadcastQueryStage", "TableCacheQueryStage", "ResultQueryStage"):
         children = [plan.plan()]
-    return Node(re.sub(r" \(\d+\)$", "", name).strip(), plan.simpleString(200), [_node(c) for c in children])
+    return Node(re.sub(r" \(\d+\)$", "", name).strip(), plan.simpleString(200), [_node(c) for c in children], _metrics(plan))
+
+
+def _metrics(plan) -> dict[str, int]:
+    found, each = {}, plan.metrics().iterator()
+    while each.hasNext():
+        pair = each.next()
+        found[pair._1()] = pair._2().value()
+    return found
 
 
 def tree(df: DataFrame) -> Node:
@@ -41,6 +52,34 @@ def tree(df: DataFrame) -> Node:
     return _node(df._jdf.queryExecution().executedPlan())
 
 
+def metrics(df: DataFrame) -> list[tuple[str, dict[str, int]]]:
+    """(operator, its metrics) in the order of tree(): rows, time, bytes, spills; after an action on df itself."""
+    return [(n.name, {k: v for k, v in n.metrics.items() if v > 0}) for n in tree(df).walk() if any(v > 0 for v in n.metrics.values())]
+
+
+class History:
+    """The last executions that ran through it: what they were made of, and what they took."""
+
+    def __init__(self, most: int = 100):
+        self.entries: deque[dict] = deque(maxlen=most)
+
+    def run(self, name: str, df: DataFrame, action=None):
+        """action(df) (collect(), if not given), recorded; a failure is recorded, too, and raised."""
+        start, entry = time.perf_counter(), {"name": name, "error": None}
+        try:
+            return (action or DataFrame.collect)(df)
+        except Exception as e:
+            entry["error"] = f"{type(e).__name__}: {e}"[:300]
+            raise
+        finally:
+            entry |= {"seconds": time.perf_counter() - start, "operators": dict(operators(df)), **summary(df)}
+            entry |= {k: sum(m.get(k, 0) for _, m in metrics(df)) for k in ("spillSize", "shuffleBytesWritten", "dataSize")}
+            self.entries.append(entry)
+
+    def slowest(self, n: int = 10) -> list[dict]:
+        return sorted(self.entries, key=lambda e: -e["seconds"])[:n]
+
+
 def operators(df: DataFrame) -> Counter:
     return Counter(re.split(r" |\(", n.name)[0] for n in tree(df).walk() if not n.name.startswith(PLUMBING))
 

@@ -47,11 +47,11 @@ def test_whole_tables(spark):
     """Rows of whole tables, the order that row sets don't show, and a month-end."""
     run = lambda name: catalog.queries()[name](spark, SF)
     size = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("orders", "customer")}
-    assert run("sort_by_whole").count() == run("fn_months_whole").count() == size["orders"]
-    assert run("agg_first_last_whole").count() == spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
-    got = [r["k"] for r in run("sort_nulls_whole").collect()]
+    assert run("sort_by").count() == run("fn_months").count() == size["orders"]
+    assert run("agg_first_last").count() == spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
+    got = [r["k"] for r in run("sort_nulls").collect()]
     assert len(got) == 5 and got == sorted(got[:4], reverse=True) + [None]
-    for part in run("sort_by_whole").rdd.glom().collect():
+    for part in run("sort_by").rdd.glom().collect():
         assert [r["o_totalprice"] for r in part] == sorted((r["o_totalprice"] for r in part), reverse=True)
     ends = spark.sql("select months_between(timestamp '1996-02-29 00:00:00', timestamp '1996-01-31 00:00:00') as m").first()["m"]
-    assert ends == 1 and any(float(r["mb"]).is_integer() for r in run("fn_months_whole").collect())
+    assert ends == 1 and any(float(r["mb"]).is_integer() for r in run("fn_months").collect())

@@ -235,3 +235,167 @@ def test_hash_functions(spark):
         signed = xxhash.xxh64_intdigest(b, 42)
         assert r["x"] == (signed - (1 << 64) if signed >> 63 else signed)
         assert r["c"] == zlib.crc32(b) and r["m"] == hashlib.md5(b).hexdigest() and r["h"] == hashlib.sha256(b).hexdigest()
+
+
+NODES = {"hash": "ShuffledHashJoin", "merge": "SortMergeJoin", "broadcast": "BroadcastHashJoin"}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "semi", "anti", "existence"])
+@pytest.mark.parametrize("strategy", list(NODES))
+def test_every_join_type_under_each_strategy(spark, how, strategy):
+    """Rows equal a nested loop's, null keys and a residual included, and the plan has the strategy's operator."""
+    left = spark.createDataFrame([(1, 10), (1, 20), (2, 5), (None, 7), (4, 1)], "k int, v int")
+    right = spark.createDataFrame([(1, 15), (1, 99), (2, 6), (None, 8), (5, 3)], "j int, w int")
+    data, other = [tuple(r) for r in left.collect()], [tuple(r) for r in right.collect()]
+    match = lambda a, b: a[0] is not None and a[0] == b[0] and b[1] > a[1]
+    pairs = [(*a, *b) for a in data for b in other if match(a, b)]
+    lone = [(*a, None, None) for a in data if not any(match(a, b) for b in other)]
+    far = [(None, None, *b) for b in other if not any(match(a, b) for a in data)]
+    want = {"inner": pairs, "left": pairs + lone, "right": pairs + far, "full": pairs + lone + far, "semi": [a for a in data if any(match(a, b) for b in other)], "anti": [a[:2] for a in lone], "existence": [(*a, any(match(a, b) for b in other)) for a in data]}
+    if (how, strategy) == ("full", "broadcast"):
+        with pytest.raises(ValueError):
+            joins.join(left, right, left["k"] == right["j"], how, strategy)
+        return
+    if how == "existence":
+        df = joins.with_existence(left, right, "k", "j", "e", strategy, F.col("w") > F.col("v"))
+    else:
+        df = joins.join(left, right, (left["k"] == right["j"]) & (F.col("w") > F.col("v")), how, strategy)
+    assert rows(df) == sorted(want[how], key=str)
+    df.collect()
+    assert report.operators(df)[NODES[strategy]] == 1 + (how == "existence")
+
+
+def test_strategies_on_tables_are_in_the_plans(spark):
+    from sparkloom.plans import catalog
+
+    for how in ("left", "right", "semi", "anti"):
+        for strategy, node in NODES.items():
+            df = catalog.queries()[f"join_{how}_{strategy}"](spark, SF)
+            df.collect()
+            assert report.operators(df)[node] == 1, (how, strategy)
+
+
+def test_percentiles_and_modes(spark):
+    import numpy as np
+
+    data = [("a", float(v)) for v in (5, 1, 4, 4, 2)] + [("b", 7.0), ("b", None), (None, 1.0), (None, 3.0), ("c", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r["k"]: (r["p"], r["m"]) for r in aggregates.percentiles(df, ["k"], "v", p=0.3, m=0.5).collect()}
+    for k in ("a", "b", None):
+        v = [x for g, x in data if g == k and x is not None]
+        assert got[k] == pytest.approx((np.percentile(v, 30), np.median(v)))
+    assert got["c"] == (None, None)
+    assert dict(rows(aggregates.modes(df, ["k"], "v"))) == {"a": 4.0, "b": 7.0, None: 3.0}
+    with pytest.raises(ValueError):
+        aggregates.percentiles(df, ["k"], "v", p=1.5)
+
+
+def test_with_totals_equals_a_window(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 5), (None, 2), (None, 9), ("b", None)], "k string, v int")
+    got = aggregates.with_totals(df, ["k"], hi=F.max("v"), n=F.count("v"))
+    assert rows(got) == rows(df.selectExpr("*", "max(v) over (partition by k) as hi", "count(v) over (partition by k) as n"))
+
+
+def test_rollup_chain_scans_once_and_can_be_off(spark):
+    df = aggregates.rollup_chain(tables.table(spark, SF, "lineitem"), ["l_returnflag", "l_linestatus"], n=("count", "l_orderkey"))
+    want = rows(df)
+    df.collect()
+    found = report.operators(df)
+    scans = [n for n in report.tree(df).walk() if n.name.startswith("Scan")]
+    reused = [n for n in report.tree(df).walk() if n.name.startswith("ReusedExchange")]
+    assert len(scans) - len(reused) <= 1 and found["Exchange"] >= 1
+    spark.conf.set("sparkloom.rollup.chain", "false")
+    try:
+        plain = aggregates.rollup_chain(tables.table(spark, SF, "lineitem"), ["l_returnflag", "l_linestatus"], n=("count", "l_orderkey"))
+        assert rows(plain) == want and report.operators(plain)["Expand"] == 1
+    finally:
+        spark.conf.unset("sparkloom.rollup.chain")
+
+
+def test_range_join_of_wide_intervals(spark):
+    """Intervals from nothing to a million buckets: none becomes more than a few rows, and the result is a nested loop's."""
+    points = spark.range(300).select((F.col("id") * 997.3).alias("x"))
+    spans = spark.createDataFrame([(0.0, 1e6), (10.0, 10.5), (-5e8, 5e8), (5000.0, 9000.0), (None, 3.0), (7.0, 7.0), (8.0, 2.0)], "lo double, hi double")
+    got = joins.range_join(points, spans.where("lo <= hi"), "x", "lo", "hi", 1.0)
+    want = points.join(spans, (F.col("lo") <= F.col("x")) & (F.col("x") < F.col("hi")))
+    assert rows(got) == rows(want)
+    with pytest.raises(ValueError):
+        joins.range_join(points, spans.where("lo <= hi"), "x", "lo", "hi", 1.0, "left")
+
+
+def test_metrics_and_history(spark):
+    history = report.History(2)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(history.run("count", df)) == 7
+    found = report.metrics(df)
+    assert any(m.get("numOutputRows") == 7 for _, m in found) and any(m.get("shuffleBytesWritten", 0) > 0 for _, m in found)
+    bad = spark.range(3).select(F.expr("1 / (id - 1)"))
+    with pytest.raises(Exception):
+        history.run("fails", bad)
+    history.run("again", spark.range(5))
+    assert [e["name"] for e in history.entries] == ["fails", "again"] and history.entries[0]["error"] and history.slowest(1)[0]["seconds"] >= 0
+
+
+def test_json_lines_source(spark, tmp_path):
+    import json
+
+    import zstandard
+
+    from sparkloom.sources import jsonl_zst
+
+    jsonl_zst.register(spark)
+    for k in range(3):
+        lines = "\n".join(json.dumps({"id": k * 10 + j, "text": f"ü{j}" if j else None, "other": 1}) for j in range(4)) + "\n\n"
+        (tmp_path / f"{k}.jsonl.zst").write_bytes(zstandard.ZstdCompressor().compress(lines.encode()))
+    df = spark.read.format("jsonl_zst").schema("id long, text string, gone double").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 3
+    assert rows(df) == sorted([(k * 10 + j, f"ü{j}" if j else None, None) for k in range(3) for j in range(4)], key=str)
+    assert df.where("id >= 20").count() == 4
+    with pytest.raises(Exception, match="schema"):
+        spark.read.format("jsonl_zst").load(str(tmp_path)).count()
+    (tmp_path / "x.jsonl.zst").write_bytes(zstandard.ZstdCompressor().compress(b"[1]\n"))
+    with pytest.raises(Exception, match="no JSON object"):
+        df = spark.read.format("jsonl_zst").schema("id long").load(str(tmp_path)).collect()
+
+
+def test_jdbc_round_trip_and_missing_formats(spark, tmp_path):
+    """By the Derby driver that Spark carries; Avro is a package of its own, and says so."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(100).select(F.col("id").alias("K"), (F.col("id") * 2).alias("V")).write.jdbc(url, "T", "overwrite", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    df = tables.read_jdbc(spark, url, "T", "K", 0, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert df.rdd.getNumPartitions() == 4 and df.agg(F.sum("V")).first()[0] == 9900
+    assert any("GreaterThanOrEqual(K,90)" in f for f in report.pushed_filters(df.where("K >= 90")))
+    with pytest.raises(Exception, match="[Aa]vro"):
+        tables.read(spark, "avro", "nowhere")
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    import datetime
+
+    from sparkloom.streaming import windows
+
+    start = datetime.datetime(2024, 1, 1)
+    data = [(k, start + datetime.timedelta(minutes=17 * k), f"u{k % 3}") for k in range(60)]
+    events = spark.createDataFrame(data, "id long, ts timestamp, u string")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    for make in (lambda d, **o: windows.windowed(d, "ts", "1 hour", ["u"], n=F.count("id"), **o), lambda d, **o: windows.sessions(d, "ts", "40 minutes", ["u"], n=F.count("id"), **o)):
+        q = make(stream, late="1 day").writeStream.format("memory").queryName("got").outputMode("complete").option("checkpointLocation", str(tmp_path / f"c{id(make)}")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        assert rows(spark.table("got")) == rows(make(events))
+    with pytest.raises(ValueError):
+        windows.windowed(stream, "ts", "1 hour", ["u"], n=F.count("id"))
+    assert windows.once(events.unionByName(events), "ts", ["id"]).count() == 60
+
+
+def test_entry_lives_without_the_text_operators(tmp_path):
+    """A missing package that only they need takes their queries away, and no others."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), 'tpch_q1' in q, any(x.startswith('op') for x in q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, timeout=120)
+    n, *flags = said.stdout.split()
+    assert int(n) > 100 and flags == ["True", "False", "False", "True"], said.stderr[-2000:]
