@@ -166,8 +166,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = rows.where((holdout("id", modulus) != held) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     chosen = first_by_hash(labelled.select("lang", F.col("id").alias("_id"), F.xxhash64("id").alias("h")), "lang", per_language)
     chosen = chosen.select(F.col("_id").alias("id")).distinct()
-    cut = F.udf(lambda t, h: [bytes(x) for x in crop(t.encode(), h, crops)], "array<binary>")
-    rows = labelled.join(F.broadcast(chosen), "id", "left_semi").select("lang", cut("text", F.xxhash64("id")).alias("crops"), F.xxhash64("id").alias("h"))
+
+    def cut(batches):
+        for batch in batches:
+            parts = [crop(t.as_buffer().to_pybytes(), h, crops) for t, h in zip(batch.column(0).cast(pa.binary()), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(parts, pa.list_(pa.binary())), batch.column(2)], ["lang", "crops", "h"])
+
+    rows = labelled.join(F.broadcast(chosen), "id", "left_semi").select("text", "lang", F.xxhash64("id").alias("h")).mapInArrow(cut, "lang string, crops array<binary>, h long")
     found = sorted((r["h"], r["lang"], [bytes(c) for c in r["crops"]]) for r in rows.toLocalIterator())
     if not found:
         return None

@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import U64, bits_for, blocks, checkpointed, keep_memory, let_go, mix, text_bytes, text_size, words_of_rows
+from .common import U64, bits_for, blocks, checkpointed, keep_memory, let_go, mix, text_bytes, text_size, with_records, words_of_rows
 from .components import connected
 
 WORDS, PERCENT, BLOCK_ROWS, SLICE, FEW = 4, 85, 1024, 2048, 12
 #: Most entries of a task's table of columns while rows are chained; it is emptied when full.
 HEADS = 200_000
+#: A class of copies is large if it has over 1 / LARGE of all rows.
+LARGE = 10_000
 
 
 def shingles(text: pa.Array | pa.ChunkedArray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +145,8 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
 
     id_type = docs.schema[id_col].dataType
     id_sql, id_arrow = id_type.simpleString(), to_arrow_type(id_type)
-    _, n_bytes = text_size(docs, text_col)
+    size = text_size(docs, text_col)
+    n_bytes = size[1]
     bits = bits_for(n_bytes / 6)
     dealt = blocks(docs, id_col, text_col, n_bytes)
 
@@ -182,7 +185,9 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     let_go(docs.sparkSession)
     alive = rows.where("digest is not null")
     classes = alive.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = checkpointed(alive.select("id", "digest").join(classes, "digest").select("id", "rep", "copies", "digest").distinct())
+    # Large classes of copies, fewer than LARGE of them, are broadcast: their rows aren't brought together by digest.
+    member = with_records(alive.select("id", "digest").distinct(), checkpointed(classes), ["digest"], F.col("copies") * LARGE > size[0])
+    member = checkpointed(member.select("id", "rep", "copies", "digest"))
     own = member.where("id = rep").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "copies")
     reps = alive.join(own, (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("id", "n", "shared", "copies", "digest").dropDuplicates(["id", "digest"])
     reps = checkpointed(reps)

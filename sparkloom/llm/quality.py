@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNS, SPACE, checkpointed, crc_mod, in_rows, keep_memory, pieces, text_bytes, word_hashes
+from .common import SIGNS, SPACE, checkpointed, crc_mod, in_rows, keep_memory, pieces, text_bytes, with_records, word_hashes
 from .labelled import labels_of, sample
 
 PER_CLASS, SMALL, MODULUS, HELD = 6000, 100_000, 5, 0
@@ -129,21 +129,6 @@ def strength(groups: DataFrame, total: str, n: str) -> float:
     return min(max(within / between - 1, 1.0), 1e4)
 
 
-def with_records(rows: DataFrame, groups: DataFrame, keys: list[str], heavy: F.Column) -> DataFrame:
-    """rows with their group's columns, by null-safe keys. Heavy groups, whose number has a bound, are broadcast."""
-    named = [f"_{k}" for k in keys]
-
-    def on(left: DataFrame, right: DataFrame):
-        return [left[k].eqNullSafe(right[n]) for k, n in zip(keys, named)]
-
-    for k, n in zip(keys, named):
-        groups = groups.withColumnRenamed(k, n)
-    hot, rest = F.broadcast(groups.where(heavy)), groups.where(~heavy)
-    near = rows.join(hot, on(rows, hot)).drop(*named)
-    light = rows.join(hot, on(rows, hot), "left_anti")
-    return near.unionByName(light.join(rest, on(light, rest)).drop(*named))
-
-
 def quality(docs: DataFrame, model: Logistic | float, host: F.Column, path: F.Column, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, threshold: float = 0.5, labels: DataFrame | None = None, label_col: str = "quality", modulus: int = MODULUS, held: int = HELD) -> DataFrame:
     """Per row: doc_id, held_out, evidence, host_mean, path_mean, score, keep; the means are posteriors without the row itself."""
     rows = evidence(docs, model, host, path, id_col, text_col, modulus, held)

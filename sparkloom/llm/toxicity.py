@@ -5,8 +5,8 @@ learns what a sum of single weights can't: that two terms together weigh more, o
 letters and digits, A-Z lower-cased, and their beginnings of some sizes (word stems), as 64-bit hashes; the model keeps the
 TERMS terms that tell most by chi-square.
 
-Training takes at most ``per_class`` labelled rows of each class (documented bound), and only hashes of their terms reach
-the driver. Scoring is one pass over whole texts without a shuffle; the model is at most TERMS * (FACTORS + 2) numbers.
+Training takes at most ``per_class`` labelled rows of each class (documented bound). Their terms are counted by a grouped
+aggregate; at most TERMS of them, and of each row only which of these it holds, reach the driver. Scoring is one pass over whole texts without a shuffle; the model is at most TERMS * (FACTORS + 2) numbers.
 
 Defined results: null counts as empty; a text without a known term gets the score of the bias; without training rows of
 both classes every score is the share of the one class that there is, or 0. Repeated rows get equal scores; an empty table
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIGNS, crc_mod, in_rows, keep_memory, pieces, text_bytes, word_hashes
+from .common import SIGNS, checkpointed, crc_mod, in_rows, keep_memory, pieces, text_bytes, word_hashes
 from .labelled import sample
 
 PER_CLASS, TERMS, FACTORS, LEAST_DF, EPOCHS, SEED = 3000, 4096, 8, 3, 12, 5
@@ -79,23 +79,23 @@ class FactorizationMachine:
         return cls(np.zeros(0, np.uint64), float(np.log(share / (1 - share))), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
 
 
-def fit(docs: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n_terms: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-3, batch: int = 64, seed: int = SEED) -> FactorizationMachine:
-    """docs: distinct term hashes of each row. Adagrad on the weighted logistic loss."""
-    y = label.astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        return FactorizationMachine.constant(float(y.mean()) if len(y) else 0.0)
-    keys, df = np.unique(np.concatenate(docs), return_counts=True)
-    toxic, times = np.unique(np.concatenate([d for d, one in zip(docs, y) if one]), return_counts=True)
-    pos = np.zeros(len(keys))
-    pos[np.searchsorted(keys, toxic)] = times
-    n, n1 = len(y), y.sum()
+def telling(counted: list[tuple[int, int, int]], n: float, n1: float, n_terms: int = TERMS) -> np.ndarray:
+    """Of (term, rows that hold it, toxic ones among these), the terms that tell most by chi-square, sorted."""
+    keys = np.array([t for t, _, _ in counted], np.int64).view(np.uint64)
+    df, pos = (np.array([c[k] for c in counted], float) for k in (1, 2))
     cover = df * n1 / n
     chi = (pos - cover) ** 2 / np.maximum(cover * (1 - n1 / n) * (1 - df / n), 1e-9)
-    chi[df < LEAST_DF] = 0
-    best = np.sort(np.argsort(-chi, kind="stable")[: min(n_terms, int((chi > 0).sum()))])
-    keys = keys[best]
-    del df, pos, cover, chi
-    found = [np.flatnonzero(np.isin(keys, d, assume_unique=True)) for d in docs]
+    return np.sort(keys[np.lexsort((keys, -chi))[: min(n_terms, int((chi > 0).sum()))]])
+
+
+def fit(keys: np.ndarray, docs: list[np.ndarray], label: np.ndarray, weight: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.2, decay: float = 1e-3, batch: int = 64, seed: int = SEED) -> FactorizationMachine:
+    """keys: the terms, sorted; docs: distinct ones of each row. Adagrad on the weighted logistic loss."""
+    y = label.astype(np.float64)
+    if not len(y) or y.min() == y.max() or not len(keys):
+        return FactorizationMachine.constant(float(y.mean()) if len(y) else 0.0)
+    n = len(y)
+    best = np.arange(len(keys))
+    found = [np.searchsorted(keys, d) for d in docs]
     col, row = np.concatenate(found), np.repeat(np.arange(n), [len(f) for f in found])
     offsets = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
@@ -131,16 +131,40 @@ def fit(docs: list[np.ndarray], label: np.ndarray, weight: np.ndarray, n_terms:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, modulus: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
     rows, stands_for = sample(docs, labels, label_col, per_class, modulus, held, id_col, text_col)
 
+    # Terms are counted where the rows are: the rows that hold each, of both classes, with partial sums on the map side. What
+    # reaches the driver is the best of them by one chi-square's order, and of each row only those.
+    rows = checkpointed(rows)
+
+    def each(batches):
+        for batch in batches:
+            label = batch.column(1).to_numpy()
+            for first, last, h, offsets in terms(batch.column(0)):
+                row = rows_of(offsets)
+                pairs = np.unique(np.stack([row.astype(np.uint64), h], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), pa.array(label[first:last][pairs[:, 0].astype(np.int64)], pa.int32())], ["term", "label"])
+
+    sums = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+    n, n1 = sum(sums.values()), sums.get(1, 0)
+    if not n1 or n1 == n:
+        return FactorizationMachine.constant(n1 / n if n else 0.0)
+    counted = rows.select("text", "label").mapInArrow(each, "term long, label int").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("pos")).where(F.col("df") >= LEAST_DF)
+    cover = F.col("df") * (n1 / n)
+    chi = (F.col("pos") - cover) ** 2 / (cover * (1 - n1 / n) * F.greatest(1 - F.col("df") / n, F.lit(1e-9)))
+    keys = telling([tuple(r) for r in counted.orderBy(chi.desc(), "term").limit(TERMS).collect()], n, n1)
+
     def run(batches):
         for batch in batches:
-            out = [np.unique(h[a:b]).tobytes() for _, _, h, offsets in terms(batch.column(0)) for a, b in zip(offsets, offsets[1:])]
+            out = [b""] * len(batch)
+            for first, _, h, offsets in terms(batch.column(0)):
+                for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
+                    out[first + k] = np.intersect1d(h[a:b], keys).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), batch.column(2)], ["h", "terms", "label"])
 
     found = rows.select("text", F.xxhash64("id").alias("h"), "label").mapInArrow(run, "h long, terms binary, label int")
     got = sorted((r["h"], bytes(r["terms"]), r["label"]) for r in found.toLocalIterator())
     label = np.array([x[2] for x in got], np.int64)
     weight = np.array([stands_for[x] for x in label.tolist()])
-    return fit([np.frombuffer(x[1], np.uint64) for x in got], label, weight)
+    return fit(keys, [np.frombuffer(x[1], np.uint64) for x in got], label, weight)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, modulus: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
