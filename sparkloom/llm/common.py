@@ -116,6 +116,28 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
+def sorted_places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned keys of at most `bits` bits in order, and their places, equal keys by place. Where both have room in 64 bits, a
+    place is sorted along in the low bits of its key: faster than sorting places by key."""
+    low = max(1, len(keys).bit_length())
+    if bits + low <= 64:
+        packed = np.sort(keys << U64(low) | np.arange(len(keys), dtype=np.uint64))
+        return packed >> U64(low), (packed & U64((1 << low) - 1)).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
+def distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with inverse and counts, for unsigned keys of at most `bits` bits."""
+    ordered, order = sorted_places(keys, bits)
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    return ordered[start], inverse, np.diff(np.append(start, len(keys)))
+
+
 BYTE_KEYS = mix(np.arange(256, dtype=np.uint64) * U64(0xD1342543DE82EF95))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import U64, bits_for, blocks, checkpointed, keep_memory, let_go, mix, text_bytes, text_size, with_records, words_of_rows
+from .common import U64, bits_for, blocks, checkpointed, distinct, keep_memory, let_go, mix, text_bytes, text_size, with_records, words_of_rows
 from .components import connected
 
 WORDS, PERCENT, BLOCK_ROWS, SLICE, FEW = 4, 85, 1024, 2048, 12
@@ -152,7 +152,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
 
     def local(table: pa.Table):
         gram, offsets = shingles(table.column("text"), n)
-        keys, inverse, times = np.unique(packed.short(gram, bits), return_inverse=True, return_counts=True)
+        keys, inverse, times = distinct(packed.short(gram, bits), bits + 32)
         return gram, offsets, keys, inverse, times
 
     def send(table: pa.Table) -> pa.Table:

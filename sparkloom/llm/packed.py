@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, keep_memory
+from .common import U64, keep_memory, sorted_places
 
 MESSAGE = "bucket int, blk int, rest binary, times binary"
 REPLY = "blk int, bucket int, code binary"
@@ -58,8 +58,7 @@ def count_bucket(table: pa.Table, width: int = 32) -> pa.Table:
     rest = [from_planes(x.as_buffer(), width) for x in table.column("rest")]
     keys = np.concatenate(rest)
     times = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("times")])
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
+    ordered, order = sorted_places(keys, width)
     head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     start = np.flatnonzero(head)
     code = coded(np.add.reduceat(times[order].astype(np.int64), start))

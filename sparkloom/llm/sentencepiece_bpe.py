@@ -144,7 +144,8 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
 
 
 def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
-    """doc_id and text for rows of doc_id and ids. Null ids count as none."""
+    """doc_id and text for rows of doc_id and ids. Null or no ids give an empty text; repeated rows equal texts; doc_id may be
+    null and of any type; an empty table gives no rows; other columns are ignored."""
 
     def run(batches):
         model = loaded(model_file)

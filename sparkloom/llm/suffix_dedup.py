@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import Rolling, bits_for, block_of, checkpointed, dealt_texts, keep_memory, let_go, text_bytes, text_size, unpacked
+from .common import Rolling, bits_for, block_of, checkpointed, dealt_texts, distinct, keep_memory, let_go, text_bytes, text_size, unpacked
 from .exact_dedup import exact_dedup
 
 DEPTH, COVER_ORDER, PIECE, LEAST_BYTES = 400, 2, 1_000_000, 32
 #: Text of a bucket that is aimed at, and text of one least string from which its suffixes are grouped by digest.
 BUCKET_BYTES, HOT_BYTES = 1_000_000, 4_000_000
+#: Most hot least strings whose hashes are broadcast.
+SMALL = 500_000
 
 
 def difference_cover(r: int) -> tuple[int, np.ndarray]:
@@ -336,7 +338,7 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     def names(text: Text):
         found = list(text.sample(v, cover_set))
         keys = np.concatenate([packed.short(h, bits) for _, h in found]) if found else np.zeros(0, np.uint64)
-        return found, *np.unique(keys, return_inverse=True, return_counts=True)
+        return found, *distinct(keys, bits + 32)
 
     def taking_part(table: pa.Table, more: pa.Table) -> Text:
         _, texts, _, part = local(table, more)
@@ -405,21 +407,23 @@ def _run(docs: DataFrame, depth: int, id_col: str, text_col: str, order: int, re
     del replies, more
     let_go(docs.sparkSession)
     # Equal stretches are one row: a hot passage is a row a task before the shuffle.
-    distinct = checkpointed(sent.groupBy("digest").agg(F.first("text").alias("text"), F.first("least").alias("least"), F.first("suffixes").alias("suffixes"), F.sum("times").cast("int").alias("times")))
+    once = checkpointed(sent.groupBy("digest").agg(F.first("text").alias("text"), F.first("least").alias("least"), F.first("suffixes").alias("suffixes"), F.sum("times").cast("int").alias("times")))
     # Later steps need no stretch's text but these.
     sent = checkpointed(sent.select("blk", "digest", "places", "suffixes", F.octet_length("text").alias("size")))
     let_go(docs.sparkSession)
-    by_least = distinct.groupBy("least").agg(F.sum(F.octet_length("text")).alias("size"))
+    by_least = once.groupBy("least").agg(F.sum(F.octet_length("text")).alias("size"))
     hot = F.col("size") > HOT_BYTES
-    total = by_least.agg(F.sum(F.when(~hot, F.col("size"))), F.sum(F.when(hot, F.col("size")))).first()
-    n_buckets, hot_parts = (-(-(x or 0) // BUCKET_BYTES) or 1 for x in total)
+    total = by_least.agg(F.sum(F.when(~hot, F.col("size"))), F.sum(F.when(hot, F.col("size"))), F.count_if(hot)).first()
+    n_buckets, hot_parts = (-(-(x or 0) // BUCKET_BYTES) or 1 for x in total[:2])
     hot = by_least.where(hot).select("least")
-    calm = distinct.join(hot, "least", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("least"), F.lit(n_buckets)))
+    if total[2] <= SMALL:  # 8 bytes each
+        hot = F.broadcast(hot)
+    calm = once.join(hot, "least", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("least"), F.lit(n_buckets)))
     ties = calm.groupBy("bucket").applyInArrow(sort_bucket, "digest binary, deep binary, near binary")
-    ties = ties.unionByName(_ties_of_hot(distinct.join(hot, "least", "left_semi"), depth, near, hot_parts))
-    repeated = distinct.where("times > 1").select("digest", F.lit(None).cast("binary").alias("deep"), F.lit(None).cast("binary").alias("near"), F.lit(True).alias("all"))
+    ties = ties.unionByName(_ties_of_hot(once.join(hot, "least", "left_semi"), depth, near, hot_parts))
+    repeated = once.where("times > 1").select("digest", F.lit(None).cast("binary").alias("deep"), F.lit(None).cast("binary").alias("near"), F.lit(True).alias("all"))
     ties = checkpointed(ties.withColumn("all", F.lit(False)).unionByName(repeated))
-    del distinct, by_least, hot, calm, repeated
+    del once, by_least, hot, calm, repeated
     let_go(docs.sparkSession)
     found = sent.join(ties, "digest").drop("digest")
     more = info.unionByName(as_side(found, 2, "blk", "places", "suffixes", "size", "deep", "near", "all"))

@@ -136,7 +136,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
 
 def truncate(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the text cut by PrefixCounts.cut()."""
+    """doc_id and the longest beginning of the text, by PrefixCounts.cut(), that has at most limit tokens. Null text counts as
+    empty; repeated rows give equal texts; doc_id may be null; an empty table gives no rows; other columns are ignored."""
 
     def run(batches):
         model = loaded(path)

@@ -217,6 +217,34 @@ def test_join_with_grid_and_chains(spark):
     assert len({w[2] for w in want}) < len(want)
 
 
+def test_join_with_hot_columns_and_one_large_component(spark):
+    """Documents of a few sentences out of a small stock: every column is in many rows, and chains tie most rows together."""
+    import random
+
+    rng = random.Random(8)
+    stock = [" ".join(f"s{k}w{j}" for j in range(9)) for k in range(25)]
+    out = [(k, ". ".join([stock[0], *(stock[j] for j in sorted(rng.sample(range(1, 25), rng.randrange(5, 9))))]) + f" x{k % 7}" * (k % 2), "en", "s") for k in range(700)]
+    docs = frame(spark, out + out[:40])
+    want = brute_join(docs)
+    for block_rows in (1024, 32):
+        got = ngram_join.ngram_join(docs, block_rows=block_rows)
+        assert rows(got, "doc_id", "n_shingles", "component_id") == want
+    assert 50 < len({w[2] for w in want}) < 700
+
+
+@pytest.mark.parametrize("left", [0, 13])
+def test_sparse_product_equals_counting(left, monkeypatch):
+    rng = np.random.default_rng(2)
+    for few in (0, 3, 100):
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60))).astype(np.uint64) for _ in range(30)]
+        sets[7] = sets[3]
+        row = np.repeat(np.arange(30), [len(s) for s in sets])
+        a, b = (slice(0, left), slice(left, 30)) if left else (slice(0, 30), slice(0, 30))
+        got = ngram_join.product(row, np.concatenate(sets), 30, a, b)
+        assert (got == [[len(np.intersect1d(x, y)) for y in sets[b]] for x in sets[a]]).all()
+
+
 def test_join_counts_links(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = frame(spark, [(1, text, "", ""), (2, text, "", ""), (3, text + " tail", "", ""), (4, "else", "", "")])

@@ -99,6 +99,23 @@ def test_factorization_machine_equals_all_pairs():
     assert np.allclose(m.raw(np.concatenate(rows_).astype(int), np.array([0, 3, 3, 8])), want, atol=1e-5)
 
 
+def test_toxicity_stands_clashes_repeats_and_long_texts(spark):
+    """With a trained model: equal rows get equal scores, other columns change none, and a long text's last words count."""
+    data = toxic_rows()
+    plain = [(k, t, "en", "s") for k, t, _ in data]
+    more = [(7000, "calm " * 300_000 + data[0][1], "en", "s"), *plain[:3], *plain[:3], (None, None, None, None), (None, plain[0][1], None, None)]
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y in data], "doc_id long, quality int, toxic int")
+    got = []
+    for clash in (False, True):
+        docs = frame(spark, plain + more, clash)
+        got.append(rows(toxicity.score(docs, toxicity.train(docs, labels)), "doc_id", "held_out", "score", "predicted"))
+    assert got[0] == got[1] and len(got[0]) == len(plain) + len(more)
+    by_id: dict = {}
+    for i, _, score, _ in got[0]:
+        by_id.setdefault(i, set()).add(score)
+    assert all(len(by_id[i]) == 1 for i, *_ in plain) and by_id[plain[0][0]] < by_id[None]
+
+
 def test_toxicity_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = frame(spark, clash=True)
@@ -192,6 +209,50 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.quality(empty(spark), 0.5, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_convolution_equals_brute_force():
+    """Filters placed one by one over windows, rectified, their maxima, and the softmax."""
+    rng = np.random.default_rng(4)
+    model = language_id.ByteCnn(["a", "b", "c"], filters=5, widths=(2, 3, 4), seed=9)
+    for b in model.bias:
+        b += rng.normal(0, 0.2, len(b)).astype(np.float32)
+    windows = rng.integers(0, 256, (6, 40)).astype(np.uint8)
+    want = []
+    for window in windows:
+        feats = []
+        for tables, bias in zip(model.filters, model.bias):
+            w = len(tables)
+            feats += [max(0.0, max(sum(float(tables[j][window[at + j]][f]) for j in range(w)) for at in range(len(window) - w + 1)) + float(bias[f])) for f in range(5)]
+        z = np.array(feats) @ model.out + model.out_bias
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.abs(model.probabilities(windows) - np.array(want)).max() < 1e-5
+
+
+def test_identify_stands_clashes_repeats_and_long_texts(spark):
+    data = two_languages()
+    more = [data[3], data[3], (None, data[4][1], "de", "s"), (None, None, None, None), (500, " ".join(DE[k * k % 7] + " " + DE[k % 8] for k in range(60_000)), "de", "s"), (501, "", "en", "s")]
+    got = []
+    for clash in (False, True):
+        docs = frame(spark, data + more, clash)
+        got.append(rows(language_id.identify(docs, language_id.train(docs)), "doc_id", "held_out", "lang_pred", "score"))
+    assert got[0] == got[1] and len(got[0]) == len(data) + len(more)
+    assert [r[2] for r in got[0] if r[0] == 500] == ["de"] and [r[2:] for r in got[0] if r[0] == 501] == [("und", 0.0)]
+    assert len({r for r in got[0] if r[0] == data[3][0]}) == 1
+
+
+def test_chosen_rows_are_those_of_the_least_hash(spark):
+    from sparkloom.llm.labelled import first_by_hash
+
+    df = spark.range(30000).select(F.col("id").alias("_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 40, "b").otherwise("c").alias("g"), F.xxhash64("id").alias("h"))
+    got: dict = {}
+    for r in first_by_hash(df, "g", 500).collect():
+        got.setdefault(r["g"], set()).add(r["_id"])
+    want: dict = {}
+    for r in sorted(df.collect(), key=lambda r: r["h"]):
+        if len(want.setdefault(r["g"], set())) < 500:
+            want[r["g"]].add(r["_id"])
+    assert got == want
+
+
 def brute_base(data):
     table = bytes(k + 32 if 65 <= k < 91 else k for k in range(256))
     tokens = [(i, [*(t or "").encode().translate(table).split(), None]) for i, t in data]

@@ -97,6 +97,46 @@ def test_pipeline(spark, tmp_path):
     assert got[7]["n_tokens"] == len(theirs.encode(spread[7][1])) + 2
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_pipeline_equals_brute_force(spark, tmp_path, clash):
+    """Nulls, empty and very long texts, ties, repeated rows, null ids, clashing columns: stage by stage in plain Python."""
+    import corpus_pipeline
+    import regex
+
+    from sparkloom.llm import decontaminate
+
+    from .test_dedup import brute_join
+
+    items = [prose(1, 90), "If a box holds 3 red balls and 5 blue balls how many balls are there"]
+    base = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in frame(spark).collect()]
+    base += [(300 + k, f"{prose(50 + k, 30)}. {items[k % 2].replace('3', '4')}. {prose(60 + k, 30)}", "en", "s") for k in range(4)] + [(400 + k, prose(500, 60) + f" {k}" * (k % 3), "de", "s") for k in range(6)]
+    docs = frame(spark, base, clash)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+
+    left = [(i, t) for i, t, *_ in base if t and regex.search(r"\p{L}", t)]
+    best: dict = {}
+    for i, t in left:
+        best[t] = i if t not in best or (i is not None and (best[t] is None or i > best[t])) else best[t]
+    left = [(i, t) for t, i in best.items()]
+    component = {(i, n): c for i, n, c in brute_join(frame(spark, [(i, t, "", "") for i, t in left]))}
+    keeps = {i for (i, _), c in component.items() if i is None or i == c}
+    left = [(i, t) for i, t in left if i in keeps]
+    bench = decontaminate.Bench([0, 1], items)
+    left = [(i, t) for i, t in left if not ((f := decontaminate.examine(bench, [t])[0]) and f[4])]
+    theirs = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert got == sorted(((i, len(theirs.encode(t)) + 2) for i, t in left), key=str) and 10 < len(got) < len(base) - 8
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(1, 90))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
