@@ -278,6 +278,40 @@ def test_components(spark):
     assert got == {x: root(x) for x in up if any(x in p and p[0] != p[1] for p in pairs)}
 
 
+def test_steps_find_blocks_where_they_lie(spark):
+    """What is written by block is grouped, and cogrouped with other rows, without an exchange of its own."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import common
+
+    docs = frame(spark)
+    dealt = common.dealt_texts(docs, "doc_id", "text", 1)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(dealt.groupBy("blk").applyInArrow(lambda t: t, dealt.schema))
+    side = spark.range(8).select(F.col("id").cast("int").alias("blk"))
+    assert plan(dealt.groupBy("blk").cogroup(side.groupBy("blk")).applyInArrow(lambda a, b: a, dealt.schema)).count("Exchange hashpartitioning") == 1
+    got = [(r["id"], common.expand(r["text"]).decode()) for r in dealt.collect()]
+    assert sorted(got, key=str) == sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=str)
+    made = common.written_by_block(common.blocks(docs, "doc_id", "text", 1), 1, lambda t: t.select(["blk"]).slice(0, 1), "blk int")
+    assert "Exchange" not in plan(made.groupBy("blk").applyInArrow(lambda t: t, made.schema))
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sparkloom.llm import common
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder or d), sparkContext=SimpleNamespace(master=master))
+
+    assert common.shared_folder(session("spark://x", "hdfs://y/c")) == "hdfs://y/c"
+    for master in ("spark://x", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            common.shared_folder(session(master))
+    assert common.shared_folder(session("local[4]")).endswith("-checkpoints")
+
+
 def test_packed_messages():
     rng = np.random.default_rng(3)
     for width in (32, 56):

@@ -292,7 +292,10 @@ def test_probabilities_sum_to_one(spark):
     contexts = [None, "the", texts[train[0]].split()[3], "neverseen"]
     probes = {next(held): (c, w) for c in contexts for w in [*words, "neverseen", None]}
     docs = frame(spark, [(k, t, "en", "s") for k, t in texts.items()] + [(k, " ".join(x for x in p if x), "en", "s") for k, p in probes.items()])
-    got = {r["doc_id"]: r["log_p"] for r in language_model.score(docs, tokens=True).collect()}
+    found = language_model.score(docs, tokens=True).collect()
+    for r in found:
+        assert len(r["log_p"]) == r["n_tokens"] and abs(sum(r["log_p"]) - r["score"]) < 1e-9 and abs(r["perplexity"] - 10 ** (-r["score"] / r["n_tokens"])) < 1e-6 * r["perplexity"]
+    got = {r["doc_id"]: r["log_p"] for r in found}
     for c in contexts:
         total = sum(10 ** got[k][0 if c is None else 1] for k, p in probes.items() if p[0] == c)
         assert abs(total - 1) < 1e-5, c
