@@ -1,4 +1,4 @@
-"""Session defaults: UTC, ANSI arithmetic, adaptive execution with skew handling, runtime bloom filters."""
+"""Session defaults: UTC, ANSI arithmetic, adaptive execution with skew handling, runtime bloom filters, checkpoints that go when unused."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
