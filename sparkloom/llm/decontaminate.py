@@ -16,7 +16,8 @@ it is the whole document.
 Data flow. The benchmark's windows are a table of (reading, hash, item, place, slots). A bit map of their hashes, of at most
 2^MAP_BITS bits whatever the benchmark's size, travels with the one pass over the documents and lets through the windows that
 may be there. These are joined with the table by hash: by broadcast while it has at most ``small`` rows, counted first,
-else shuffled, where adaptive execution splits very common windows. Hits are grouped by (text, item), where slots are
+else shuffled. A window that very many items share makes no pairs: only an item's rarest windows, one of which a contaminated
+text must hold, name pairs of a text and an item (keyed()); then the other windows of these pairs are looked up. Hits are grouped by (text, item), where slots are
 checked, and by text. A verdict depends on the text alone, so texts are told apart by a 128-bit digest, copies are
 judged once, and every row keeps its own verdict at any benchmark size. Texts themselves are never shuffled.
 
@@ -34,7 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -339,6 +340,32 @@ def benchmark_tables(benchmark: DataFrame, item_col: str, text_col: str) -> tupl
     return items, checkpointed(made.select("item", F.explode("windows").alias("w")).select("w.kind", "w.hash", "item", "w.q", "w.mine"))
 
 
+def keyed(windows: DataFrame, similarity: float, run: int) -> DataFrame:
+    """windows with `key`: whether a text that is contaminated by the item must hold one of those that have it. Of n windows of one
+    reading, a share s can only be held if one of any n - ceil(s n) + 1 is: the rarest in the benchmark are taken. And `run` words
+    in a row hold one of every (run - WINDOW + 1) plain windows: the rarest such choice is taken."""
+    by_item, step = Window.partitionBy("item"), max(1, run - WINDOW + 1)
+    often = windows.groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("f"))
+    w = windows.join(often, ["kind", "hash"]).select("item", "kind", "q", "f")
+
+    def rarest(rows: DataFrame) -> DataFrame:
+        """The (item, q) of rows (item, q, f) that must be met for the share."""
+        n = F.count(F.lit(1)).over(by_item)
+        ranked = rows.select("item", "q", F.row_number().over(by_item.orderBy("f", "q")).alias("nth"), n.alias("n"))
+        return ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("item", "q")
+
+    # A template window counts under either reading of its first word.
+    at = w.where(F.col("kind") != PLAIN).groupBy("item", "q").agg(F.sum("f").alias("f"), F.bool_or(F.col("kind") == 0).alias("k0"), F.bool_or(F.col("kind") == 1).alias("k1"))
+    chosen = rarest(at.where("k0")).unionByName(rarest(at.where("k1"))).withColumn("plain", F.lit(False))
+    plain = w.where(F.col("kind") == PLAIN)
+    classes = plain.groupBy("item", (F.col("q") % step).alias("r")).agg(F.sum("f").alias("f")).groupBy("item").agg(F.min_by("r", F.struct("f", "r")).alias("r"), F.count(F.lit(1)).alias("n"))
+    steps = plain.join(classes.where(F.col("n") == step), "item").where(F.col("q") % step == F.col("r")).select("item", "q")
+    chosen = chosen.unionByName(rarest(plain).unionByName(steps).withColumn("plain", F.lit(True))).distinct()
+    chosen = chosen.select(F.col("item").alias("_item"), F.col("q").alias("_q"), "plain")
+    on = (F.col("item") == F.col("_item")) & (F.col("q") == F.col("_q")) & ((F.col("kind") == PLAIN) == F.col("plain"))
+    return windows.join(chosen, on, "left").select(*windows.columns, F.col("_q").isNotNull().alias("key"))
+
+
 def bit_map(windows: DataFrame, n: int) -> tuple[int, np.ndarray]:
     """Which leading bits the hashes have: 4,096 bits a window, 2^20 at least and 2^MAP_BITS at most."""
     bits = min(MAP_BITS, max(20, int(4096 * n - 1).bit_length()))
@@ -373,8 +400,10 @@ def verdicts(found: DataFrame, items: DataFrame, windows: DataFrame, n: int, sim
     """(digest, contaminated, item_id, similarity, run_words, refilled, run_item_id) of the texts that hold a window of an item.
     found: (digest, hits) of suspects."""
     sized = (lambda d: F.broadcast(d)) if n <= small else (lambda d: d)
-    hits = found.dropDuplicates(["digest"]).select("digest", F.explode("hits").alias("h")).select("digest", "h.kind", "h.hash", "h.p", "h.yours")
-    hits = hits.join(sized(windows), ["kind", "hash"]).select("digest", "item", "kind", "p", "q", "mine", "yours")
+    hits = checkpointed(found.dropDuplicates(["digest"]).select("digest", F.explode("hits").alias("h")).select("digest", "h.kind", "h.hash", "h.p", "h.yours"))
+    # First the pairs of a text and an item that may be one, by the item's rarest windows; then all windows of these pairs.
+    pairs = hits.select("digest", "kind", "hash").join(sized(windows.where("key").select("kind", "hash", "item")), ["kind", "hash"]).select("digest", "item").distinct()
+    hits = checkpointed(pairs).join(hits, "digest").join(sized(windows.drop("key")), ["item", "kind", "hash"]).select("digest", "item", "kind", "p", "q", "mine", "yours")
     hits = checkpointed(hits)
     bins = max(8, hits.count() // 50_000)
 
@@ -409,6 +438,7 @@ _JUDGED = pa.schema([("digest", pa.binary()), ("item", pa.int64()), ("similarity
 def looked_up(docs: DataFrame, benchmark: DataFrame, id_: F.Column, text_col: str, item_col: str, item_text_col: str, similarity: float, run: int, small: int):
     """(doc_id, digest) of each row, the digest null where no window may be an item's; the verdicts; the bit map."""
     items, windows = benchmark_tables(benchmark, item_col, item_text_col)
+    windows = checkpointed(keyed(windows, similarity, run))
     n = windows.count()
     bits, there = bit_map(windows, n)
     sent = docs.sparkSession.sparkContext.broadcast((bits, there))
@@ -433,7 +463,8 @@ def looked_up(docs: DataFrame, benchmark: DataFrame, id_: F.Column, text_col: st
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, run: int = RUN, small: int = SMALL) -> DataFrame:
     """Per row of docs: doc_id, contaminated, item_id (of the greatest similarity, or null), similarity, run_words (the longest
-    run of any item), refilled, run_item_id (the item of that run, or null)."""
+    run of any item), refilled, run_item_id (the item of that run, or null). Items of which the text holds too little to be
+    contaminated need not be looked at: a clean text may have 0 and nulls there."""
     rows, found, _ = looked_up(docs, benchmark, F.col(id_col), text_col, item_col, item_text_col, similarity, run, small)
     found = found.withColumnRenamed("digest", "_digest")
     judged = rows.where("digest is not null").join(found, F.col("digest") == F.col("_digest"), "left")
