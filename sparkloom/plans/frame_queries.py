@@ -204,7 +204,7 @@ BUILDERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "salted_sum": (salted_sum, "select l_returnflag, cast(sum(l_orderkey) as bigint) as sum, count(l_orderkey) as count from lineitem group by 1"),
     **{f"join_{k}": (strategy(k), "select c_mktsegment, count(*) as n from orders join customer on o_custkey = c_custkey group by 1") for k in ("broadcast", "hash", "merge")},
     **{f"join_{how}_{k}": (typed(how, k), typed_sql(how)) for how in ("inner", "left", "right", "full", "semi", "anti", "existence") for k in ("broadcast", "hash", "merge") if (how, k) != ("full", "broadcast")},
-    "exchange_computed_keys": (computed_keys, "select o_custkey % 97 as k, count(*) as n, 1 as parts from orders group by 1"),
+    "exchange_computed_keys": (computed_keys, "select o_custkey % 97 as k, count(*) as n, cast(1 as bigint) as parts from orders group by 1"),
     "sample_hash": (hash_sampled, "select l_orderkey, l_linenumber from lineitem where substr(md5(l_orderkey || '|' || l_linenumber), 1, 4) < '199a'"),
     "window_whole": (window_whole, "select p_partkey, max(p_retailprice) over (partition by p_brand) as hi, count(*) over (partition by p_brand) as n from part"),
     "agg_percentile": (percentile, "select o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(median(o_totalprice), 4) as m, (select p from (select o_orderpriority p, count(*) c from orders o2 where o2.o_orderstatus = orders.o_orderstatus group by 1) order by c desc, p desc limit 1) as mo from orders group by o_orderstatus"),
