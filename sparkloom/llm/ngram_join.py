@@ -312,3 +312,19 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     found = ngram_join(docs, n, percent, id_col, text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(checkpointed(gone), docs[id_col] == F.col("__gone_id"), "left_anti")
+
+
+#: The registered query (n = 4, percent = 85) by counting the shingles that each pair shares.
+ORACLE = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+sh as (
+    select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+        else list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]) end) as g from w),
+sz as (select doc_id, count(*) as n from sh group by 1),
+both_ as (select a.doc_id as x, b.doc_id as y, count(*) as k from sh a join sh b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from both_ join sz p on p.doc_id = x join sz q on q.doc_id = y where 100 * k >= 85 * (p.n + q.n - k)),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, e.y from reach r join e on e.x = r.y)
+select d.doc_id, coalesce(n, 0) as n_shingles, (select min(y) from reach r where r.x = d.doc_id) as component_id, (select count(*) from e where e.x = d.doc_id) as n_links
+from documents d left join sz on sz.doc_id = d.doc_id
+"""

@@ -454,3 +454,28 @@ def _ties_of_hot(stretches: DataFrame, depth: int, near: int, parts: int) -> Dat
 
     bin_ = F.pmod(F.xxhash64("digest"), F.lit(parts))
     return one.where("times = 1 and near").withColumn("_bin", bin_).groupBy("_bin").applyInArrow(pack, "digest binary, deep binary, near binary")
+
+
+#: The registered query (depth = 400, report = 300) by counting every string.
+ORACLE = r"""
+with t as (select doc_id, encode(coalesce(text, '')) as b from documents),
+pos as (select doc_id, unnest(range(1, octet_length(b) - 298)) as i from t),
+h as (select a.doc_id, i, md5(array_slice(b, i, i + 299)) as near, case when i + 399 <= octet_length(b) then md5(array_slice(b, i, i + 399)) end as deep from pos a join t using (doc_id)),
+deep as (select doc_id, i from h where deep in (select deep from h where deep is not null group by 1 having count(*) > 1)),
+near as (select doc_id, i from h where near in (select near from h group by 1 having count(*) > 1)),
+runs as (
+    select kind, doc_id, s, min(i) as a, max(i) + max(size) - 1 as z from (
+        select *, sum(new) over (partition by kind, doc_id order by i rows unbounded preceding) as s from (
+            select *, case when i <= lag(i) over (partition by kind, doc_id order by i) + size then 0 else 1 end as new from (
+                select 'deep' as kind, doc_id, i, 400 as size from deep union all select 'near', doc_id, i, 300 from near) u) v) w
+    group by kind, doc_id, s),
+gone as (select doc_id, count(*) as n_spans, sum(z - a + 1) as n_removed from runs where kind = 'deep' group by 1),
+again as (select doc_id, sum(z - a + 1) as n_repeated from runs where kind = 'near' group by 1),
+rest as (
+    select doc_id, string_agg(hex(array_slice(b, a, z)), '' order by a) as kept from (
+        select r.doc_id, r.z + 1 as a, coalesce(lead(r.a) over (partition by r.doc_id order by r.a) - 1, octet_length(b)) as z, b from runs r join t using (doc_id) where kind = 'deep'
+        union all select doc_id, 1, coalesce((select min(r.a) - 1 from runs r where r.kind = 'deep' and r.doc_id = t.doc_id), octet_length(b)), b from t) p
+    where z >= a group by 1)
+select t.doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256, coalesce(n_repeated, 0)::bigint as n_repeated
+from t left join gone using (doc_id) left join again using (doc_id) left join rest using (doc_id)
+"""

@@ -146,6 +146,19 @@ def test_every_operator_is_registered():
     assert set(queries.queries()) == {q for q in found if q.startswith("op")}
 
 
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_suffix_dedup", "op5_ngram_join"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    df = queries.queries()[name](spark, sf)
+    with duckdb.connect() as c:
+        c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+        want = c.sql(queries.oracle_sql()[name])
+        assert sorted(df.columns) == sorted(want.columns)
+        assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_prefixes_of_texts_with_added_tokens():
     """Counts at every prefix as the library has them; cuts at the limit only."""
     ours, theirs = token_count.loaded(BYTES), Tokenizer.from_file(BYTES)
