@@ -158,7 +158,8 @@ class Canonical:
         return out
 
 
-Hits = list[tuple[int, int, int, bytes, bytes]]  # reading, place in the text, place in the item, values in the slots of either
+#: Reading, place in the text, place in the item, values in the slots of either, and the readings (as bits) that have a window of the item there.
+Hits = list[tuple[int, int, int, bytes, bytes, int]]
 
 
 def candidates(c: Canonical, kind: int, ordinary: bool = False):
@@ -204,21 +205,34 @@ def longest(found: set[tuple[int, int]], n_words: int) -> int:
     return min(most + WINDOW - 1, n_words) if most else 0
 
 
-def judge(found: Hits, starts: list[np.ndarray], n_words: int) -> tuple[float, bool, int]:
-    """For one text and one item, whose windows of each reading start at `starts`: similarity, whether slots were re-filled, longest run."""
-    share = lambda kind, words: float(np.isin(starts[kind], words).mean()) if len(starts[kind]) else 0.0
-    plain = {(p, q) for kind, p, q, _, _ in found if kind == PLAIN}
-    near = (share(PLAIN, np.unique([q for _, q in plain])) if plain else 0.0, False)
+def judge(found: Hits, n: tuple[int, int, int], n_words: int) -> tuple[float, bool, int]:
+    """For one text and one item, which has n windows of each reading: similarity, whether slots were re-filled, longest run."""
+    plain = {(p, q) for kind, p, q, *_ in found if kind == PLAIN}
+    near = (len({q for _, q in plain}) / n[PLAIN] if plain else 0.0, False)
     run = longest(plain, n_words)
-    filled_ = [(p, q, filled(mine, yours)) for kind, p, q, mine, yours in found if kind != PLAIN]
-    if filled_:
-        good, refilled = consistent(filled_)
-        most = max(share(kind, good) for kind in TEMPLATES)
+    template = [hit for hit in found if hit[0] != PLAIN]
+    if template:
+        good, refilled = consistent([(p, q, filled(mine, yours)) for _, p, q, mine, yours, _ in template])
+        there = {q: has for _, _, q, _, _, has in template}
+        most = max(sum(there[q] >> kind & 1 for q in good.tolist()) / n[kind] if n[kind] else 0.0 for kind in TEMPLATES)
         if most > near[0]:
             near = (most, refilled)
     return (*near, run)
 
 
+def item_windows(c: Canonical):
+    """The windows of items: (item, reading, hash, first word's place among all words, slots, readings that have one there)."""
+    found, has = [], defaultdict(int)
+    for kind in range(3):
+        at, row, x = candidates(c, kind, True)
+        for k, r, h in zip(at.tolist(), row.tolist(), x.view(np.int64).tolist()):
+            q = int(c.readings[kind].lead[k])
+            found.append((r, kind, h, q, slots(c, kind, k, True)))
+            has[q] |= 1 << kind
+    for r, kind, h, q, mine in found:
+        yield r, kind, h, q, mine, has[q]
+
+
 def consistent(found: list[tuple[int, int, frozenset]]) -> tuple[np.ndarray, bool]:
     """The item's windows (their first words) under the best re-filling that the text holds, and whether it differs
     from the item. found: (first word in the text, first word in the item, pairs of slot values).
@@ -283,14 +297,10 @@ class Bench:
     def __init__(self, ids: list, texts: list[str]):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
         self.ids, c = ids, Canonical(data, offsets)
-        self.table, self.starts, self.n_words = defaultdict(list), [[np.zeros(0, np.int64)] * 3 for _ in ids], np.diff(c.rows)
-        for kind in range(3):
-            at, row, x = candidates(c, kind, True)
-            lead = c.readings[kind].lead
-            for k, r, h in zip(at.tolist(), row.tolist(), x.tolist()):
-                self.table[kind, h].append((r, int(lead[k]), slots(c, kind, k, True)))
-            for r in np.unique(row).tolist():
-                self.starts[r][kind] = np.sort(lead[at[row == r]])
+        self.table, self.n, self.n_words = defaultdict(list), np.zeros((len(ids), 3), np.int64), np.diff(c.rows)
+        for r, kind, h, q, mine, has in item_windows(c):
+            self.table[kind, h].append((r, q, mine, has))
+            self.n[r, kind] += 1
 
 
 def examine(bench: Bench, text: pa.Array | pa.ChunkedArray, similarity: float = SIMILARITY, run: int = RUN) -> list[tuple | None]:
@@ -302,42 +312,38 @@ def examine(bench: Bench, text: pa.Array | pa.ChunkedArray, similarity: float =
         c, pairs = Canonical(data, offsets), defaultdict(list)
         for kind in range(3):
             at, _, x = candidates(c, kind)
-            for k, h in zip(at.tolist(), x.tolist()):
-                for item, q, mine in bench.table.get((kind, h), ()):
-                    pairs[item].append((kind, int(c.readings[kind].lead[k]), q, mine, slots(c, kind, k, False)))
+            for k, h in zip(at.tolist(), x.view(np.int64).tolist()):
+                for item, q, mine, has in bench.table.get((kind, h), ()):
+                    pairs[item].append((kind, int(c.readings[kind].lead[k]), q, mine, slots(c, kind, k, False), has))
         near, far = (0.0, 0, False), (0, 0)
         for item in sorted(pairs):
-            share, refilled, words = judge(pairs[item], bench.starts[item], int(bench.n_words[item]))
+            share, refilled, words = judge(pairs[item], tuple(bench.n[item].tolist()), int(bench.n_words[item]))
             near, far = max(near, (share, -item, refilled), key=lambda x: x[:2]), max(far, (words, -item))
         out.append((-near[1] if near[0] else None, near[0], far[0], near[2], near[0] >= similarity or far[0] >= run, -far[1] if far[0] else None) if near[0] or far[0] else None)
     return out
 
 
 def benchmark_tables(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The items (item, item_id, n_words, starts of windows) and their windows (kind, hash, item, q, mine), both written once.
-    item numbers the items in order of id and text."""
+    """The items (item, item_id, n_words, windows of each reading) and their windows (kind, hash, item, q, mine, has), both written
+    once. item numbers the items in order of id and text."""
     texts = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
     texts = checkpointed(texts.orderBy("item_id", "text").withColumn("item", F.monotonically_increasing_id()))
-    window = pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("q", pa.int32()), ("mine", pa.binary())])
+    window = pa.struct([("kind", pa.int32()), ("hash", pa.int64()), ("q", pa.int32()), ("mine", pa.binary()), ("has", pa.int32())])
 
     def run(batches):
         for batch in batches:
             for first, last in pieces(text_bytes(batch.column(1))[1], 500_000):
                 part = batch.slice(first, last - first)
                 c = Canonical(*text_bytes(part.column(1)))
-                found, starts = [[] for _ in range(len(part))], [[b""] * 3 for _ in range(len(part))]
-                for kind in range(3):
-                    at, row, x = candidates(c, kind, True)
-                    base, lead = c.rows[row], c.readings[kind].lead
-                    for k, r, h, b in zip(at.tolist(), row.tolist(), x.view(np.int64).tolist(), base.tolist()):
-                        found[r].append({"kind": kind, "hash": h, "q": int(lead[k]) - b, "mine": slots(c, kind, k, True)})
-                    for r in np.unique(row).tolist():
-                        starts[r][kind] = np.sort(lead[at[row == r]] - c.rows[r]).astype(np.int32).tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(c.rows), pa.int32()), pa.array(starts, pa.list_(pa.binary())), pa.array(found, pa.list_(window))], ["item", "n_words", "starts", "windows"])
+                found, n = [[] for _ in range(len(part))], np.zeros((len(part), 3), np.int64)
+                for r, kind, h, q, mine, has in item_windows(c):
+                    found[r].append({"kind": kind, "hash": h, "q": q - int(c.rows[r]), "mine": mine, "has": has})
+                    n[r, kind] += 1
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(c.rows), pa.int32()), *(pa.array(n[:, k], pa.int32()) for k in range(3)), pa.array(found, pa.list_(window))], ["item", "n_words", "n0", "n1", "n2", "windows"])
 
-    made = checkpointed(texts.select("item", "text").mapInArrow(run, "item long, n_words int, starts array<binary>, windows array<struct<kind: int, hash: bigint, q: int, mine: binary>>"))
-    items = texts.select("item", "item_id").join(made.select("item", "n_words", "starts"), "item")
-    return items, checkpointed(made.select("item", F.explode("windows").alias("w")).select("w.kind", "w.hash", "item", "w.q", "w.mine"))
+    made = checkpointed(texts.select("item", "text").mapInArrow(run, "item long, n_words int, n0 int, n1 int, n2 int, windows array<struct<kind: int, hash: bigint, q: int, mine: binary, has: int>>"))
+    items = texts.select("item", "item_id").join(made.drop("windows"), "item")
+    return items, checkpointed(made.select("item", F.explode("windows").alias("w")).select("w.kind", "w.hash", "item", "w.q", "w.mine", "w.has"))
 
 
 def keyed(windows: DataFrame, similarity: float, run: int) -> DataFrame:
@@ -403,22 +409,22 @@ def verdicts(found: DataFrame, items: DataFrame, windows: DataFrame, n: int, sim
     hits = checkpointed(found.dropDuplicates(["digest"]).select("digest", F.explode("hits").alias("h")).select("digest", "h.kind", "h.hash", "h.p", "h.yours"))
     # First the pairs of a text and an item that may be one, by the item's rarest windows; then all windows of these pairs.
     pairs = hits.select("digest", "kind", "hash").join(sized(windows.where("key").select("kind", "hash", "item")), ["kind", "hash"]).select("digest", "item").distinct()
-    hits = checkpointed(pairs).join(hits, "digest").join(sized(windows.drop("key")), ["item", "kind", "hash"]).select("digest", "item", "kind", "p", "q", "mine", "yours")
+    hits = checkpointed(pairs).join(hits, "digest").join(sized(windows.drop("key")), ["item", "kind", "hash"]).select("digest", "item", "kind", "p", "q", "mine", "yours", "has")
     hits = checkpointed(hits)
-    bins = max(8, hits.count() // 50_000)
+    bins = max(8, hits.count() // 20_000)
 
     def settle(table: pa.Table) -> pa.Table:
         pairs, about = defaultdict(list), {}
-        for r in table.to_pylist():
-            pairs[r["digest"], r["item"]].append((r["kind"], r["p"], r["q"], r["mine"], r["yours"]))
-            about[r["item"]] = (r["starts"], r["n_words"])
-        out = []
-        for (digest, item), hit in pairs.items():
-            starts, n_words = about[item]
-            out.append((digest, item, *judge(hit, [np.frombuffer(x, np.int32) for x in starts], n_words)))
+        columns = [table.column(c).to_pylist() for c in ("digest", "item", "kind", "p", "q", "mine", "yours", "has")]
+        for digest, item, *hit in zip(*columns):
+            pairs[digest, item].append(hit)
+        items_, first = np.unique(table.column("item").to_numpy(), return_index=True)
+        for item, n_words, *n in zip(items_.tolist(), *(table.column(c).to_numpy()[first].tolist() for c in ("n_words", "n0", "n1", "n2"))):
+            about[item] = (tuple(n), n_words)
+        out = [(digest, item, *judge(hit, *about[item])) for (digest, item), hit in pairs.items()]
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_JUDGED)], schema=_JUDGED)
 
-    about = items.select("item", "n_words", "starts")
+    about = items.drop("item_id")
     hits = hits.join(sized(about), "item").withColumn("bin", F.pmod(F.xxhash64("digest", "item"), F.lit(bins)))
     judged = hits.groupBy("bin").applyInArrow(settle, "digest binary, item long, similarity double, refilled boolean, run_words int")
     near = F.max_by(F.struct("similarity", "refilled", F.col("item").alias("near_item")), F.struct("similarity", -F.col("item"))).alias("near")
