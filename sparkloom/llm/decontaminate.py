@@ -451,15 +451,22 @@ def looked_up(docs: DataFrame, benchmark: DataFrame, id_: F.Column, text_col: st
 
     def look(batches):
         for batch in batches:
-            digests, hits = [None] * len(batch), [None] * len(batch)
-            for first, _, c, found in suspects(batch.column(1), *sent.value):
-                for kind, at, row, x in found:
-                    lead = c.readings[kind].lead
-                    for k, r, h in zip(at.tolist(), row.tolist(), x.tolist()):
-                        if digests[first + r] is None:
-                            digests[first + r], hits[first + r] = digest_of(batch.column(1)[first + r].as_py()), []
-                        hits[first + r].append({"kind": kind, "hash": h, "p": int(lead[k] - c.rows[r]), "yours": slots(c, kind, k, False)})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(hits, pa.list_(_HIT))], ["doc_id", "digest", "hits"])
+            for first, last, c, found in suspects(batch.column(1), *sent.value):
+                part = batch.slice(first, last - first)
+                kind, row, x, p = ([] for _ in range(4))
+                yours = []
+                for k, at, rows_, hashes in found:
+                    kind.append(np.full(len(at), k, np.int32))
+                    row.append(rows_)
+                    x.append(hashes)
+                    p.append((c.readings[k].lead[at] - c.rows[rows_]).astype(np.int32))
+                    yours += [slots(c, k, j, False) for j in at.tolist()]
+                kind, row, x, p = map(np.concatenate, (kind, row, x, p))
+                order = np.argsort(row, kind="stable")
+                ends = np.searchsorted(row[order], np.arange(last - first + 1)).astype(np.int32)
+                hits = pa.StructArray.from_arrays([pa.array(kind[order]), pa.array(x[order]), pa.array(p[order]), pa.array([yours[j] for j in order.tolist()], pa.binary())], fields=list(_HIT))
+                digests = [digest_of(t.as_py()) if more else None for t, more in zip(part.column(1), np.diff(ends).tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), hits)], ["doc_id", "digest", "hits"])
 
     rows = docs.select(id_.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = checkpointed(rows.mapInArrow(look, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, hits array<struct<kind: int, hash: bigint, p: int, yours: binary>>"))
