@@ -33,7 +33,9 @@ from .components import connected
 
 WORDS, PERCENT, BLOCK_ROWS, SLICE, FEW = 4, 85, 1024, 2048, 12
 #: Most entries of a task's table of columns while rows are chained; it is emptied when full.
-HEADS = 200_000
+HEADS = 50_000
+#: Rows whose prefix columns are held at once.
+ROWS = 500
 #: A class of copies is large if it has over 1 / LARGE of all rows.
 LARGE = 10_000
 
@@ -252,11 +254,18 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
     columns = placed.where("gridded").select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "comp", "b").join(reps.select("id", "digest", "n", "shared"), (F.col("id") == F.col("_id")) & (F.col("digest") == F.col("_digest")))
 
     def columns_of(batches):
+        """The distinct (component, block, prefix column) of some rows at a time."""
         for batch in batches:
-            seen = set()
-            for (_, _, grams), comp, block in zip(prefixes([batch]), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                seen.update((comp, block, g) for g in grams.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], id_arrow), pa.array([x[1] for x in seen], pa.int32()), pa.array([x[2] for x in seen], pa.int64())], ["comp", "b", "gram"])
+            for first in range(0, len(batch), ROWS):
+                part = batch.slice(first, ROWS)
+                number: dict = {}
+                cells = [number.setdefault(c, len(number)) for c in zip(part.column(3).to_pylist(), part.column(4).to_pylist())]
+                grams = [g for _, _, g in prefixes([part])]
+                pairs = np.unique(np.stack([np.repeat(cells, [len(g) for g in grams]), np.concatenate(grams)], 1), axis=0)
+                names = list(number)
+                comp, block = (pa.array([c[k] for c in names], kind) for k, kind in ((0, id_arrow), (1, pa.int32())))
+                at = pa.array(pairs[:, 0])
+                yield pa.RecordBatch.from_arrays([comp.take(at), block.take(at), pa.array(pairs[:, 1])], ["comp", "b", "gram"])
 
     held = columns.select("id", "n", "shared", "comp", "b").mapInArrow(columns_of, f"comp {id_sql}, b int, gram long").distinct()
     held = checkpointed(held)
