@@ -15,9 +15,10 @@ are drawn at once, given the totals of the step before. Dishes with more than EX
 conditional for large counts (many_tables()). The prediction is the average of the chains' probabilities.
 
 Data flow. The documents are dealt into blocks and tokenised once, and the tokens written. In each step a block sends distinct keys to buckets and gets
-answers: words (how often each occurs in training, its tables as a dish and as a context), and pairs (customers and tables
-of each, and which block owns a pair, so that sums count it once). Pairs of one customer have one table and are sent once
-only. Keys go as packed sorted arrays; random numbers come from hashes of the keys, so a task that is run again draws the
+answers: words (how often each occurs in training, its tables as a dish and as a context), and pairs (customers, and which
+block owns a pair, so that sums count it once). A block seats the customers of its own pairs itself, sweep by sweep, and keeps
+them in rows of its own, so that only words travel between sweeps; the tables after the last sweep go to all blocks that have
+the pair. Pairs of one customer have one table, which is not sent. Keys go as packed sorted arrays; random numbers come from hashes of the keys, so a task that is run again draws the
 same. Counts cover the whole corpus; pairs are told apart by at least 44 bits of a hash (in a bucket of 1.5 million, 40), so of a
 million pairs about one shares its counts with another; words by at least 60.
 
@@ -40,12 +41,14 @@ from pyspark.sql import functions as F
 from .common import U64, bits_for, blocks, checkpointed, crc_mod, expand, in_rows, keep_memory, mix, sorted_places, squeeze, text_bytes, text_size, width_for, words_of_rows, written_by_block
 from .packed import from_planes, planes, short
 
-DISCOUNT, THETA, ROOT_DISCOUNT, ROOT_THETA, CHAINS, SWEEPS, EXACT = 0.8, 2.0, 0.6, 10.0, 4, 1, 256
+DISCOUNT, THETA, ROOT_DISCOUNT, ROOT_THETA, CHAINS, SWEEPS, EXACT = 0.8, 2.0, 0.6, 10.0, 4, 3, 256
 #: Most customers whose weights are multiplied as they are; beyond, as logarithms.
 PLAIN = 24
 MODULUS, HELD = 10, 0
 END, BEGIN = mix(np.array([0xE0D, 0xB09], np.uint64))
 PAIR_WIDTH = 40
+#: The step of the rows that blocks keep for themselves.
+STATE = -1
 MESSAGE = "bucket int, blk int, keys binary, load binary"
 REPLY = "blk int, stage int, bucket int, code binary, totals array<double>"
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("blk", pa.int32()), ("keys", pa.binary()), ("load", pa.binary())])
@@ -69,7 +72,7 @@ def unpack(raw, n: int, *kinds: str) -> list[np.ndarray]:
 def pack_chains(*arrays: np.ndarray, chains: int = CHAINS) -> bytes:
     """Counts of several chains, groups of `chains` arrays: the first of a group as it is, the others as differences from it."""
     out = []
-    for k in range(0, len(arrays), chains):
+    for k in range(0, len(arrays), chains or 1):
         first = arrays[k].astype(np.int64)
         change = [x.astype(np.int64) - first for x in arrays[k + 1 : k + chains]]
         out += [first.astype(np.uint32), *((d << 1 ^ d >> 63).astype(np.uint32) for d in change)]  # the sign in the low bit
@@ -78,7 +81,7 @@ def pack_chains(*arrays: np.ndarray, chains: int = CHAINS) -> bytes:
 
 def unpack_chains(raw, n: int, groups: int, chains: int = CHAINS) -> list[np.ndarray]:
     got, out = unpack(raw, n, *["u4"] * (groups * chains)), []
-    for k in range(0, len(got), chains):
+    for k in range(0, len(got), chains or 1):
         first = got[k].astype(np.int64)
         change = [x.astype(np.int64) for x in got[k + 1 : k + chains]]
         out += [first, *(first + (x >> 1 ^ -(x & 1)) for x in change)]
@@ -114,6 +117,16 @@ def send(blk: int, keys: np.ndarray, width: int, *load: np.ndarray, coded: Calla
     return pa.table([pa.array(bucket[cut[:-1]] if spans else [], pa.int32()), pa.array([blk] * len(spans), pa.int32()), pa.array([squeeze(planes(keys[a:b], width)) for a, b in spans], pa.binary()), pa.array([squeeze(coded(*(x[a:b] for x in load))) for a, b in spans], pa.binary())], schema=_MESSAGE)
 
 
+def answer(side: pa.Table, stage: int, width: int, keys: np.ndarray, decode: Callable) -> list[np.ndarray]:
+    """What the buckets of a step reply for these sorted keys, of which there is at least one."""
+    at = np.flatnonzero((side.column("stage").to_numpy() == stage) & (side.column("bucket").to_numpy() >= 0))
+    mine = side.take(pa.array(at, pa.int64()))
+    bucket, sizes = np.unique((keys >> U64(width)).astype(np.int64), return_counts=True)
+    sizes = dict(zip(bucket.tolist(), sizes.tolist()))
+    got = sorted(zip(mine.column("bucket").to_pylist(), mine.column("code")), key=lambda r: r[0])
+    return [np.concatenate(x) for x in zip(*(decode(expand(code.as_buffer()), sizes[b]) for b, code in got))]
+
+
 def reduce_bucket(table: pa.Table, width: int, stage: int, decode: Callable, work: Callable, coded: Callable = pack) -> pa.Table:
     """work(key number of each entry, distinct keys, loads, entries by key and block) gives answers for each entry, and totals."""
     keep_memory()
@@ -259,6 +272,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         parts = [np.diff(cut).astype(np.uint32), number[code].astype(np.uint32), number[by_word].astype(np.uint32), words[by_word]]
         return pa.table([pa.array([table.column("blk")[0].as_py()], pa.int32()), pa.array([table.column("id").to_pylist()], pa.list_(id_arrow)), pa.array([list(map(len, parts))], pa.list_(pa.int64())), pa.array([[squeeze(pack(x)) for x in parts]], pa.list_(pa.binary()))], names=["blk", "ids", "sizes", "parts"])
 
+    def parent_seats(side: pa.Table, sweep: int, words: np.ndarray) -> list[np.ndarray]:
+        """After a sweep, of words that occur more than once, in each chain: customers and tables in the parent, tables as a context."""
+        got = answer(side, 2 + 2 * sweep, word_width, words, chained(3))
+        return [np.stack(got[k : k + chains]) for k in range(0, 3 * chains, chains)]
+
+    def predicted(sweep: int, customers: np.ndarray, t: np.ndarray, base: np.ndarray | float) -> np.ndarray:
+        """The parent's prediction after a sweep, in each chain."""
+        totals, once = np.array(sums[2 + 2 * sweep]), sums[0][2]
+        root_c, root_t = totals[:chains, None] + once, totals[chains:, None] + once
+        return (customers - ROOT_DISCOUNT * t + (ROOT_THETA + ROOT_DISCOUNT * root_t) * base) / (ROOT_THETA + root_c)
+
     class Block:
         """Tokens of a block, its distinct words and pairs, and how often training rows have each."""
 
@@ -301,46 +325,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
             self.pair_times = np.bincount(self.pair[self.train], minlength=len(key)).astype(np.uint32)
             return self
 
-        def answer(self, side: pa.Table, stage: int, bits: int, width: int, keys: np.ndarray, decode: Callable) -> list[np.ndarray]:
-            at = np.flatnonzero((side.column("stage").to_numpy() == stage) & (side.column("bucket").to_numpy() >= 0))
-            mine = side.take(pa.array(at, pa.int64()))
-            bucket, sizes = np.unique((keys >> U64(width)).astype(np.int64), return_counts=True)
-            sizes = dict(zip(bucket.tolist(), sizes.tolist()))
-            got = sorted(zip(mine.column("bucket").to_pylist(), mine.column("code")), key=lambda r: r[0])
-            return [np.concatenate(x) for x in zip(*(decode(expand(code.as_buffer()), sizes[b]) for b, code in got))]
-
         def counts(self, side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             """Training count of each word, and of each word as a context."""
-            (c,) = self.answer(side, 0, word_bits, word_width, self.words, lambda raw, n: unpack(raw, n, "u4"))
+            (c,) = answer(side, 0, word_width, self.words, lambda raw, n: unpack(raw, n, "u4"))
             c = c.astype(np.float64)
             as_context = c.copy()
             as_context[self.begin], as_context[self.end] = c[self.end], 0
             return c, as_context
 
-        def seats(self, side: pa.Table, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Of each pair: customers, whether this block owns it, and its tables in each chain, after a sweep."""
-            c, mine, *t = self.answer(side, 1, pair_bits, PAIR_WIDTH, self.pairs, lambda raw, n: unpack_seats(raw, n, chains))
-            t = np.stack(t)
-            for s in range(1, sweep + 1):
-                many = np.flatnonzero(c > 1)
-                if s == sweep and len(many):
-                    t[:, many] = self.answer(side, 1 + 2 * s, pair_bits, PAIR_WIDTH, self.pairs[many], chained(1))
-            return c.astype(np.int64), np.where(c == 1, self.pair_times > 0, mine > 0), t.astype(np.int64)
+        def customers(self, side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            """Of each pair: customers, and whether this block owns it."""
+            c, mine = answer(side, 1, PAIR_WIDTH, self.pairs, lambda raw, n: unpack_seats(raw, n, 0))
+            return c.astype(np.int64), np.where(c == 1, self.pair_times > 0, mine > 0)
+
+        def seats(self, side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            """Of each pair: customers, and its tables in each chain after the last sweep."""
+            c, _ = self.customers(side)
+            t, many = np.tile(np.minimum(c, 1), (chains, 1)), np.flatnonzero(c > 1)
+            if len(many):
+                t[:, many] = answer(side, 3, PAIR_WIDTH, self.pairs[many], chained(1))
+            return c, t
 
         def parent(self, side: pa.Table, sweep: int, c: np.ndarray, as_context: np.ndarray, v: float) -> tuple[np.ndarray, np.ndarray]:
             """After a sweep, for each chain: the parent's prediction of each word, and the tables of each context."""
-            stage, several = 2 + 2 * sweep, np.flatnonzero(np.maximum(c, as_context) > 1)
+            several = np.flatnonzero(np.maximum(c, as_context) > 1)
             # A word that occurs once is one customer at one table, and so is the word after it.
             customers, t, context = (np.tile((x == 1).astype(np.int64), (chains, 1)) for x in (c, c, as_context))
             if len(several):
-                got = self.answer(side, stage, word_bits, word_width, self.words[several], chained(3))
-                customers[:, several], t[:, several], context[:, several] = (np.stack(got[k : k + chains]) for k in range(0, 3 * chains, chains))
-            own = customers - ROOT_DISCOUNT * t
-            totals = np.array(sums[stage])
-            base = np.where(c > 0, 0.5 / max(v, 1), 0.5) if v else np.ones(len(c))
-            once = sums[0][2]
-            root_c, root_t = totals[:chains, None] + once, totals[chains:, None] + once
-            return (own + (ROOT_THETA + ROOT_DISCOUNT * root_t) * base) / (ROOT_THETA + root_c), context
+                customers[:, several], t[:, several], context[:, several] = parent_seats(side, sweep, self.words[several])
+            return predicted(sweep, customers, t, np.where(c > 0, 0.5 / max(v, 1), 0.5) if v else np.ones(len(c))), context
 
     def send_words(table: pa.Table) -> pa.Table:
         b = Block(table)
@@ -359,39 +372,81 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         owner[there[head]] = 1
         return owner
 
-    def send_pairs(table: pa.Table, side: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _MESSAGE.empty_table()
+    def send_pairs(table: pa.Table) -> pa.Table:
         b = Block(table).add_pairs()
-        c, as_context = b.counts(side)
-        n = max(sums[0][0], 1)
-        # The start: a new table's weight as if half a context's customers had tables of their own, against word shares.
-        weight = (THETA + DISCOUNT * 0.5 * as_context[b.pair_context]) * c[b.pair_word] / n
-        log_weight = np.clip(np.round(2 * np.log2(np.maximum(weight, 1e-9))) + 128, 0, 255).astype(np.uint8)
-        return send(b.blk, b.pairs, PAIR_WIDTH, b.pair_times, log_weight)
+        return send(b.blk, b.pairs, PAIR_WIDTH, b.pair_times)
 
-    def start_pairs(inverse, distinct, loads, order):
+    def count_pairs(inverse, distinct, loads, order):
         total = np.bincount(inverse, loads[0].astype(np.float64)).astype(np.int64)
-        weight = np.zeros(len(distinct))
-        weight[inverse] = 2.0 ** ((loads[1].astype(np.float64) - 128) / 2)
-        small = np.full(len(distinct), 1e-9)
-        t = [tables(total, weight / small, small, DISCOUNT, mix(distinct + U64(chain))) for chain in range(chains)]
-        return [total[inverse].astype(np.uint32), owners(inverse, loads[0], order), *(x[inverse].astype(np.uint32) for x in t)], [total.sum(), *(x.sum() for x in t)]
+        return [total[inverse].astype(np.uint32), owners(inverse, loads[0], order)], [total.sum()]
+
+    def state_of(blk: int, *parts: np.ndarray) -> pa.Table:
+        """What a block keeps from sweep to sweep, a row for each part: its words that occur more than once, the tables of its
+        pairs of one customer by word and by context, and of its own pairs of several customers the keys, contexts, words,
+        customers, and the tables in each chain."""
+        k = len(parts)
+        return pa.table([pa.array([blk] * k, pa.int32()), pa.array([STATE] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([squeeze(pack(x)) for x in parts], pa.binary()), pa.array([[float(len(x))] for x in parts], pa.list_(pa.float64()))], schema=_REPLY)
+
+    def state_parts(table: pa.Table) -> list[np.ndarray]:
+        rows = (r for r in table.to_pylist() if r["stage"] == STATE)
+        parts = [unpack(expand(r["code"]), int(r["totals"][0]), "u8" if r["bucket"] in (0, 3) else "u4")[0] for r in sorted(rows, key=lambda r: r["bucket"])]
+        return [x if x.dtype == np.uint64 else x.astype(np.int64) for x in parts]
+
+    def start(table: pa.Table, side: pa.Table) -> pa.Table:
+        """A new table weighs as if half a context's customers had tables of their own, against word shares."""
+        if not table.num_rows:
+            return _REPLY.empty_table()
+        b = Block(table).add_pairs()
+        c, as_context = b.counts(side)
+        customers, mine = b.customers(side)
+        several = np.flatnonzero(np.maximum(c, as_context) > 1)
+        place = np.zeros(len(c), np.int64)
+        place[several] = np.arange(len(several))
+        single, own = np.flatnonzero(mine & (customers == 1)), np.flatnonzero(mine & (customers > 1))
+        once = [np.bincount(key[single], minlength=len(c))[several].astype(np.uint32) for key in (b.pair_word, b.pair_context)]
+        context, word, customers = b.pair_context[own], b.pair_word[own], customers[own]
+        weight, small = (THETA + DISCOUNT * 0.5 * as_context[context]) * c[word] / max(sums[0][0], 1), np.full(len(own), 1e-9)
+        t = [tables(customers, weight / small, small, DISCOUNT, mix(b.pairs[own] + U64(chain))) for chain in range(chains)]
+        return state_of(b.blk, b.words[several], *once, b.pairs[own], *(x.astype(np.uint32) for x in (place[context], place[word], customers, *t)))
+
+    def seat_pairs(sweep: int, v: float) -> Callable:
+        """A block seats the customers of its own pairs again, in each chain, given the parent after the sweep before."""
 
-    def send_tables(sweep: int) -> Callable:
         def run(table: pa.Table, side: pa.Table) -> pa.Table:
             if not table.num_rows:
-                return _MESSAGE.empty_table()
-            b = Block(table).add_pairs()
-            c, as_context = b.counts(side)
-            _, mine, t = b.seats(side, sweep)
-            t = np.where(mine, t, 0)
-            several = np.flatnonzero(np.maximum(c, as_context) > 1)
-            by = lambda key: [np.bincount(key, x, minlength=len(b.words))[several] for x in t]
-            return send(b.blk, b.words[several], word_width, *by(b.pair_word), *by(b.pair_context), coded=in_chains)
+                return _REPLY.empty_table()
+            keep_memory()
+            words, by_word, by_context, keys, context, word, customers, *t = state_parts(table)
+            if len(keys):
+                root, root_t, tables_of = parent_seats(side, sweep - 1, words)
+                p = predicted(sweep - 1, root, root_t, 0.5 / max(v, 1))
+                for k in range(chains):
+                    x = THETA + DISCOUNT * (tables_of[k][context] - t[k])
+                    t[k] = tables(customers, x, p[k][word], DISCOUNT, mix(keys + U64(131 * sweep + k)))
+            return state_of(table.column("blk")[0].as_py(), words, *(x.astype(np.uint32) for x in (by_word, by_context)), keys, *(x.astype(np.uint32) for x in (context, word, customers, *t)))
 
         return run
 
+    def send_tables(table: pa.Table) -> pa.Table:
+        words, by_word, by_context, _, context, word, _, *t = state_parts(table)
+        sent = [np.bincount(key, x, len(words)).astype(np.int64) + once for key, once in ((word, by_word), (context, by_context)) for x in t]
+        return send(table.column("blk")[0].as_py(), words, word_width, *sent, coded=in_chains)
+
+    def send_seats(table: pa.Table, side: pa.Table) -> pa.Table:
+        """The tables of pairs of several customers after the last sweep, from their owners; 0 from other blocks."""
+        if not table.num_rows:
+            return _MESSAGE.empty_table()
+        b = Block(table).add_pairs()
+        customers, mine = b.customers(side)
+        many = np.flatnonzero(customers > 1)
+        t = np.zeros((chains, len(many)), np.int64)
+        t[:, mine[many]] = np.stack(state_parts(side)[7:])
+        return send(b.blk, b.pairs[many], PAIR_WIDTH, *t, coded=in_chains)
+
+    def hand_out(inverse, distinct, loads, order):
+        t = [np.bincount(inverse, x.astype(np.float64)) for x in loads]
+        return [x[inverse] for x in t], [x.sum() for x in t]
+
     def seat_parent(sweep: int, v: float, before: list[float]) -> Callable:
         """before: the parent's tables in each chain after the sweep before; at the start, one for each word."""
 
@@ -408,44 +463,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
 
         return work
 
-    def send_again(sweep: int) -> Callable:
-        """Of pairs of several customers: for their owner, what a new table weighs now in each chain."""
-
-        def run(table: pa.Table, side: pa.Table) -> pa.Table:
-            if not table.num_rows:
-                return _MESSAGE.empty_table()
-            b = Block(table).add_pairs()
-            c, as_context = b.counts(side)
-            p, context = b.parent(side, sweep - 1, c, as_context, sums[0][1])
-            customers, mine, t = b.seats(side, sweep - 1)
-            many = np.flatnonzero(customers > 1)
-            load = []
-            for chain in range(chains):
-                x = THETA + DISCOUNT * (context[chain][b.pair_context[many]] - t[chain, many])
-                load += [x, p[chain][b.pair_word[many]]]
-            # Logarithms in 1/64 octaves (1.1 %), 0 where another block owns the pair; chains lie close together.
-            coded = [np.where(mine[many], np.clip(np.round(64 * (np.log2(np.maximum(y, 2.0**-40)) + 40)), 1, 65535), 0).astype(np.int64) for y in load]
-            own = np.where(mine[many], customers[many], 0)
-            return send(b.blk, b.pairs[many], PAIR_WIDTH, *[own] * chains, *coded[::2], *coded[1::2], coded=in_chains)
-
-        return run
-
-    def seat_pairs(sweep: int) -> Callable:
-        def work(inverse, distinct, loads, order):
-            own = np.flatnonzero(loads[0] > 0)
-
-            def of(x, kind=np.float64):
-                out = np.ones(len(distinct), kind)
-                out[inverse[own]] = x[own]
-                return out
-
-            value = lambda x: 2.0 ** (of(x) / 64 - 40)
-            total = of(loads[0], np.int64)
-            t = [tables(total, value(loads[chains + k]), value(loads[2 * chains + k]), DISCOUNT, mix(distinct + U64(131 * sweep + k))) for k in range(chains)]
-            return [x[inverse] for x in t], [x.sum() for x in t]
-
-        return work
-
     out_schema = pa.schema([("doc_id", id_arrow), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("known_score", pa.float64()), ("perplexity", pa.float64())] + [("log_p", pa.list_(pa.float64()))] * tokens)
 
     def finish(table: pa.Table, side: pa.Table) -> pa.Table:
@@ -454,7 +471,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         b = Block(table).add_pairs()
         c, as_context = b.counts(side)
         n, v, _ = sums[0][:3]
-        pair_c, _, pair_t = b.seats(side, sweeps)
+        pair_c, pair_t = b.seats(side)
         parent, context_t = b.parent(side, sweeps, c, as_context, v)
         p = np.zeros(len(b.pairs))
         for chain in range(chains):
@@ -487,22 +504,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     def told(*stages: int):
         return functools.reduce(DataFrame.unionByName, (side[k] for k in dict.fromkeys(stages))).groupBy("blk")
 
-    def asked(step: Callable, *stages: int) -> DataFrame:
-        return by_block.cogroup(told(*stages)).applyInArrow(step, MESSAGE)
-
     plain = lambda *kinds: lambda raw, n: unpack(raw, n, *kinds)
     totals = reduced(by_block.applyInArrow(send_words, MESSAGE), word_width, 0, plain("u4"), count_words)
     v, once = totals[1], totals[2]
-    reduced(asked(send_pairs, 0), PAIR_WIDTH, 1, plain("u4", "u1"), start_pairs, pack_seats)
+    reduced(by_block.applyInArrow(send_pairs, MESSAGE), PAIR_WIDTH, 1, plain("u4"), count_pairs, pack_seats)
+    state = written_by_block(by_block.cogroup(told(0, 1)).applyInArrow(start, REPLY), n_bytes)
     root_tables = [v] * chains
     for sweep in range(sweeps + 1):
         if sweep:
-            reduced(asked(send_again(sweep), 0, 1, 2 * sweep - 1, 2 * sweep), PAIR_WIDTH, 1 + 2 * sweep, chained(3), seat_pairs(sweep), in_chains)
-            # What only the sweep before needed can go.
-            side.pop(2 * sweep, None)
-            if sweep > 1:
-                side.pop(2 * sweep - 1, None)
-        totals = reduced(asked(send_tables(sweep), 0, 1, 1 + 2 * sweep), word_width, 2 + 2 * sweep, chained(2), seat_parent(sweep, v, root_tables), in_chains)
+            state = written_by_block(state.groupBy("blk").cogroup(told(2 * sweep)).applyInArrow(seat_pairs(sweep, v), REPLY), n_bytes)
+            del side[2 * sweep]  # what only this sweep needed can go
+        totals = reduced(state.groupBy("blk").applyInArrow(send_tables, MESSAGE), word_width, 2 + 2 * sweep, chained(2), seat_parent(sweep, v, root_tables), in_chains)
         root_tables = [t + once for t in totals[chains:]]
-    last = told(0, 1, 1 + 2 * sweeps, 2 + 2 * sweeps)
+    asking = by_block.cogroup(side[1].unionByName(state).groupBy("blk")).applyInArrow(send_seats, MESSAGE)
+    reduced(asking, PAIR_WIDTH, 3, chained(1), hand_out, in_chains)
+    del state, asking
+    last = told(0, 1, 3, 2 + 2 * sweeps)
     return by_block.cogroup(last).applyInArrow(finish, f"doc_id {id_sql}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_score double, perplexity double" + ", log_p array<double>" * tokens)

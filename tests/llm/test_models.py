@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, language_id, language_model, quality, toxicity
+from sparkloom.llm import decontaminate, language_id, language_model, quality, queries, toxicity
 from sparkloom.llm.common import crc_mod
 
 from .helpers import empty, frame, prose, rows
@@ -368,6 +368,16 @@ def test_predictions_equal_a_sampler_of_single_customers(spark):
     assert len(pairs) >= 6 and (np.abs(ratio - 1) < 0.15).all() and abs(ratio.mean() - 1) < 0.08, ratio
 
 
+def test_query_makes_the_sweeps_that_are_tested(spark, tmp_path):
+    """The registered query samples as long as the run above that is compared with the sampler of single customers."""
+    rows = [(k, prose(k % 40, 30), "en", "s") for k in range(120)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda found: {r["doc_id"]: round(r["score"], 9) for r in found.collect()}
+    got = scores(queries.op6_language_model(spark, str(tmp_path)))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert got == scores(language_model.score(docs, sweeps=3))
+
+
 def test_tables_follow_their_conditional():
     """For small counts, frequencies of t against the weights, summed up; for large ones, the mean by the recursion itself."""
     n = 20000
