@@ -9,7 +9,9 @@ no task holds more as the corpus grows.
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import inspect
 import tempfile
 import time
 
@@ -82,6 +84,48 @@ def keep_memory() -> None:
             pass  # another C library: only slower
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system: a worker that waits for its next task holds only what it still uses."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: only larger
+
+
+def frugal(function):
+    """function, for mapInArrow or applyInArrow, with give_back() when its batches or its group are done. Workers outlive their
+    tasks, and an executor counts them all."""
+    if inspect.isgeneratorfunction(function):
+
+        @functools.wraps(function)
+        def run(batches):
+            try:
+                yield from function(batches)
+            finally:
+                give_back()
+
+        return run
+    # Spark tells functions of groups apart by their arguments.
+    if len(inspect.signature(function).parameters) == 1:
+
+        def run_group(table: pa.Table) -> pa.Table:
+            try:
+                return function(table)
+            finally:
+                give_back()
+
+        return run_group
+
+    def run_both(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(left, right)
+        finally:
+            give_back()
+
+    return run_both
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, with n + 1 offsets. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, frugal
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def forest(edges: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     edges_type = to_arrow_type(edges.schema["a"].dataType)
-    return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
+    return edges.select("a", "b").mapInArrow(frugal(run), edges.select("a", "b").schema)
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, holdout, keep_memory, text_bytes
+from .common import crc_mod, frugal, holdout, keep_memory, text_bytes
 from .labelled import first_by_hash
 
 WINDOW, WIDTHS, FILTERS = 512, (2, 3, 4), 16
@@ -172,7 +172,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             parts = [crop(t.as_buffer().to_pybytes(), h, crops) for t, h in zip(batch.column(0).cast(pa.binary()), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(parts, pa.list_(pa.binary())), batch.column(2)], ["lang", "crops", "h"])
 
-    rows = labelled.join(F.broadcast(chosen), "id", "left_semi").select("text", "lang", F.xxhash64("id").alias("h")).mapInArrow(cut, "lang string, crops array<binary>, h long")
+    rows = labelled.join(F.broadcast(chosen), "id", "left_semi").select("text", "lang", F.xxhash64("id").alias("h")).mapInArrow(frugal(cut), "lang string, crops array<binary>, h long")
     found = sorted((r["h"], r["lang"], [bytes(c) for c in r["crops"]]) for r in rows.toLocalIterator())
     if not found:
         return None
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([ids, out, pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(frugal(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def with_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> DataFrame:
@@ -211,4 +211,4 @@ def with_language(docs: DataFrame, model: ByteCnn | None, text_col: str = "text"
             pred, _ = predict(model, batch.column(at).cast(pa.string()))
             yield batch.filter(pa.array([p != "und" for p in pred], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

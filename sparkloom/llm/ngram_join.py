@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import U64, bits_for, blocks, checkpointed, distinct, keep_memory, let_go, mix, text_bytes, text_size, with_records, words_of_rows
+from .common import U64, bits_for, blocks, checkpointed, distinct, frugal, keep_memory, let_go, mix, text_bytes, text_size, with_records, words_of_rows
 from .components import connected
 
 WORDS, PERCENT, BLOCK_ROWS, SLICE, FEW = 4, 85, 1024, 2048, 12
@@ -180,8 +180,8 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
             shared.append(g[here][np.lexsort((g[here], c[here]))].tobytes())
         return pa.table([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(shared, pa.binary())], schema=row_schema)
 
-    replies = packed.count(dealt.groupBy("blk").applyInArrow(send, packed.MESSAGE))
-    rows = checkpointed(dealt.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(receive, f"id {id_sql}, n long, digest binary, shared binary"))
+    replies = packed.count(dealt.groupBy("blk").applyInArrow(frugal(send), packed.MESSAGE))
+    rows = checkpointed(dealt.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(frugal(receive), f"id {id_sql}, n long, digest binary, shared binary"))
 
     del replies
     let_go(docs.sparkSession)
@@ -226,7 +226,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
 
     # Sizes of rows that link differ by no more than a class: rows of one class, and those of the next, are tied. A task sends a
     # column once, however many of its rows have it, so a column that very many rows share is a row a task.
-    posted = checkpointed(reps.select("id", "n", "shared").mapInArrow(chained, f"gram long, cls int, a {id_sql}, b {id_sql}"))
+    posted = checkpointed(reps.select("id", "n", "shared").mapInArrow(frugal(chained), f"gram long, cls int, a {id_sql}, b {id_sql}"))
     heads = posted.where("gram is not null")
     least = checkpointed(heads.groupBy("gram", "cls").agg(F.min("a").alias("m")))
     to_least = heads.select("gram", "cls", "a").join(least, ["gram", "cls"]).select("a", F.col("m").alias("b"))
@@ -267,7 +267,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
                 at = pa.array(pairs[:, 0])
                 yield pa.RecordBatch.from_arrays([comp.take(at), block.take(at), pa.array(pairs[:, 1])], ["comp", "b", "gram"])
 
-    held = columns.select("id", "n", "shared", "comp", "b").mapInArrow(columns_of, f"comp {id_sql}, b int, gram long").distinct()
+    held = columns.select("id", "n", "shared", "comp", "b").mapInArrow(frugal(columns_of), f"comp {id_sql}, b int, gram long").distinct()
     held = checkpointed(held)
     meet = held.join(held.withColumnRenamed("b", "b2"), ["comp", "gram"]).where("b < b2").select("comp", "b", "b2").distinct()
     meet = meet.unionByName(spans.where("size > 1").select("comp", "b", F.col("b").alias("b2")))
@@ -300,7 +300,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col:
             deg += x[2].tolist()
         return pa.table([pa.array(a, id_arrow), pa.array(b, id_arrow), pa.array(deg, pa.int64())], schema=out_schema)
 
-    linked = checkpointed(filled.groupBy("bin").applyInArrow(multiply, f"a {id_sql}, b {id_sql}, links long"))
+    linked = checkpointed(filled.groupBy("bin").applyInArrow(frugal(multiply), f"a {id_sql}, b {id_sql}, links long"))
     comps = connected(linked.select("a", "b"))
     degree = linked.groupBy("a").agg(F.sum("links").alias("others"))
     # Rows that share an id join the classes of all their texts.

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, keep_memory, sorted_places
+from .common import U64, frugal, keep_memory, sorted_places
 
 MESSAGE = "bucket int, blk int, rest binary, times binary"
 REPLY = "blk int, bucket int, code binary"
@@ -69,7 +69,7 @@ def count_bucket(table: pa.Table, width: int = 32) -> pa.Table:
 
 
 def count(sent: DataFrame, width: int = 32) -> DataFrame:
-    return sent.groupBy("bucket").applyInArrow(lambda table: count_bucket(table, width), REPLY)
+    return sent.groupBy("bucket").applyInArrow(frugal(lambda table: count_bucket(table, width)), REPLY)
 
 
 def answers(replies: pa.Table) -> np.ndarray:

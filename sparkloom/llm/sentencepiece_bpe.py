@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
 from .token_tables import MEMO, PrefixTable
 
 MARK = "▁"
@@ -140,7 +141,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(fields + ["ids array<int>"] * with_ids))
+    return rows.mapInArrow(frugal(run), ", ".join(fields + ["ids array<int>"] * with_ids))
 
 
 def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
@@ -153,6 +154,6 @@ def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
             texts = [model.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 

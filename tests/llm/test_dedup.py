@@ -320,3 +320,40 @@ def test_packed_messages():
         back = np.concatenate([packed.from_planes(x.as_buffer(), width) + (np.uint64(b) << np.uint64(width)) for b, x in zip(sent.column("bucket").to_pylist(), sent.column("rest"))])
         assert (back == keys).all()
     assert packed.coded(np.array([1, 2, 127, 128, 10**6])).tolist() == [0, 2, 127, 128, 231]
+
+
+def test_a_task_gives_its_memory_back():
+    """What a task has freed leaves the process at its end: else workers that wait hold the most that any task took."""
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np
+import pyarrow as pa
+from sparkloom.llm import common
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def work(table):
+    common.keep_memory()
+    kept = [np.ones(100_000) for _ in range(150)]
+    kept[:-1] = []
+    work.last = kept
+    return table
+
+def batches_of(batches):
+    for batch in batches:
+        work(batch)
+        yield batch
+
+work(None)
+plain = held()
+common.frugal(work)(None)
+group = held()
+list(common.frugal(batches_of)([None]))
+print(plain, group, held())
+"""
+    plain, group, batches = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert group < plain - 80 and batches < plain - 80
