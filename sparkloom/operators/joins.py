@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 
 #: Build sides that each join type allows.
 BUILD_SIDES = {"inner": ("right", "left"), "cross": ("right", "left"), "left": ("right", "left"), "right": ("left", "right"), "full": ("right", "left"), "semi": ("right",), "anti": ("right",), "existence": ("right",)}
 HINTS = {"hash": "shuffle_hash", "merge": "merge", "broadcast": "broadcast", "nested": "shuffle_replicate_nl"}
+#: Bytes that a row's entry in a hash table takes beside the row.
+ENTRY = 32
+#: Types whose values lie in the eight bytes of their field, but for decimals.
+FLAT = (T.NumericType, T.BooleanType, T.DatetimeType, T.AnsiIntervalType, T.NullType)
 
 
 KINDS = {"leftouter": "left", "rightouter": "right", "outer": "full", "fullouter": "full", "left_semi": "semi", "left_anti": "anti", "leftsemi": "semi", "leftanti": "anti"}
@@ -20,14 +25,38 @@ def kind_of(how: str) -> str:
     return KINDS.get(plain, plain)
 
 
+def built_bytes(df: DataFrame) -> int:
+    """Bytes of df's rows in a hash table, by a pass that counts them: the optimizer only knows how large their files are, packed."""
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    each = F.lit(ENTRY + 8 + 8 * len(plain.columns)).cast("long")
+    for f in plain.schema:
+        if isinstance(f.dataType, T.DecimalType) or not isinstance(f.dataType, FLAT):
+            each = each + F.coalesce(F.octet_length(F.col(f.name).cast("string")) + 7, F.lit(0))
+    return plain.agg(F.sum(each)).first()[0] or 0
+
+
+def affordable(built: DataFrame, strategy: str | None) -> str | None:
+    """strategy, but merge for broadcast if the side to be built, counted first, is beyond broadcast.maxBytes: the driver and
+    every executor would hold it whole."""
+    if strategy != "broadcast" or built.isStreaming or built_bytes(built) <= config.get(built.sparkSession, "broadcast.maxBytes"):
+        return strategy
+    return "merge"
+
+
 def join(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner", strategy: str | None = None) -> DataFrame:
-    """A join with an optional strategy (hash, merge, broadcast or nested) for the side that the join type lets be built."""
-    if strategy is None:
-        return left.join(right, on, how)
+    """A join with an optional strategy (hash, merge, broadcast or nested) for the side that the join type lets be built. A side
+    that is too large to be broadcast is merged; an outer, semi or anti join without an equality can't be, and Spark broadcasts."""
     kind = kind_of(how)
     if strategy == "broadcast" and kind == "full":
         raise ValueError("no side of a full join can be broadcast")
-    if BUILD_SIDES[kind][0] == "left":
+    return hinted(left, right, on, how, affordable(left if BUILD_SIDES.get(kind, ("right",))[0] == "left" else right, strategy))
+
+
+def hinted(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str, strategy: str | None) -> DataFrame:
+    """join() by a strategy that is known to be affordable."""
+    if strategy is None:
+        return left.join(right, on, how)
+    if BUILD_SIDES[kind_of(how)][0] == "left":
         return left.hint(HINTS[strategy]).join(right, on, how)
     return left.join(right.hint(HINTS[strategy]), on, how)
 
@@ -54,8 +83,9 @@ def with_existence(left: DataFrame, right: DataFrame, left_key: str, right_key:
     if residual is None:
         keys = right.select(F.col(right_key).alias("_k")).where("_k is not null").distinct()
         return join(left, keys, left[left_key] == F.col("_k"), "left", strategy).withColumn(name, F.col("_k").isNotNull()).drop("_k")
-    hits = join(left, right, (left[left_key] == right[right_key]) & residual, "semi", strategy).withColumn(name, F.lit(True))
-    misses = join(left, right, (left[left_key] == right[right_key]) & residual, "anti", strategy).withColumn(name, F.lit(False))
+    strategy = affordable(right, strategy)
+    hits = hinted(left, right, (left[left_key] == right[right_key]) & residual, "semi", strategy).withColumn(name, F.lit(True))
+    misses = hinted(left, right, (left[left_key] == right[right_key]) & residual, "anti", strategy).withColumn(name, F.lit(False))
     return hits.unionByName(misses)
 
 

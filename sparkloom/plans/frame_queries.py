@@ -24,7 +24,7 @@ def salted_sum(spark: SparkSession, d: str) -> DataFrame:
 
 def strategy(how: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        o, c = table(spark, d, "orders"), table(spark, d, "customer")
+        o, c = table(spark, d, "orders").select("o_custkey"), table(spark, d, "customer").select("c_custkey", "c_mktsegment")
         return joins.join(o, c, o["o_custkey"] == c["c_custkey"], "inner", how).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
     return run

@@ -275,6 +275,35 @@ def test_strategies_on_tables_are_in_the_plans(spark):
             assert report.operators(df)[node] == 1, (how, strategy)
 
 
+def test_a_large_build_side_is_not_broadcast(spark):
+    """Beyond broadcast.maxBytes the same rows come by merging; within it, by broadcast."""
+    from sparkloom.plans import catalog
+
+    for how in ("inner", "left", "right", "semi", "anti", "existence"):
+        small = catalog.queries()[f"join_{how}_broadcast"](spark, SF)
+        want = rows(small)
+        assert report.operators(small)["BroadcastHashJoin"] == 1 + (how == "existence")
+        spark.conf.set("sparkloom.broadcast.maxBytes", "1000")
+        try:
+            df = catalog.queries()[f"join_{how}_broadcast"](spark, SF)
+            assert rows(df) == want
+        finally:
+            spark.conf.unset("sparkloom.broadcast.maxBytes")
+        found = report.operators(df)
+        assert (found["BroadcastHashJoin"], found["SortMergeJoin"]) == (0, 1 + (how == "existence")), how
+
+
+def test_built_bytes_counts_rows_and_texts(spark, tmp_path):
+    """By what the rows hold, not by their files: one value 100,000 times packs to almost nothing."""
+    spark.range(100_000).selectExpr("cast(1 as bigint) as k", "repeat('x', 100) as s").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert joins.broadcast_if_small(df, 1_000_000) is not df  # by the optimizer's figure
+    assert 100_000 * (100 + 16) <= joins.built_bytes(df) <= 100_000 * (100 + 64)
+    assert joins.built_bytes(df.limit(0)) == 0
+    odd = spark.createDataFrame([(1, None, [1, 2]), (2, "ab", None)], "`a.b` int, s string, l array<int>")
+    assert joins.built_bytes(odd.crossJoin(odd)) > joins.built_bytes(odd) > 2 * (joins.ENTRY + 8 + 24)
+
+
 def test_percentiles_and_modes(spark):
     import numpy as np
 
