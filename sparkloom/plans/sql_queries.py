@@ -253,7 +253,7 @@ PAIRS: dict[str, tuple[str, str]] = {
         "select p_partkey, upper(p_name) as u, lower(p_type) as l, upper(left(p_type, 1)) || lower(substr(p_type, 2)) as ic, replace(p_name, 'a', 'xy') as r, translate(p_type, 'AEM', 'aeX') as t, lpad(p_brand, 10, '*') as lp, rpad(p_type, 3, '-') as rp, repeat('ab', p_size % 3) as re, reverse(p_type) as rv, concat_ws('-', p_brand, nullif(p_type, 'PROMO')) as cw, left(p_brand, 1) || 'zz' || substr(p_brand, 5) as ov from part",
     ),
     "fn_strings_size": (
-        "select doc_id, length(text) as n, octet_length(text) as b, bit_length(text) as bits, ascii(text) as a, chr(65 + cast(doc_id % 26 as int)) as c, elt(1 + cast(doc_id % 2 as int), lang, source) as e from documents",
+        "select doc_id, length(text) as n, octet_length(text) as b, bit_length(text) as bits, if(text = '', -1, ascii(text)) as a, chr(65 + cast(doc_id % 26 as int)) as c, elt(if(doc_id % 2 = 0, 1, 2), lang, source) as e from documents",
         "select doc_id, cast(length(text) as int) as n, cast(octet_length(encode(text)) as int) as b, cast(8 * octet_length(encode(text)) as int) as bits, cast(unicode(text) as int) as a, chr(65 + cast(doc_id % 26 as int)) as c, case when doc_id % 2 = 0 then lang else source end as e from documents",
     ),
     "fn_hashes": (

@@ -39,6 +39,19 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(shown(r[k]) for k in order) for r in want.fetchall())
 
 
+def test_sizes_of_odd_texts(spark, tmp_path):
+    """fn_strings_size against its SQL: no text, an empty one, characters beyond two bytes, negative keys and none."""
+    texts = ["", None, "\U0001f600x", "e\u0301", "\0ab", "\ufeffb", " ", "\r\n", "\u00e9" * 1000, "\U0010ffff"]
+    docs = [(i, x, "en", "web") for i, x in enumerate(texts)] + [(-1 - i, x, "de", None) for i, x in enumerate(texts)] + [(None, "x", "en", "web"), (2**63 - 1, "x", None, "web"), (-(2**63), "", "fr", "web")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(catalog.oracle_sql()["fn_strings_size"])
+    df = catalog.queries()["fn_strings_size"](spark, str(tmp_path))
+    assert df.columns == want.columns
+    assert sorted(tuple(map(shown, r)) for r in df.collect()) == sorted(tuple(map(shown, r)) for r in want.fetchall())
+
+
 def test_all_have_sql():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"sample_rows"}
 
